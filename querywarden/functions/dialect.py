@@ -3,19 +3,18 @@
 Java's own ``\\w``, ``\\s`` and ``\\b`` are ASCII-only, and its Unicode mode counts combining
 marks as word characters.  Patterns here are therefore written in the Python spelling and
 expanded to explicit character classes before they reach ``rlike``.
+
+The helpers below return Spark SQL text over column names.  A scan has hundreds of sub-expressions,
+and one ``F.expr`` per column builds them far faster than as many calls into the JVM.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The characters a Python str pattern counts as \w and as \s.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+_QUOTE = r"\x{27}"
 _CLASS = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
 
 
@@ -32,7 +31,10 @@ def java_regex(pattern: str, flags: str = "") -> str:
             if nxt in _CLASS:
                 out.append(_CLASS[nxt] if in_class else f"[{_CLASS[nxt]}]")
             elif nxt == "b" and not in_class:
-                out.append(_boundary(pattern[i : i + 1], out[-1] if out else ""))
+                optional = pattern[i + 1 : i + 2] in ("?", "*", "{")
+                out.append(_boundary("" if optional else pattern[i : i + 1], out[-1] if out else ""))
+            elif nxt == "'":
+                out.append(_QUOTE)
             else:
                 out.append(ch + nxt)
             continue
@@ -40,7 +42,8 @@ def java_regex(pattern: str, flags: str = "") -> str:
             in_class = True
         elif ch == "]":
             in_class = False
-        out.append(ch)
+        # A quote is written by its code, so that a pattern always fits in an r'…' literal.
+        out.append(_QUOTE if ch == "'" else ch)
         i += 1
     # d: only \n ends a line, as in Python; u: case folding beyond ASCII.
     return f"(?{'iu' if 'i' in flags else ''}{'s' if 's' in flags else ''}d)" + "".join(out)
@@ -55,49 +58,60 @@ def _boundary(following: str, preceding: str) -> str:
     return f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
-def fold(text: Column) -> Column:
+def text_literal(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def regex_literal(pattern: str, flags: str = "") -> str:
+    """A raw SQL string literal holding the Java form of a pattern."""
+    return f"r'{java_regex(pattern, flags)}'"
+
+
+def fold(text: str) -> str:
     """Lower-case text in which every character that ignore-case treats as s, i or k is that letter."""
-    for odd, plain in (("İ", "i"), ("ı", "i"), ("ſ", "s")):
-        text = F.replace(text, F.lit(odd), F.lit(plain))
-    return F.lower(text)
+    return f"lower(replace(replace(replace({text}, 'İ', 'i'), 'ı', 'i'), 'ſ', 's'))"
 
 
-def has_needles(folded: Column, needles: str) -> Column | None:
+def has_needles(folded: str, needles: str) -> str:
     """Cheap necessary test for a pattern: literals that every match must contain.
 
     Alternatives are separated by `` | ``; the words of one alternative must follow each other.
     A plain byte search is far cheaper than a regex, and most rows fail it.
     """
     if not needles:
-        return None
-    return reduce(lambda a, b: a | b, [_in_order(folded, alt.split(" ")) for alt in needles.split(" | ")])
+        return "true"
+    return "(" + " OR ".join(_in_order(folded, alt.split(" ")) for alt in needles.split(" | ")) + ")"
 
 
-def _in_order(folded: Column, words: list[str]) -> Column:
-    cond = folded.contains(words[0])
-    end = F.locate(words[0], folded) + F.lit(len(words[0]))
+def _in_order(folded: str, words: list[str]) -> str:
+    first = text_literal(words[0])
+    tests = [f"contains({folded}, {first})"]
+    end = f"locate({first}, {folded}) + {len(words[0])}"
     for word in words[1:]:
-        # Column.locate needs a literal start, so the SQL function with a column start is used.
-        at = F.call_function("locate", F.lit(word), folded, end)
-        cond = cond & (at > 0)
-        end = at + F.lit(len(word))
-    return cond
+        at = f"locate({text_literal(word)}, {folded}, {end})"
+        tests.append(f"{at} > 0")
+        end = f"{at} + {len(word)}"
+    return "(" + " AND ".join(tests) + ")"
 
 
-def matches(text: Column, folded: Column, pattern: str, flags: str = "", needles: str = "") -> Column:
-    """``re.search(pattern, text) is not None`` as a column, behind its literal pre-test."""
-    hit = text.rlike(java_regex(pattern, flags))
-    gate = has_needles(folded, needles)
-    return hit if gate is None else gate & hit
+def matches(text: str, folded: str, pattern: str, flags: str = "", needles: str = "") -> str:
+    """``re.search(pattern, text) is not None``, behind its literal pre-test."""
+    hit = f"{text} RLIKE {regex_literal(pattern, flags)}"
+    return f"({has_needles(folded, needles)} AND {hit})" if needles else f"({hit})"
 
 
-def count_matches(text: Column, folded: Column, pattern: str, flags: str = "", needles: str = "") -> Column:
+def count_matches(text: str, folded: str, pattern: str, flags: str = "", needles: str = "") -> str:
     """Number of non-overlapping matches, behind the same pre-test."""
-    n = F.regexp_count(text, F.lit(java_regex(pattern, flags)))
-    gate = has_needles(folded, needles)
-    return n if gate is None else F.when(gate, n).otherwise(F.lit(0))
+    n = f"regexp_count({text}, {regex_literal(pattern, flags)})"
+    return f"CASE WHEN {has_needles(folded, needles)} THEN {n} ELSE 0 END" if needles else n
 
 
-def occurrences(text: Column, char: str) -> Column:
+def occurrences(text: str, char: str) -> str:
     """How often a single character occurs."""
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    return f"(length({text}) - length(replace({text}, {text_literal(char)}, '')))"
+
+
+def listed(hits: list[tuple[str, str]]) -> str:
+    """Array of the labels whose condition holds, from (condition, label expression) pairs."""
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {hit} THEN {label} END" for hit, label in hits) + "))"

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dialect import count_matches, fold, java_regex
+from .dialect import count_matches, fold, has_needles, regex_literal
+from .staging import pinned
 from .text import masked, well_formed, with_clean_sql
 
 TREE_FEATURES = (
@@ -33,95 +34,103 @@ _FROM_SLICE = (
 _LAST_SET_OPERATOR = r"^.*\b(UNION|INTERSECT|EXCEPT)\b"
 _VERB = r"^\(*\s*(\w+)"
 _WHERE_SLICE = r"\bWHERE\b(.*?)(?:\b(?:GROUP|ORDER|HAVING|LIMIT|UNION|INTERSECT|EXCEPT)\b|$)"
+_INNER_PARENS = r"\([^()]*\)"
+_LIST_ITEM = r",\s*[A-Za-z_]"
+_CONNECTIVE = r"\b(?:AND|OR|NOT)\b"
+_BETWEEN = r"\bBETWEEN\b"
 _SELECT_LIST = r"^\s*SELECT\s+(.*?)(?:\bFROM\b|$)"
 
 
-def _group(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, java_regex(pattern, "is"), 1)
+def _group(text: str, pattern: str) -> str:
+    return f"regexp_extract({text}, {regex_literal(pattern, 'is')}, 1)"
 
 
-def _count(text: Column, folded: Column, pattern: str, needles: str = "") -> Column:
-    return count_matches(text, folded, pattern, "is", needles)
+def _count(text: str, pattern: str) -> str:
+    return f"regexp_count({text}, {regex_literal(pattern, 'is')})"
 
 
 def with_structure(df: DataFrame, sql_col: str = "sql", prefix: str = "") -> DataFrame:
     """Add ``well_formed``, ``tree`` (9 features) and ``skeleton`` (11 fields); both NULL if not well formed."""
     p = prefix
-    first, flat, folded, mask = (f"_{p}{n}" for n in ("first", "flat", "folded", "mask"))
-    df = with_clean_sql(df, sql_col, mask)
-    df = df.withColumn(mask, masked(F.col(mask)))
-    df = df.withColumn(f"{p}well_formed", well_formed(F.col(mask)))
-    df = df.withColumn(first, F.trim(F.split(F.col(mask), ";", -1)[0]))
-    df = df.withColumn(folded, fold(F.col(first)))
-    no_parens = F.col(first)
+    clean, mask, first, flat, folded, counts = (
+        f"_{p}{n}" for n in ("clean", "mask", "first", "flat", "folded", "counts")
+    )
+    formed, tree, skeleton = (f"{p}{n}" for n in ("well_formed", "tree", "skeleton"))
+    df = with_clean_sql(df, sql_col, clean)
+    df = pinned(df, mask, masked(clean)).drop(clean)
+    df = df.withColumn(formed, F.expr(well_formed(mask)))
+    df = df.withColumn(first, F.expr(f"trim(split({mask}, ';', -1)[0])"))
+    no_parens = first
     for _ in range(NESTING_PASSES):
-        no_parens = F.regexp_replace(no_parens, java_regex(r"\([^()]*\)"), "")
-    df = df.withColumn(flat, F.when(F.col(first).contains("("), no_parens).otherwise(F.col(first)))
+        no_parens = f"regexp_replace({no_parens}, {regex_literal(_INNER_PARENS)}, '')"
+    df = df.withColumns(
+        {
+            folded: F.expr(fold(first)),
+            flat: F.expr(f"CASE WHEN contains({first}, '(') THEN {no_parens} ELSE {first} END"),
+        }
+    )
+    # One struct column: its fields are read many times, so this projection stays on its own.
+    df = df.withColumn(counts, F.expr(_named_struct(_tree_counts(first, flat, folded))))
+    df = df.withColumns(
+        {
+            tree: F.expr(f"CASE WHEN {formed} THEN {counts} END"),
+            skeleton: F.expr(f"CASE WHEN {formed} THEN {_named_struct(_skeleton(counts, first, flat))} END"),
+        }
+    )
+    return df.drop(first, flat, folded, mask, counts)
+
+
+def _named_struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
+def _tree_counts(first: str, flat: str, folded: str) -> dict[str, str]:
+    def count(pattern: str, needles: str = "") -> str:
+        return count_matches(first, folded, pattern, "is", needles)
 
-    counts = _tree_counts(F.col(first), F.col(flat), F.col(folded))
-    # One struct column: the fields below are read many times, so this projection stays on its own.
-    df = df.withColumn(f"_{p}tree", F.struct(*[c.alias(n) for n, c in counts.items()]))
-    tree = F.col(f"_{p}tree")
-    df = df.withColumn(f"{p}tree", F.when(F.col(f"{p}well_formed"), F.struct(*[tree[n].alias(n) for n in TREE_FEATURES])))
-    skeleton = _skeleton(tree, F.col(first), F.col(flat), F.col(folded))
-    df = df.withColumn(f"{p}skeleton", F.when(F.col(f"{p}well_formed"), skeleton))
-    return df.drop(first, flat, folded, mask, f"_{p}tree")
-
-
-def _tree_counts(first: Column, flat: Column, folded: Column) -> dict[str, Column]:
     # Slices are joined with a bar so that counting in the joined text cannot reach across two of them.
-    slices = F.array_join(F.regexp_extract_all(first, F.lit(java_regex(_FROM_SLICE, "is")), F.lit(1)), "|")
-    listed = F.when(
-        folded.contains("from") & first.contains(","), F.regexp_count(slices, F.lit(java_regex(r",\s*[A-Za-z_]", "is")))
-    ).otherwise(F.lit(0))
-    operator = _group(flat, _LAST_SET_OPERATOR)
-    verb = _group(flat, _VERB)
+    slices = f"array_join(regexp_extract_all({first}, {regex_literal(_FROM_SLICE, 'is')}, 1), '|')"
+    listed = f"CASE WHEN {has_needles(folded, 'from ,')} THEN {_count(slices, _LIST_ITEM)} ELSE 0 END"
+    operator, verb = _group(flat, _LAST_SET_OPERATOR), _group(flat, _VERB)
     return {
-        "node_count": _count(first, folded, _TOKEN),
-        "select_count": _count(first, folded, r"\bSELECT\b", "select"),
-        "where_count": _count(first, folded, r"\bWHERE\b", "where"),
-        "join_count": _count(first, folded, r"\bJOIN\b", "join"),
-        "aggregate_count": _count(first, folded, _AGGREGATE, "("),
-        "subquery_count": _count(first, folded, r"\(\s*SELECT\b", "( select"),
-        "union_count": _count(first, folded, _SET_OPERATOR, "union | intersect | except"),
-        "table_count": _count(first, folded, _TABLE_REF, "from | join") + listed,
-        "query_type": F.when(operator != "", F.initcap(operator))
-        .when(F.upper(verb).isin("SELECT", "INSERT", "UPDATE", "DELETE"), F.upper(verb))
-        .otherwise(F.initcap(verb)),
+        "node_count": count(_TOKEN),
+        "select_count": count(r"\bSELECT\b", "select"),
+        "where_count": count(r"\bWHERE\b", "where"),
+        "join_count": count(r"\bJOIN\b", "join"),
+        "aggregate_count": count(_AGGREGATE, "("),
+        "subquery_count": count(r"\(\s*SELECT\b", "( select"),
+        "union_count": count(_SET_OPERATOR, "union | intersect | except"),
+        "table_count": f"{count(_TABLE_REF, 'from | join')} + {listed}",
+        "query_type": f"CASE WHEN {operator} != '' THEN initcap({operator}) WHEN upper({verb}) IN "
+        f"('SELECT', 'INSERT', 'UPDATE', 'DELETE') THEN upper({verb}) ELSE initcap({verb}) END",
     }
 
 
-def _skeleton(tree: Column, first: Column, flat: Column, folded: Column) -> Column:
+def _skeleton(counts: str, first: str, flat: str) -> dict[str, str]:
     """Only a plain SELECT has structure to report; other roots keep the defaults."""
-    is_select = tree["query_type"] == "SELECT"
+    is_select = f"{counts}.query_type = 'SELECT'"
     where = _group(first, _WHERE_SLICE)
-    complexity = F.when(
-        is_select & (tree["where_count"] > 0),
-        F.regexp_count(where, F.lit(java_regex(r"\b(?:AND|OR|NOT)\b", "is")))
-        - F.regexp_count(where, F.lit(java_regex(r"\bBETWEEN\b", "is"))),
-    ).otherwise(F.lit(0))
-    columns = F.when(
-        is_select, F.regexp_count(_group(flat, _SELECT_LIST), F.lit(",")) + 1
-    ).otherwise(F.lit(0))
-
-    def present(feature: str) -> Column:
-        return is_select & (tree[feature] > 0)
-
-    no_clauses = F.array().cast("array<string>")
-    fields = {
-        "query_type": tree["query_type"],
-        "main_clauses": no_clauses,
+
+    def present(feature: str) -> str:
+        return f"({is_select} AND {counts}.{feature} > 0)"
+
+    def if_select(value: str, condition: str = is_select) -> str:
+        return f"CASE WHEN {condition} THEN {value} ELSE 0 END"
+
+    conditions = f"{_count(where, _CONNECTIVE)} - {_count(where, _BETWEEN)}"
+    return {
+        "query_type": f"{counts}.query_type",
+        "main_clauses": "CAST(array() AS ARRAY<STRING>)",
         "has_where": present("where_count"),
         "has_subquery": present("subquery_count"),
         "has_union": present("union_count"),
         "has_join": present("join_count"),
         "has_aggregate": present("aggregate_count"),
-        "table_count": F.when(is_select, tree["table_count"]).otherwise(F.lit(0)),
-        "column_count": columns,
-        "condition_complexity": complexity,
-        "clause_order": F.when(present("where_count"), F.array(F.lit("WHERE"))).otherwise(no_clauses),
+        "table_count": if_select(f"{counts}.table_count"),
+        "column_count": if_select(f"{_count(_group(flat, _SELECT_LIST), ',')} + 1"),
+        "condition_complexity": if_select(conditions, present("where_count")),
+        "clause_order": f"CASE WHEN {present('where_count')} THEN array('WHERE') ELSE CAST(array() AS ARRAY<STRING>) END",
     }
-    return F.struct(*[fields[n].alias(n) for n in SKELETON_FIELDS])
 
 
 def tree_similarity(a: Column, b: Column) -> Column:

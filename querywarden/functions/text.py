@@ -6,10 +6,12 @@ expensive column more than once, so every regex runs once per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dialect import java_regex, occurrences
+from .dialect import occurrences, regex_literal
+
+QUOTE = "'"
 
 # ---- fixed values: the cleaning patterns -------------------------------------------------------
 SPACES = r"\s+"
@@ -26,69 +28,58 @@ OR_AFTER_SEMICOLON = r";\s*OR\s+"
 MASK = r"(')(?:[^']|'')*+'|(').*'(?='[^']*\z)|--.*|/\*.*?\*/"
 
 
-def _sub(text: Column, pattern: str, replacement: str, flags: str = "") -> Column:
-    return F.regexp_replace(text, java_regex(pattern, flags), replacement)
+def _sub(text: str, pattern: str, replacement: str, flags: str = "") -> str:
+    return f"regexp_replace({text}, {regex_literal(pattern, flags)}, '{replacement}')"
 
 
-def _collapse(text: Column) -> Column:
-    return F.trim(_sub(text, SPACES, " "))
+def _collapse(text: str) -> str:
+    return f"trim({_sub(text, SPACES, ' ')})"
 
 
-def requote(text: Column) -> Column:
+def requote(text: str) -> str:
     """Turn "…" literals into '…' with inner quotes doubled; an unpaired last " stays."""
-    pieces = F.split(text, '"', -1)
-    paired = F.size(pieces) - F.when(F.size(pieces) % 2 == 0, F.lit(2)).otherwise(F.lit(1))
-    quoted = F.transform(
-        pieces,
-        lambda piece, i: F.when(
-            (i % 2 == 1) & (i < paired), F.concat(F.lit("'"), F.replace(piece, F.lit("'"), F.lit("''")), F.lit("'"))
-        )
-        .when((i % 2 == 1) & (i >= paired), F.concat(F.lit('"'), piece))
-        .otherwise(piece),
+    pieces = f"split({text}, '\"', -1)"
+    # With an even number of pieces the last quote has no partner.
+    unpaired = f"size({pieces}) % 2 = 0 AND i = size({pieces}) - 1"
+    quoted = (
+        f"transform({pieces}, (piece, i) -> CASE WHEN i % 2 = 0 THEN piece WHEN {unpaired} THEN concat('\"', piece) "
+        r"ELSE concat('\'', replace(piece, '\'', '\'\''), '\'') END)"
     )
-    return F.when(text.contains('"'), F.array_join(quoted, "")).otherwise(text)
+    return f"CASE WHEN contains({text}, '\"') THEN array_join({quoted}, '') ELSE {text} END"
 
 
-def drop_extra_closers(text: Column) -> Column:
+def drop_extra_closers(text: str) -> str:
     """Cut at the last ``)`` until no more ``)`` than ``(`` are left: the longest balanced-enough prefix."""
-    pieces = F.split(text, r"\)", -1)
-    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("opens"), F.lit(1).alias("keep"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        opens = acc["opens"] + occurrences(piece, "(")
-        seen = acc["seen"] + 1
-        keep = F.when(seen - 1 <= opens, seen).otherwise(acc["keep"])
-        return F.struct(seen.alias("seen"), opens.alias("opens"), keep.alias("keep"))
-
-    keep = F.aggregate(pieces, start, step)["keep"]
-    cut = F.trim(F.array_join(F.slice(pieces, 1, keep), ")"))
-    return F.when(occurrences(text, ")") > occurrences(text, "("), cut).otherwise(text)
+    pieces = rf"split({text}, r'\)', -1)"
+    # Over the pieces between closers: count the openers so far and remember the longest good prefix.
+    keep = (
+        f"aggregate({pieces}, named_struct('seen', 0, 'opens', 0, 'keep', 1), (acc, piece) -> named_struct("
+        f"'seen', acc.seen + 1, 'opens', acc.opens + {occurrences('piece', '(')}, "
+        f"'keep', CASE WHEN acc.seen <= acc.opens + {occurrences('piece', '(')} THEN acc.seen + 1 ELSE acc.keep END)).keep"
+    )
+    cut = f"trim(array_join(slice({pieces}, 1, {keep}), ')'))"
+    return f"CASE WHEN {occurrences(text, ')')} > {occurrences(text, '(')} THEN {cut} ELSE {text} END"
 
 
 def with_clean_sql(df: DataFrame, sql_col: str, out: str) -> DataFrame:
     """Add ``out``: the text with whitespace collapsed and common injection debris removed."""
-    flat = _collapse(F.col(sql_col))
-    no_tautology = _sub(_sub(flat, TRAILING_OR_NUMBER, "", "i"), TRAILING_OR_STRING, "", "i")
-    df = df.withColumn(out, no_tautology)
-    df = df.withColumn(out, requote(F.col(out)))
-    tidy = _sub(_sub(F.col(out), r"\bINTERSECT\b", "INTERSECT", "i"), r"\bUNION\b", "UNION", "i")
+    df = df.withColumn(out, F.col(sql_col))
+    no_tautology = _sub(_sub(_collapse(out), TRAILING_OR_NUMBER, "", "i"), TRAILING_OR_STRING, "", "i")
+    tidy = _sub(_sub(out, r"\bINTERSECT\b", "INTERSECT", "i"), r"\bUNION\b", "UNION", "i")
     tidy = _sub(_sub(tidy, DANGLING_OR, "", "i"), OR_AFTER_SEMICOLON, "; ", "i")
-    df = df.withColumn(out, tidy)
-    df = df.withColumn(out, drop_extra_closers(F.col(out)))
-    return df.withColumn(out, _collapse(F.col(out)))
+    for step in (no_tautology, requote(out), tidy, drop_extra_closers(out), _collapse(out)):
+        df = df.withColumn(out, F.expr(step))
+    return df
 
 
-def masked(text: Column) -> Column:
+def masked(text: str) -> str:
     """The text with every literal emptied and every comment removed."""
-    quick = text.contains("'") | text.contains("--") | text.contains("/*")
-    return F.when(quick, _sub(text, MASK, " $1$2$1$2 ", "s")).otherwise(text)
+    mask = _sub(text, MASK, " $1$2$1$2 ", "s")
+    quick = rf"contains({text}, '\'') OR contains({text}, '--') OR contains({text}, '/*')"
+    return f"CASE WHEN {quick} THEN {mask} ELSE {text} END"
 
 
-def well_formed(mask: Column) -> Column:
+def well_formed(mask: str) -> str:
     """Balance check on masked text; it stands in for a parse and accepts more than a parser would."""
-    return F.coalesce(
-        (F.trim(mask) != "")
-        & (occurrences(mask, "(") == occurrences(mask, ")"))
-        & (occurrences(mask, "'") % 2 == 0),
-        F.lit(False),
-    )
+    balanced = f"{occurrences(mask, '(')} = {occurrences(mask, ')')}"
+    return f"coalesce(trim({mask}) != '' AND {balanced} AND {occurrences(mask, QUOTE)} % 2 = 0, false)"

@@ -8,7 +8,7 @@ sweep, all metrics and the gap analysis cost one pass over the scored rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,13 +180,12 @@ def apply_threshold(rows: DataFrame, best: DataFrame) -> DataFrame:
 def split_metrics(cube: DataFrame, best: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     """Metrics per split for the swept threshold (``sweep``) and the action (``hard``), from the cube alone."""
     step = F.coalesce(best.select("step").scalar(), F.lit(0))
-    both = cube.withColumn(
-        "kinds",
-        F.array(
-            F.struct(F.lit("sweep").alias("kind"), (F.col("bucket") > step).alias("pred")),
-            F.struct(F.lit("hard").alias("kind"), (F.col("pred_hard") == 1).alias("pred")),
-        ),
-    ).select("*", F.inline("kinds"))
+    cube = cube.withColumn("pred_sweep", F.col("bucket") > step)
+    kinds = F.array(
+        F.struct(F.lit("sweep").alias("kind"), F.col("pred_sweep").alias("pred")),
+        F.struct(F.lit("hard").alias("kind"), (F.col("pred_hard") == 1).alias("pred")),
+    )
+    both = cube.select("*", F.inline(kinds))
     counts = confusion(F.col("label"), F.col("pred"), F.col("n"))
     return with_metrics(both.groupBy(*by, "kind").agg(*[c.alias(n) for n, c in counts.items()]))
 
@@ -250,20 +249,53 @@ def security_metrics(metrics: DataFrame) -> DataFrame:
 # ---- end to end --------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
 class Evaluation:
-    """The frames of one evaluation run; all are lazy, and only ``rows`` grows with the corpus."""
+    """The frames of one evaluation run, built when first asked for; only ``rows`` grows with the corpus."""
+
+    def __init__(self, corpus: DataFrame, parts: DataFrame, scored: DataFrame, settings: tuple[int, float, float]):
+        self.corpus, self.parts, self.scored, self.settings = corpus, parts, scored, settings
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return corpus_stats(self.corpus)
+
+    @cached_property
+    def split_stats(self) -> DataFrame:
+        return corpus_stats(self.parts, by=["split"])
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        return outcome_cube(self.scored)
 
-    stats: DataFrame
-    split_stats: DataFrame
-    cube: DataFrame
-    curve: DataFrame
-    best: DataFrame
-    oracle: DataFrame
-    metrics: DataFrame
-    gap: DataFrame
-    report: DataFrame
-    rows: DataFrame
+    @cached_property
+    def curve(self) -> DataFrame:
+        return sweep_curve(self.cube)
+
+    @cached_property
+    def best(self) -> DataFrame:
+        """The operating point chosen on ``val``: the only one applied anywhere."""
+        return best_threshold(self.curve.filter(F.col("split") == "val"))
+
+    @cached_property
+    def oracle(self) -> DataFrame:
+        """The point that would have been best on ``test``, for reference only."""
+        return best_threshold(self.curve.filter(F.col("split") == "test"))
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return split_metrics(self.cube, self.best)
+
+    @cached_property
+    def gap(self) -> DataFrame:
+        return overfit_gap(self.metrics)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return apply_threshold(self.scored, self.best)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return report_row(self.metrics, self.best, self.oracle, *self.settings)
 
 
 def run_evaluation(
@@ -281,27 +313,10 @@ def run_evaluation(
     are written once to the shared folder and read back, so no later step scores again.
     """
     parts = stratified_split(corpus, id_col, "toxic", train_ratio, val_ratio, seed)
-    rows = evaluation_rows(score(parts, "query", config=config))
+    scored = evaluation_rows(score(parts, "query", config=config))
     if store:
-        rows = materialize(rows, "scored_rows")
-    cube = outcome_cube(rows)
-    curve = sweep_curve(cube)
-    bests = best_threshold(curve)
-    best = bests.filter(F.col("split") == "val")
-    oracle = bests.filter(F.col("split") == "test")
-    metrics = split_metrics(cube, best)
-    return Evaluation(
-        stats=corpus_stats(corpus),
-        split_stats=corpus_stats(parts, by=["split"]),
-        cube=cube,
-        curve=curve,
-        best=best,
-        oracle=oracle,
-        metrics=metrics,
-        gap=overfit_gap(metrics),
-        report=report_row(metrics, best, oracle, seed, train_ratio, val_ratio),
-        rows=apply_threshold(rows, best),
-    )
+        scored = materialize(scored, "scored_rows")
+    return Evaluation(corpus, parts, scored, (seed, train_ratio, val_ratio))
 
 
 def report_row(

@@ -3,99 +3,82 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import BUILTIN_RULES, MAX_RULE_WEIGHT, SEVERITY_WEIGHT, UNKNOWN_SEVERITY_WEIGHT, Rule
-from ..functions.dialect import fold, java_regex, matches
+from ..functions.dialect import fold, listed, matches, regex_literal, text_literal
 from ..functions.numbers import fixed
+from ..functions.staging import pinned
 
-HITS = "_kw_hits"
-TEXT = "_kw_text"
+HITS, TEXT, FOLDED = "_kw_hits", "_kw_text", "_kw_folded"
+ANY_HIT = f"array_contains({HITS}, true)"
 
 
 def with_hits(df: DataFrame, sql_col: str, rules: Sequence[Rule]) -> DataFrame:
     """Add the hit vector, one boolean per rule, from which everything else is read.
 
-    The vector sits in a projection of its own, so each regex runs once per row however many
-    columns are derived from it.  NULL and blank text match nothing.
+    The vector is pinned, so each regex runs once per row however many columns are derived from it
+    and whatever they are filtered by.  NULL and blank text match nothing.
     """
-    df = df.withColumn(TEXT, F.coalesce(F.col(sql_col), F.lit(""))).withColumn("_kw_folded", fold(F.col(TEXT)))
-    nonblank = F.col(TEXT).rlike(java_regex(r"[^\s]"))
+    df = df.withColumn(TEXT, F.coalesce(F.col(sql_col), F.lit(""))).withColumn(FOLDED, F.expr(fold(TEXT)))
+    nonblank = matches(TEXT, FOLDED, r"[^\s]")
     hits = []
     for r in rules:
-        hit = matches(F.col(TEXT), F.col("_kw_folded"), r.pattern, r.flags, r.needles)
-        hits.append(hit if r.needles else nonblank & hit)
-    return df.withColumn(HITS, F.array(*hits)).drop("_kw_folded")
+        hit = matches(TEXT, FOLDED, r.pattern, r.flags, r.needles)
+        # A pattern with literals cannot match blank text anyway.
+        hits.append(hit if r.needles else f"({nonblank} AND {hit})")
+    return pinned(df, HITS, f"array({', '.join(hits)})").drop(FOLDED)
 
 
-def _labels(rules: Sequence[Rule], field: str) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(F.col(HITS)[i], F.lit(getattr(r, field))) for i, r in enumerate(rules)])
-    )
+def _labels(rules: Sequence[Rule], field: str) -> str:
+    return listed([(f"{HITS}[{i}]", text_literal(getattr(r, field))) for i, r in enumerate(rules)])
+
 
+def _any_of(indexes: Sequence[int]) -> str:
+    return "(" + (" OR ".join(f"{HITS}[{i}]" for i in indexes) or "false") + ")"
 
-def risk_score(rules: Sequence[Rule]) -> Column:
+
+def risk_score(rules: Sequence[Rule]) -> str:
     """min(1, max(severest hit, summed weight / 0.80)); summed in catalogue order."""
-    hit = F.col(HITS)
-    total = reduce(
-        lambda acc, ir: acc + F.when(hit[ir[0]], F.lit(float(ir[1].weight))).otherwise(F.lit(0.0)),
-        enumerate(rules),
-        F.lit(0.0),
-    )
-    by_severity: dict[float, list[int]] = {}
+    total = " + ".join(f"CASE WHEN {HITS}[{i}] THEN {float(r.weight)!r}D ELSE 0D END" for i, r in enumerate(rules))
+    by_weight: dict[float, list[int]] = {}
     for i, r in enumerate(rules):
-        by_severity.setdefault(SEVERITY_WEIGHT.get(r.severity, UNKNOWN_SEVERITY_WEIGHT), []).append(i)
-    severest = F.lit(0.0)
-    for weight in sorted(by_severity):
-        any_hit = reduce(lambda a, b: a | b, [hit[i] for i in by_severity[weight]])
-        severest = F.when(any_hit, F.lit(weight)).otherwise(severest)
-    score = F.least(F.lit(1.0), F.greatest(severest, total / F.lit(MAX_RULE_WEIGHT)))
-    return F.when(F.array_contains(hit, True), score).otherwise(F.lit(0.0))
+        by_weight.setdefault(SEVERITY_WEIGHT.get(r.severity, UNKNOWN_SEVERITY_WEIGHT), []).append(i)
+    severest = " ".join(f"WHEN {_any_of(by_weight[w])} THEN {w!r}D" for w in sorted(by_weight, reverse=True))
+    score = f"least(1D, greatest(CASE {severest} ELSE 0D END, ({total}) / {MAX_RULE_WEIGHT!r}D))"
+    return f"CASE WHEN {ANY_HIT} THEN {score} ELSE 0D END"
 
 
-def recommendation(rules: Sequence[Rule], strict: bool) -> Column:
-    hit = F.col(HITS)
-
-    def any_of(severity: str) -> Column:
-        picked = [hit[i] for i, r in enumerate(rules) if r.severity == severity]
-        return reduce(lambda a, b: a | b, picked, F.lit(False))
+def recommendation(rules: Sequence[Rule], strict: bool) -> str:
+    def of(severity: str) -> str:
+        return _any_of([i for i, r in enumerate(rules) if r.severity == severity])
 
+    high = "REJECT" if strict else "FLAG_FOR_REVIEW"
     return (
-        F.when(~F.array_contains(hit, True), F.lit("ALLOW"))
-        .when(any_of("CRITICAL"), F.lit("REJECT"))
-        .when(any_of("HIGH"), F.lit("REJECT" if strict else "FLAG_FOR_REVIEW"))
-        .otherwise(F.lit("FLAG_FOR_REVIEW"))
+        f"CASE WHEN NOT {ANY_HIT} THEN 'ALLOW' WHEN {of('CRITICAL')} THEN 'REJECT' "
+        f"WHEN {of('HIGH')} THEN '{high}' ELSE 'FLAG_FOR_REVIEW' END"
     )
 
 
-def snippet(text: Column, rule: Rule) -> Column:
+def snippet(text: str, rule: Rule) -> str:
     """The first match with up to 10 characters before and 20 after it, on one line.
 
     The reluctant lead-in makes the regex engine stop at the leftmost match; a dot is one code point.
     """
     around = r"(?s:.{0,10}?)(?:" + rule.pattern + r")(?s:.{0,20})"
-    found = F.regexp_extract(text, java_regex(around, rule.flags), 0)
-    return F.concat(F.lit("..."), F.replace(found, F.lit("\n"), F.lit(" ")), F.lit("..."))
-
-
-def match_details(rules: Sequence[Rule]) -> Column:
-    entries = [
-        F.when(
-            F.col(HITS)[i],
-            F.struct(
-                F.lit(r.name).alias("rule"),
-                F.lit(r.attack_type).alias("attack_type"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.description).alias("description"),
-                snippet(F.col(TEXT), r).alias("snippet"),
-            ),
-        )
-        for i, r in enumerate(rules)
-    ]
-    return F.array_compact(F.array(*entries))
+    found = f"regexp_extract({text}, {regex_literal(around, rule.flags)}, 0)"
+    return f"concat('...', replace({found}, '\\n', ' '), '...')"
+
+
+def match_details(rules: Sequence[Rule]) -> str:
+    def entry(r: Rule) -> str:
+        fields = {"rule": r.name, "attack_type": r.attack_type, "severity": r.severity, "description": r.description}
+        fixed_part = ", ".join(f"'{k}', {text_literal(v)}" for k, v in fields.items())
+        return f"named_struct({fixed_part}, 'snippet', {snippet(TEXT, r)})"
+
+    return listed([(f"{HITS}[{i}]", entry(r)) for i, r in enumerate(rules)])
 
 
 def keyword_scan(
@@ -113,15 +96,15 @@ def keyword_scan(
     rules = (*BUILTIN_RULES, *extra_rules)
     df = with_hits(df, sql_col, rules)
     columns = {
-        "flagged": F.array_contains(F.col(HITS), True),
+        "flagged": ANY_HIT,
         "keyword_risk_score": risk_score(rules),
         "matched_rules": _labels(rules, "name"),
-        "attack_types_found": F.array_distinct(_labels(rules, "attack_type")),
-        "severities_found": F.array_distinct(_labels(rules, "severity")),
+        "attack_types_found": f"array_distinct({_labels(rules, 'attack_type')})",
+        "severities_found": f"array_distinct({_labels(rules, 'severity')})",
         "match_details": match_details(rules),
         "recommendation": recommendation(rules, strict),
     }
-    return df.withColumns({prefix + n: c for n, c in columns.items()}).drop(HITS, TEXT)
+    return df.withColumns({prefix + n: F.expr(c) for n, c in columns.items()}).drop(HITS, TEXT)
 
 
 def keyword_hits(scanned: DataFrame, *keys: str) -> DataFrame:

@@ -9,41 +9,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import DANGEROUS_FUNCTIONS, FORBIDDEN_KEYWORDS, POLICY_PATTERNS
-from ..functions.dialect import fold, java_regex, matches, occurrences
+from ..functions.dialect import fold, listed, matches, occurrences, regex_literal, text_literal
+from ..functions.staging import pinned
 
 FAMILIES = ("forbidden_keywords", "dangerous_functions", "suspicious_patterns", "structural_anomalies")
 # Risk added by each non-empty family, in the order of FAMILIES.
 FAMILY_RISK = (0.25, 0.25, 0.30, 0.20)
+WB, OPEN, QUOTE = r"\b", r"\s*\(", "'"
 WHERE_SLICE = r"WHERE\s+(.+?)(?:GROUP BY|ORDER BY|LIMIT|HAVING|$)"
 
 
-def _listed(hits: list[tuple[Column, str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(hit, F.lit(message)) for hit, message in hits]))
+TEXT, UPPER, LOWER, FOLDED = "_pb_text", "_pb_upper", "_pb_lower", "_pb_folded"
 
 
-def _violations(mode: str, extra_patterns: Mapping[str, str]) -> dict[str, Column]:
-    text, upper, lower, folded = (F.col(f"_pb_{n}") for n in ("text", "upper", "lower", "folded"))
+def _violations(mode: str, extra_patterns: Mapping[str, str]) -> dict[str, str]:
+    def found(kind: str, name: str) -> str:
+        return text_literal(f"{kind} detected: {name}")
+
     keywords = [
-        (upper.contains(k) & upper.rlike(java_regex(rf"\b{k}\b")), f"Forbidden keyword detected: {k}")
+        (f"contains({UPPER}, '{k}') AND {UPPER} RLIKE {regex_literal(rf'{WB}{k}{WB}')}", found("Forbidden keyword", k))
         for k in FORBIDDEN_KEYWORDS[mode]
     ]
     functions = [
-        (lower.contains(f) & lower.rlike(java_regex(rf"\b{f}\s*\(")), f"Dangerous function detected: {f}")
+        (f"contains({LOWER}, '{f}') AND {LOWER} RLIKE {regex_literal(rf'{WB}{f}{OPEN}')}", found("Dangerous function", f))
         for f in DANGEROUS_FUNCTIONS[mode]
     ]
     book = [*POLICY_PATTERNS, *((name, regex, "") for name, regex in extra_patterns.items())]
     patterns = [
-        (matches(lower, folded, regex, "i", needles), f"Suspicious pattern detected: {name}")
-        for name, regex, needles in book
+        (matches(LOWER, FOLDED, regex, "i", needles), found("Suspicious pattern", name)) for name, regex, needles in book
     ]
-    where = F.regexp_extract(text, java_regex(WHERE_SLICE, "is"), 1)
+    where = f"regexp_extract({TEXT}, {regex_literal(WHERE_SLICE, 'is')}, 1)"
     structure = [
-        (occurrences(text, ";") > 1, "Multiple statements detected"),
-        (occurrences(text, "(") > 10, "Excessive nesting detected (possible subquery bomb)"),
-        (F.when(F.length(text) > 2000, F.length(where) > 2000).otherwise(F.lit(False)), "Abnormally long WHERE clause"),
-        (occurrences(text, "'") % 2 != 0, "Unbalanced quotes detected"),
+        (f"{occurrences(TEXT, ';')} > 1", text_literal("Multiple statements detected")),
+        (f"{occurrences(TEXT, '(')} > 10", text_literal("Excessive nesting detected (possible subquery bomb)")),
+        # The slice cannot be long where the whole text is not.
+        (f"length({TEXT}) > 2000 AND length({where}) > 2000", text_literal("Abnormally long WHERE clause")),
+        (f"{occurrences(TEXT, QUOTE)} % 2 != 0", text_literal("Unbalanced quotes detected")),
     ]
-    return dict(zip(FAMILIES, map(_listed, (keywords, functions, patterns, structure)), strict=True))
+    return dict(zip(FAMILIES, map(listed, (keywords, functions, patterns, structure)), strict=True))
 
 
 def check_boundaries(
@@ -57,10 +60,10 @@ def check_boundaries(
     A NULL text cannot be checked and fails closed: violation, risk 1.0, nothing listed.
     """
     checks = _violations("strict" if strict else "lenient", extra_patterns or {})
-    df = df.withColumn("_pb_text", F.coalesce(F.col(sql_col), F.lit("")))
-    df = df.withColumns({"_pb_upper": F.upper("_pb_text"), "_pb_lower": F.lower("_pb_text")})
-    df = df.withColumn("_pb_folded", fold(F.col("_pb_lower")))
-    df = df.withColumn("policy_checks", F.struct(*[c.alias(n) for n, c in checks.items()]))
+    df = df.withColumn(TEXT, F.coalesce(F.col(sql_col), F.lit("")))
+    df = df.withColumns({UPPER: F.upper(TEXT), LOWER: F.lower(TEXT)})
+    df = df.withColumn(FOLDED, F.expr(fold(LOWER)))
+    df = pinned(df, "policy_checks", "named_struct(" + ", ".join(f"'{n}', {c}" for n, c in checks.items()) + ")")
     family = [F.col("policy_checks")[n] for n in FAMILIES]
     risk = reduce(
         lambda acc, nr: acc + F.when(F.size(nr[0]) > 0, F.lit(nr[1])).otherwise(F.lit(0.0)),
@@ -71,7 +74,7 @@ def check_boundaries(
     df = df.withColumn("violations", F.concat(*family))
     df = df.withColumn("risk_score", F.when(missing, F.lit(1.0)).otherwise(F.least(F.lit(1.0), risk)))
     df = df.withColumn("violation_detected", missing | (F.size("violations") > 0))
-    return df.drop("_pb_text", "_pb_upper", "_pb_lower", "_pb_folded")
+    return df.drop(TEXT, UPPER, LOWER, FOLDED)
 
 
 def risk_level(score: Column) -> Column:

@@ -141,8 +141,8 @@ def doc_suspicious_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _clean(df: DataFrame, key: str, sql_col: str = "sql") -> DataFrame:
-    df = with_clean_sql(df, sql_col, "clean").withColumn("mask", masked(F.col("clean")))
-    return df.select(key, "clean", "mask", num(well_formed(F.col("mask"))).alias("well_formed"))
+    df = with_clean_sql(df, sql_col, "clean").withColumn("mask", F.expr(masked("clean")))
+    return df.select(key, "clean", "mask", num(F.expr(well_formed("mask"))).alias("well_formed"))
 
 
 @query
