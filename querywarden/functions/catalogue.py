@@ -10,18 +10,19 @@ SEVERITY_WEIGHT = {"LOW": 0.15, "MEDIUM": 0.30, "HIGH": 0.55, "CRITICAL": 0.80}
 UNKNOWN_SEVERITY_WEIGHT = 0.15
 MAX_RULE_WEIGHT = 0.80
 
-# name, pattern, flags, attack type, severity, description, literals every match contains in order
+# name, pattern, flags, attack type, severity, description, literals every match contains once its
+# white space is taken out (see has_needles)
 _RULE_ROWS = [
     ("tautology_or_1_eq_1", r"\bOR\s+1\s*=\s*1\b", "i", "tautology", "CRITICAL",
-     "Classic OR 1=1 tautology – always-true condition injection", "or 1 ="),
+     "Classic OR 1=1 tautology – always-true condition injection", "or1=1"),
     ("tautology_quoted_string", r"\bOR\s+'[^']*'\s*=\s*'[^']*'\b", "i", "tautology", "CRITICAL",
-     "Quoted-string tautology e.g. OR 'a'='a'", "or ' ="),
+     "Quoted-string tautology e.g. OR 'a'='a'", "or'"),
     ("tautology_true_literal", r"\bOR\s+TRUE\b", "i", "tautology", "HIGH",
-     "OR TRUE tautology", "or true"),
+     "OR TRUE tautology", "ortrue"),
     ("tautology_and_1_eq_1", r"\bAND\s+1\s*=\s*1\b", "i", "tautology", "HIGH",
-     "AND 1=1 blind-injection tautology", "and 1 ="),
+     "AND 1=1 blind-injection tautology", "and1=1"),
     ("tautology_quoted_and", r"\bAND\s+'[^']*'\s*=\s*'[^']*'\b", "i", "tautology", "HIGH",
-     "Quoted-string blind-injection tautology", "and ' ="),
+     "Quoted-string blind-injection tautology", "and'"),
     ("comment_double_dash", r"--", "", "comment_injection", "HIGH",
      "SQL end-of-line comment (--) – used to nullify trailing WHERE clauses", "--"),
     ("comment_block", r"/\*.*?\*/", "s", "comment_injection", "HIGH",
@@ -29,41 +30,41 @@ _RULE_ROWS = [
     ("comment_hash", r"#\s", "", "comment_injection", "MEDIUM",
      "MySQL hash comment (#) – used to terminate query early", "#"),
     ("delay_sleep", r"\bSLEEP\s*\(", "i", "time_delay", "CRITICAL",
-     "SLEEP() function – time-based blind injection / delay backdoor", "sleep ("),
+     "SLEEP() function – time-based blind injection / delay backdoor", "sleep("),
     ("delay_pg_sleep", r"\bPG_SLEEP\s*\(", "i", "time_delay", "CRITICAL",
-     "PostgreSQL pg_sleep() – time-based delay", "pg_sleep ("),
+     "PostgreSQL pg_sleep() – time-based delay", "pg_sleep("),
     ("delay_waitfor", r"\bWAITFOR\s+DELAY\b", "i", "time_delay", "CRITICAL",
-     "MSSQL WAITFOR DELAY – time-based delay", "waitfor delay"),
+     "MSSQL WAITFOR DELAY – time-based delay", "waitfordelay"),
     ("delay_benchmark", r"\bBENCHMARK\s*\(", "i", "time_delay", "HIGH",
-     "MySQL BENCHMARK() – CPU-based timing attack", "benchmark ("),
+     "MySQL BENCHMARK() – CPU-based timing attack", "benchmark("),
     ("stacked_select", r";\s*SELECT\b", "i", "piggy_back", "CRITICAL",
-     "Stacked SELECT after semicolon – piggy-back query", "; select"),
+     "Stacked SELECT after semicolon – piggy-back query", ";select"),
     ("stacked_drop", r";\s*DROP\b", "i", "piggy_back", "CRITICAL",
-     "DROP TABLE/DATABASE after semicolon – destructive piggy-back", "; drop"),
+     "DROP TABLE/DATABASE after semicolon – destructive piggy-back", ";drop"),
     ("stacked_insert", r";\s*INSERT\b", "i", "piggy_back", "CRITICAL",
-     "INSERT after semicolon – data-manipulation piggy-back", "; insert"),
+     "INSERT after semicolon – data-manipulation piggy-back", ";insert"),
     ("stacked_update", r";\s*UPDATE\b", "i", "piggy_back", "CRITICAL",
-     "UPDATE after semicolon – data-manipulation piggy-back", "; update"),
+     "UPDATE after semicolon – data-manipulation piggy-back", ";update"),
     ("stacked_delete", r";\s*DELETE\b", "i", "piggy_back", "CRITICAL",
-     "DELETE after semicolon – data-destruction piggy-back", "; delete"),
+     "DELETE after semicolon – data-destruction piggy-back", ";delete"),
     ("bare_drop", r"\bDROP\s+(TABLE|DATABASE|SCHEMA|INDEX|VIEW|PROCEDURE|FUNCTION)\b", "i",
      "piggy_back", "CRITICAL", "Bare DROP statement – destructive DDL", "drop"),
     ("bare_truncate", r"\bTRUNCATE\s+TABLE\b", "i", "piggy_back", "HIGH",
-     "TRUNCATE TABLE – data-destruction", "truncate table"),
+     "TRUNCATE TABLE – data-destruction", "truncatetable"),
     ("union_select_null", r"\bUNION\s+(ALL\s+)?SELECT\s+NULL\b", "i", "union_injection", "CRITICAL",
-     "UNION SELECT NULL – column-count probing injection", "union select null"),
+     "UNION SELECT NULL – column-count probing injection", "unionselectnull | unionallselectnull"),
     ("union_select_info_schema", r"\bUNION\s+(ALL\s+)?SELECT\b.{0,120}\binformation_schema\b", "is",
      "union_injection", "CRITICAL", "UNION SELECT ... information_schema – schema enumeration",
-     "union select information_schema"),
+     "unionselect information_schema | unionallselect information_schema"),
     ("union_select_then_comment", r"\bUNION\s+(ALL\s+)?SELECT\b.{0,200}--", "is",
      "union_injection", "HIGH", "UNION SELECT followed by -- comment – trailing comment injection",
-     "union select --"),
+     "unionselect -- | unionallselect --"),
     ("xp_cmdshell", r"\bXP_CMDSHELL\b", "i", "rce", "CRITICAL",
      "xp_cmdshell – OS command execution via MSSQL", "xp_cmdshell"),
     ("load_file", r"\bLOAD_FILE\s*\(", "i", "file_access", "HIGH",
-     "LOAD_FILE() – reads server filesystem", "load_file ("),
+     "LOAD_FILE() – reads server filesystem", "load_file("),
     ("into_outfile", r"\bINTO\s+OUTFILE\b", "i", "file_access", "HIGH",
-     "INTO OUTFILE – writes query result to filesystem", "into outfile"),
+     "INTO OUTFILE – writes query result to filesystem", "intooutfile"),
 ]
 
 FORBIDDEN_KEYWORDS = {
@@ -80,18 +81,19 @@ DANGEROUS_FUNCTIONS = {
     "lenient": ["xp_cmdshell", "sp_executesql", "exec", "execute"],
 }
 
-# name, pattern (ignore case, dot stops at a line end), literals every match contains
+# name, pattern (ignore case, dot stops at a line end), literals as above
 POLICY_PATTERNS = [
     ("comment_injection", r"(--\s*|/\*.*?\*/|#\s*)", "-- | # | /* */"),
-    ("tautology", r"(1\s*=\s*1|'1'\s*=\s*'1'|true\s*=\s*true)", "1 = 1 | true = true"),
+    ("tautology", r"(1\s*=\s*1|'1'\s*=\s*'1'|true\s*=\s*true)", "1=1 | '1'='1' | true=true"),
     ("union_inject",
      r"(?:union\s+(?:all\s+)?select\s+null|union\s+(?:all\s+)?select\b.{0,120}information_schema)",
-     "union select null | union select information_schema"),
-    ("blind_injection", r"(and\s+1\s*=\s*1|and\s+'1'\s*=\s*'1')", "and 1 = 1"),
+     "unionselectnull | unionallselectnull | unionselect information_schema | unionallselect information_schema"),
+    ("blind_injection", r"(and\s+1\s*=\s*1|and\s+'1'\s*=\s*'1')", "and1=1 | and'1'='1'"),
     ("time_delay", r"(?:sleep\s*\(|waitfor\s+delay|pg_sleep\s*\(|benchmark\s*\()",
-     "sleep ( | waitfor delay | benchmark ("),
-    ("stacked_queries", r";\s*(?:select|insert|update|delete|create|drop|alter)", ";"),
-    ("cartesian_product", r"cross\s+join", "cross join"),
+     "sleep( | waitfordelay | benchmark("),
+    ("stacked_queries", r";\s*(?:select|insert|update|delete|create|drop|alter)",
+     ";select | ;insert | ;update | ;delete | ;create | ;drop | ;alter"),
+    ("cartesian_product", r"cross\s+join", "crossjoin"),
     ("subquery_bomb", r"select.*?select.*?select.*?select", "select select select select"),
 ]
 

@@ -10,16 +10,30 @@ and one ``F.expr`` per column builds them far faster than as many calls into the
 
 from __future__ import annotations
 
-# The characters a Python str pattern counts as \w and as \s.
-WORD = r"\p{L}\p{N}_"
-SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+from string import ascii_letters, digits
 
+# The characters a Python str pattern counts as word and as space.  Java looks up single
+# characters below 256 in one bitmap, so the common ones are spelt out; ranges and properties cost
+# a call each.
+WORD = ascii_letters + digits + r"_\p{L}\p{N}"
+SPACE = r"\x{9}\x{A}\x{B}\x{C}\x{D}\x{1C}\x{1D}\x{1E}\x{1F}\x{20}\x{85}\x{A0}"
+WIDE_SPACE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+SPACES = r"\s+"
 _QUOTE = r"\x{27}"
-_CLASS = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
+_IN_CLASS = {"w": WORD, "s": SPACE + WIDE_SPACE, "d": r"\p{Nd}"}
+# The rarer spaces are only looked at inside their span.
+_ALONE = {"w": f"[{WORD}]", "s": rf"[{SPACE}[\x{{1680}}-\x{{3000}}&&[{WIDE_SPACE}]]]", "d": r"\p{Nd}"}
 
 
 def java_regex(pattern: str, flags: str = "") -> str:
-    """Expand a Python-style pattern; ``flags`` is any of ``i`` (ignore case) and ``s`` (dot all)."""
+    """Expand a Python-style pattern.
+
+    ``flags`` is any of ``i`` (ignore case), ``s`` (dot all) and ``c`` (the text is collapsed: its
+    only white space is the plain space).
+    """
+    in_class_of = {**_IN_CLASS, "s": " "} if "c" in flags else _IN_CLASS
+    alone = {**_ALONE, "s": " "} if "c" in flags else _ALONE
     out: list[str] = []
     in_class = False
     i = 0
@@ -28,15 +42,19 @@ def java_regex(pattern: str, flags: str = "") -> str:
         if ch == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
             i += 2
-            if nxt in _CLASS:
-                out.append(_CLASS[nxt] if in_class else f"[{_CLASS[nxt]}]")
+            if nxt in alone:
+                out.append(in_class_of[nxt] if in_class else alone[nxt])
             elif nxt == "b" and not in_class:
-                optional = pattern[i + 1 : i + 2] in ("?", "*", "{")
-                out.append(_boundary("" if optional else pattern[i : i + 1], out[-1] if out else ""))
-            elif nxt == "'":
-                out.append(_QUOTE)
+                following = pattern[i : i + 1]
+                optional = pattern[i + 1 : i + 2] in ("?", "*", "{", "+")
+                if _is_word(following) and not optional:
+                    # Checked after the letter it precedes: few positions get that far.
+                    out.append(f"{following}(?<![{WORD}].)")
+                    i += 1
+                else:
+                    out.append(_boundary(out[-1] if out else ""))
             else:
-                out.append(ch + nxt)
+                out.append(_QUOTE if nxt == "'" else ch + nxt)
             continue
         if ch == "[" and not in_class:
             in_class = True
@@ -49,11 +67,13 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return f"(?{'iu' if 'i' in flags else ''}{'s' if 's' in flags else ''}d)" + "".join(out)
 
 
-def _boundary(following: str, preceding: str) -> str:
-    """A word boundary; one-sided where the neighbouring pattern text already fixes the other side."""
-    if following.isalnum() or following == "_":
-        return f"(?<![{WORD}])"
-    if len(preceding) == 1 and (preceding.isalnum() or preceding == "_"):
+def _is_word(ch: str) -> bool:
+    return ch != "" and ch in ascii_letters + digits + "_"
+
+
+def _boundary(preceding: str) -> str:
+    """A word boundary; one-sided where the pattern text before it ends in a word character."""
+    if len(preceding) == 1 and _is_word(preceding):
         return f"(?![{WORD}])"
     return f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
@@ -73,14 +93,17 @@ def fold(text: str) -> str:
     return f"lower(replace(replace(replace({text}, 'İ', 'i'), 'ı', 'i'), 'ſ', 's'))"
 
 
+def squeeze(text: str) -> str:
+    """The folded text without any white space: what needles are looked for in."""
+    return f"regexp_replace({fold(text)}, {regex_literal(SPACES)}, '')"
+
+
 def has_needles(folded: str, needles: str) -> str:
     """Cheap necessary test for a pattern: literals that every match must contain.
 
     Alternatives are separated by `` | ``; the words of one alternative must follow each other.
     A plain byte search is far cheaper than a regex, and most rows fail it.
     """
-    if not needles:
-        return "true"
     return "(" + " OR ".join(_in_order(folded, alt.split(" ")) for alt in needles.split(" | ")) + ")"
 
 

@@ -23,77 +23,91 @@ SKELETON_FIELDS = (
 )
 NESTING_PASSES = 5
 
-_TOKEN = r"\w+|[^\s\w]"
-_AGGREGATE = r"\b(?:COUNT|SUM|AVG|MIN|MAX|STDDEV\w*|VAR\w*|ARRAY_AGG|STRING_AGG|GROUP_CONCAT|MEDIAN)\s*\("
-_SET_OPERATOR = r"\b(?:UNION|INTERSECT|EXCEPT)\b"
-_TABLE_REF = r"\b(?:FROM|JOIN)\s+[A-Za-z_]"
-_FROM_SLICE = (
-    r"\bFROM\b([^()]*?)(?:\b(?:WHERE|GROUP|ORDER|HAVING|LIMIT|UNION|INTERSECT|EXCEPT|LEFT|RIGHT|FULL|INNER"
-    r"|CROSS|NATURAL|JOIN|ON)\b|[()]|$)"
+
+
+def _words(*words: str) -> str:
+    """Any of the words as a whole word; the boundary is repeated because it is cheapest next to a letter."""
+    return "(?:" + "|".join(rf"\b{w}" for w in words) + r")\b"
+
+
+_TOKEN = r"\w+"
+_AGGREGATE = (
+    r"(?:\bCOUNT|\bSUM|\bAVG|\bMIN|\bMAX|\bSTDDEV\w*|\bVAR\w*|\bARRAY_AGG|\bSTRING_AGG|\bGROUP_CONCAT|\bMEDIAN)\s*\("
 )
-_LAST_SET_OPERATOR = r"^.*\b(UNION|INTERSECT|EXCEPT)\b"
+_SET_OPERATORS = ("UNION", "INTERSECT", "EXCEPT")
+_CLAUSES = ("GROUP", "ORDER", "HAVING", "LIMIT", *_SET_OPERATORS)
+_JOINS = ("LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "JOIN", "ON")
+_SET_OPERATOR = _words(*_SET_OPERATORS)
+_TABLE_REF = r"(?:\bFROM|\bJOIN)\s+[A-Za-z_]"
+_FROM_SLICE = rf"\bFROM\b([^()]*?)(?:{_words('WHERE', *_CLAUSES, *_JOINS)}|[()]|$)"
+_LAST_SET_OPERATOR = r"^.*(\bUNION|\bINTERSECT|\bEXCEPT)\b"
 _VERB = r"^\(*\s*(\w+)"
-_WHERE_SLICE = r"\bWHERE\b(.*?)(?:\b(?:GROUP|ORDER|HAVING|LIMIT|UNION|INTERSECT|EXCEPT)\b|$)"
+_WHERE_SLICE = rf"\bWHERE\b(.*?)(?:{_words(*_CLAUSES)}|$)"
 _INNER_PARENS = r"\([^()]*\)"
 _LIST_ITEM = r",\s*[A-Za-z_]"
-_CONNECTIVE = r"\b(?:AND|OR|NOT)\b"
+_CONNECTIVE = _words("AND", "OR", "NOT")
 _BETWEEN = r"\bBETWEEN\b"
 _SELECT_LIST = r"^\s*SELECT\s+(.*?)(?:\bFROM\b|$)"
 
 
 def _group(text: str, pattern: str) -> str:
-    return f"regexp_extract({text}, {regex_literal(pattern, 'is')}, 1)"
+    return f"regexp_extract({text}, {regex_literal(pattern, 'isc')}, 1)"
 
 
 def _count(text: str, pattern: str) -> str:
-    return f"regexp_count({text}, {regex_literal(pattern, 'is')})"
+    return f"regexp_count({text}, {regex_literal(pattern, 'isc')})"
 
 
 def with_structure(df: DataFrame, sql_col: str = "sql", prefix: str = "") -> DataFrame:
     """Add ``well_formed``, ``tree`` (9 features) and ``skeleton`` (11 fields); both NULL if not well formed."""
     p = prefix
-    clean, mask, first, flat, folded, counts = (
-        f"_{p}{n}" for n in ("clean", "mask", "first", "flat", "folded", "counts")
-    )
+    clean, mask, first, flat, folded, verb, operator, items, where, counts = names = [
+        f"_{p}{n}"
+        for n in ("clean", "mask", "first", "flat", "folded", "verb", "operator", "items", "where", "counts")
+    ]
     formed, tree, skeleton = (f"{p}{n}" for n in ("well_formed", "tree", "skeleton"))
     df = with_clean_sql(df, sql_col, clean)
     df = pinned(df, mask, masked(clean)).drop(clean)
     df = df.withColumn(formed, F.expr(well_formed(mask)))
-    df = df.withColumn(first, F.expr(f"trim(split({mask}, ';', -1)[0])"))
+    df = df.withColumn(first, F.expr(f"trim(CASE WHEN contains({mask}, ';') THEN split({mask}, ';', -1)[0] ELSE {mask} END)"))
     no_parens = first
     for _ in range(NESTING_PASSES):
         no_parens = f"regexp_replace({no_parens}, {regex_literal(_INNER_PARENS)}, '')"
-    df = df.withColumns(
-        {
-            folded: F.expr(fold(first)),
-            flat: F.expr(f"CASE WHEN contains({first}, '(') THEN {no_parens} ELSE {first} END"),
-        }
-    )
-    # One struct column: its fields are read many times, so this projection stays on its own.
-    df = df.withColumn(counts, F.expr(_named_struct(_tree_counts(first, flat, folded))))
+    df = df.withColumn(flat, F.expr(f"CASE WHEN contains({first}, '(') THEN {no_parens} ELSE {first} END"))
+    df = df.withColumn(folded, F.expr(fold(first)))
+    # Each slice is a column, so that it is cut out once however often it is read.
+    has_operator = has_needles(fold(flat), "union | intersect | except")
+    slices = f"array_join(regexp_extract_all({first}, {regex_literal(_FROM_SLICE, 'isc')}, 1), '|')"
+    parts = {
+        verb: _group(flat, _VERB),
+        operator: f"CASE WHEN {has_operator} THEN {_group(flat, _LAST_SET_OPERATOR)} ELSE '' END",
+        # Joined with a bar, so that counting in the joined slices cannot reach across two of them.
+        items: f"CASE WHEN {has_needles(folded, 'from ,')} THEN {slices} ELSE '' END",
+        where: f"CASE WHEN {has_needles(folded, 'where')} THEN {_group(first, _WHERE_SLICE)} ELSE '' END",
+    }
+    df = df.withColumns({name: F.expr(part) for name, part in parts.items()})
+    df = df.withColumn(counts, F.expr(_named_struct(_tree_counts(first, folded, verb, operator, items))))
     df = df.withColumns(
         {
             tree: F.expr(f"CASE WHEN {formed} THEN {counts} END"),
-            skeleton: F.expr(f"CASE WHEN {formed} THEN {_named_struct(_skeleton(counts, first, flat))} END"),
+            skeleton: F.expr(f"CASE WHEN {formed} THEN {_named_struct(_skeleton(counts, flat, where))} END"),
         }
     )
-    return df.drop(first, flat, folded, mask, counts)
+    return df.drop(*names)
 
 
 def _named_struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def _tree_counts(first: str, flat: str, folded: str) -> dict[str, str]:
+def _tree_counts(first: str, folded: str, verb: str, operator: str, items: str) -> dict[str, str]:
     def count(pattern: str, needles: str = "") -> str:
-        return count_matches(first, folded, pattern, "is", needles)
+        return count_matches(first, folded, pattern, "isc", needles)
 
-    # Slices are joined with a bar so that counting in the joined text cannot reach across two of them.
-    slices = f"array_join(regexp_extract_all({first}, {regex_literal(_FROM_SLICE, 'is')}, 1), '|')"
-    listed = f"CASE WHEN {has_needles(folded, 'from ,')} THEN {_count(slices, _LIST_ITEM)} ELSE 0 END"
-    operator, verb = _group(flat, _LAST_SET_OPERATOR), _group(flat, _VERB)
+    listed = f"CASE WHEN {items} != '' THEN {_count(items, _LIST_ITEM)} ELSE 0 END"
     return {
-        "node_count": count(_TOKEN),
+        # A token is a run of word characters or one other character that is not a space.
+        "node_count": f"length(replace(regexp_replace({first}, {regex_literal(_TOKEN)}, 'w'), ' ', ''))",
         "select_count": count(r"\bSELECT\b", "select"),
         "where_count": count(r"\bWHERE\b", "where"),
         "join_count": count(r"\bJOIN\b", "join"),
@@ -106,10 +120,9 @@ def _tree_counts(first: str, flat: str, folded: str) -> dict[str, str]:
     }
 
 
-def _skeleton(counts: str, first: str, flat: str) -> dict[str, str]:
+def _skeleton(counts: str, flat: str, where: str) -> dict[str, str]:
     """Only a plain SELECT has structure to report; other roots keep the defaults."""
     is_select = f"{counts}.query_type = 'SELECT'"
-    where = _group(first, _WHERE_SLICE)
 
     def present(feature: str) -> str:
         return f"({is_select} AND {counts}.{feature} > 0)"

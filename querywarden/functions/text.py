@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dialect import occurrences, regex_literal
+from .dialect import SPACES, fold, has_needles, occurrences, regex_literal
 
 QUOTE = "'"
 
 # ---- fixed values: the cleaning patterns -------------------------------------------------------
-SPACES = r"\s+"
 TRAILING_OR_NUMBER = r";?\s*OR\s+1\s*=\s*1\s*;?$"
 TRAILING_OR_STRING = r";?\s*OR\s+'[^']+'\s*=\s*'[^']+'\s*;?$"
 DANGLING_OR = r"\bOR\s*$"
@@ -32,10 +31,6 @@ def _sub(text: str, pattern: str, replacement: str, flags: str = "") -> str:
     return f"regexp_replace({text}, {regex_literal(pattern, flags)}, '{replacement}')"
 
 
-def _collapse(text: str) -> str:
-    return f"trim({_sub(text, SPACES, ' ')})"
-
-
 def requote(text: str) -> str:
     """Turn "…" literals into '…' with inner quotes doubled; an unpaired last " stays."""
     pieces = f"split({text}, '\"', -1)"
@@ -61,13 +56,31 @@ def drop_extra_closers(text: str) -> str:
     return f"CASE WHEN {occurrences(text, ')')} > {occurrences(text, '(')} THEN {cut} ELSE {text} END"
 
 
+def _case(condition: str, value: str, text: str) -> str:
+    """``value`` where a cheap test says the step can change anything, else the text as it is."""
+    return f"CASE WHEN {condition} THEN {value} ELSE {text} END"
+
+
 def with_clean_sql(df: DataFrame, sql_col: str, out: str) -> DataFrame:
-    """Add ``out``: the text with whitespace collapsed and common injection debris removed."""
+    """Add ``out``: the text with whitespace collapsed and common injection debris removed.
+
+    From the second step on, the only white space is the plain space.
+    """
+    end = f"lower(right({out}, 3))"
+    steps = [
+        f"trim({_sub(out, SPACES, ' ')})",
+        _case(f"contains({end}, '1')", _sub(out, TRAILING_OR_NUMBER, "", "ic"), out),
+        _case(f"contains({end}, '\\'')", _sub(out, TRAILING_OR_STRING, "", "ic"), out),
+        requote(out),
+        _case(has_needles(fold(out), "intersect"), _sub(out, r"\bINTERSECT\b", "INTERSECT", "ic"), out),
+        _case(has_needles(fold(out), "union"), _sub(out, r"\bUNION\b", "UNION", "ic"), out),
+        _case(f"contains({end}, 'or')", _sub(out, DANGLING_OR, "", "ic"), out),
+        _case(f"contains({out}, ';')", _sub(out, OR_AFTER_SEMICOLON, "; ", "ic"), out),
+        drop_extra_closers(out),
+        f"trim({_case(f"contains({out}, '  ')", _sub(out, SPACES, ' ', 'c'), out)})",
+    ]
     df = df.withColumn(out, F.col(sql_col))
-    no_tautology = _sub(_sub(_collapse(out), TRAILING_OR_NUMBER, "", "i"), TRAILING_OR_STRING, "", "i")
-    tidy = _sub(_sub(out, r"\bINTERSECT\b", "INTERSECT", "i"), r"\bUNION\b", "UNION", "i")
-    tidy = _sub(_sub(tidy, DANGLING_OR, "", "i"), OR_AFTER_SEMICOLON, "; ", "i")
-    for step in (no_tautology, requote(out), tidy, drop_extra_closers(out), _collapse(out)):
+    for step in steps:
         df = df.withColumn(out, F.expr(step))
     return df
 

@@ -8,57 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import BUILTIN_RULES, MAX_RULE_WEIGHT, SEVERITY_WEIGHT, UNKNOWN_SEVERITY_WEIGHT, Rule
-from ..functions.dialect import fold, listed, matches, regex_literal, text_literal
+from ..functions.dialect import listed, matches, regex_literal, squeeze, text_literal
 from ..functions.numbers import fixed
 from ..functions.staging import pinned
 
 HITS, TEXT, FOLDED = "_kw_hits", "_kw_text", "_kw_folded"
-ANY_HIT = f"array_contains({HITS}, true)"
 
 
 def with_hits(df: DataFrame, sql_col: str, rules: Sequence[Rule]) -> DataFrame:
-    """Add the hit vector, one boolean per rule, from which everything else is read.
+    """Add the numbers of the matched rules, in catalogue order; everything else is read from them.
 
-    The vector is pinned, so each regex runs once per row however many columns are derived from it
+    The list is pinned, so each regex runs once per row however many columns are derived from it
     and whatever they are filtered by.  NULL and blank text match nothing.
     """
-    df = df.withColumn(TEXT, F.coalesce(F.col(sql_col), F.lit(""))).withColumn(FOLDED, F.expr(fold(TEXT)))
+    df = df.withColumn(TEXT, F.coalesce(F.col(sql_col), F.lit(""))).withColumn(FOLDED, F.expr(squeeze(TEXT)))
     nonblank = matches(TEXT, FOLDED, r"[^\s]")
     hits = []
-    for r in rules:
+    for i, r in enumerate(rules):
         hit = matches(TEXT, FOLDED, r.pattern, r.flags, r.needles)
         # A pattern with literals cannot match blank text anyway.
-        hits.append(hit if r.needles else f"({nonblank} AND {hit})")
-    return pinned(df, HITS, f"array({', '.join(hits)})").drop(FOLDED)
+        hits.append((hit if r.needles else f"{nonblank} AND {hit}", str(i)))
+    return pinned(df, HITS, listed(hits)).drop(FOLDED)
 
 
-def _labels(rules: Sequence[Rule], field: str) -> str:
-    return listed([(f"{HITS}[{i}]", text_literal(getattr(r, field))) for i, r in enumerate(rules)])
+def _of_hits(values: Sequence[str]) -> str:
+    """Per hit, the rule's entry in a list of SQL literals."""
+    return f"transform({HITS}, i -> array({', '.join(values)})[i])"
 
 
-def _any_of(indexes: Sequence[int]) -> str:
-    return "(" + (" OR ".join(f"{HITS}[{i}]" for i in indexes) or "false") + ")"
+def _labels(rules: Sequence[Rule], field: str) -> str:
+    return _of_hits([text_literal(getattr(r, field)) for r in rules])
 
 
 def risk_score(rules: Sequence[Rule]) -> str:
     """min(1, max(severest hit, summed weight / 0.80)); summed in catalogue order."""
-    total = " + ".join(f"CASE WHEN {HITS}[{i}] THEN {float(r.weight)!r}D ELSE 0D END" for i, r in enumerate(rules))
-    by_weight: dict[float, list[int]] = {}
-    for i, r in enumerate(rules):
-        by_weight.setdefault(SEVERITY_WEIGHT.get(r.severity, UNKNOWN_SEVERITY_WEIGHT), []).append(i)
-    severest = " ".join(f"WHEN {_any_of(by_weight[w])} THEN {w!r}D" for w in sorted(by_weight, reverse=True))
-    score = f"least(1D, greatest(CASE {severest} ELSE 0D END, ({total}) / {MAX_RULE_WEIGHT!r}D))"
-    return f"CASE WHEN {ANY_HIT} THEN {score} ELSE 0D END"
+    severities = _of_hits([f"{SEVERITY_WEIGHT.get(r.severity, UNKNOWN_SEVERITY_WEIGHT)!r}D" for r in rules])
+    total = f"aggregate({_of_hits([f'{float(r.weight)!r}D' for r in rules])}, 0D, (sum, weight) -> sum + weight)"
+    score = f"least(1D, greatest(array_max({severities}), {total} / {MAX_RULE_WEIGHT!r}D))"
+    return f"CASE WHEN size({HITS}) > 0 THEN {score} ELSE 0D END"
 
 
 def recommendation(rules: Sequence[Rule], strict: bool) -> str:
-    def of(severity: str) -> str:
-        return _any_of([i for i, r in enumerate(rules) if r.severity == severity])
+    def any_of(severity: str) -> str:
+        numbers = ", ".join(str(i) for i, r in enumerate(rules) if r.severity == severity)
+        return f"arrays_overlap({HITS}, array({numbers}))" if numbers else "false"
 
     high = "REJECT" if strict else "FLAG_FOR_REVIEW"
     return (
-        f"CASE WHEN NOT {ANY_HIT} THEN 'ALLOW' WHEN {of('CRITICAL')} THEN 'REJECT' "
-        f"WHEN {of('HIGH')} THEN '{high}' ELSE 'FLAG_FOR_REVIEW' END"
+        f"CASE WHEN size({HITS}) = 0 THEN 'ALLOW' WHEN {any_of('CRITICAL')} THEN 'REJECT' "
+        f"WHEN {any_of('HIGH')} THEN '{high}' ELSE 'FLAG_FOR_REVIEW' END"
     )
 
 
@@ -73,12 +71,15 @@ def snippet(text: str, rule: Rule) -> str:
 
 
 def match_details(rules: Sequence[Rule]) -> str:
+    """Per hit a struct of the rule's fields and the snippet."""
+
     def entry(r: Rule) -> str:
         fields = {"rule": r.name, "attack_type": r.attack_type, "severity": r.severity, "description": r.description}
         fixed_part = ", ".join(f"'{k}', {text_literal(v)}" for k, v in fields.items())
         return f"named_struct({fixed_part}, 'snippet', {snippet(TEXT, r)})"
 
-    return listed([(f"{HITS}[{i}]", entry(r)) for i, r in enumerate(rules)])
+    branches = " ".join(f"WHEN i = {i} THEN {entry(r)}" for i, r in enumerate(rules))
+    return f"transform({HITS}, i -> CASE {branches} END)"
 
 
 def keyword_scan(
@@ -96,7 +97,7 @@ def keyword_scan(
     rules = (*BUILTIN_RULES, *extra_rules)
     df = with_hits(df, sql_col, rules)
     columns = {
-        "flagged": ANY_HIT,
+        "flagged": f"size({HITS}) > 0",
         "keyword_risk_score": risk_score(rules),
         "matched_rules": _labels(rules, "name"),
         "attack_types_found": f"array_distinct({_labels(rules, 'attack_type')})",

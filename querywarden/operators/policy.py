@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import DANGEROUS_FUNCTIONS, FORBIDDEN_KEYWORDS, POLICY_PATTERNS
-from ..functions.dialect import fold, listed, matches, occurrences, regex_literal, text_literal
+from ..functions.dialect import listed, matches, occurrences, regex_literal, squeeze, text_literal
 from ..functions.staging import pinned
 
 FAMILIES = ("forbidden_keywords", "dangerous_functions", "suspicious_patterns", "structural_anomalies")
@@ -62,7 +62,7 @@ def check_boundaries(
     checks = _violations("strict" if strict else "lenient", extra_patterns or {})
     df = df.withColumn(TEXT, F.coalesce(F.col(sql_col), F.lit("")))
     df = df.withColumns({UPPER: F.upper(TEXT), LOWER: F.lower(TEXT)})
-    df = df.withColumn(FOLDED, F.expr(fold(LOWER)))
+    df = df.withColumn(FOLDED, F.expr(squeeze(LOWER)))
     df = pinned(df, "policy_checks", "named_struct(" + ", ".join(f"'{n}', {c}" for n, c in checks.items()) + ")")
     family = [F.col("policy_checks")[n] for n in FAMILIES]
     risk = reduce(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions.catalogue import (
     BUILTIN_RULES, DANGEROUS_FUNCTIONS, FORBIDDEN_KEYWORDS, PATTERN_LABELS, POLICY_PATTERNS, SEVERITY_WEIGHT, Rule,
 )
-from ..functions.dialect import SPACE, WORD
+from ..functions.dialect import SPACE as NEAR_SPACE, WIDE_SPACE, WORD
 from ..functions.structure import SKELETON_FIELDS, TREE_FEATURES
 from .queries import EXTRA_PATTERNS, EXTRA_RULES
 from .querylog import BASE, MESSY_TEMPLATES, TEMPLATES
@@ -24,6 +24,8 @@ def ctes(*parts: str) -> str:
     return "WITH " + ", ".join(parts)
 
 
+SPACE = NEAR_SPACE + WIDE_SPACE
+
 # ---- patterns ----------------------------------------------------------------------------------
 
 
@@ -151,6 +153,11 @@ def scan_cols(rules=BUILTIN_RULES, strict: bool = True) -> dict[str, str]:
     }
 
 
+def raw_risk() -> str:
+    """The keyword risk before rounding."""
+    return scan_cols()["risk"].removeprefix("round(").removesuffix(", 6)")
+
+
 def aliased(cols: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in cols.items())
 
@@ -298,10 +305,9 @@ def verdict_ctes(src: str, out: str, weight: float, flag: float, reject: float,
     labels = joined([(c, PATTERN_LABELS[k]) for k, c in pats.items()])
     shown = joined([(c, PATTERN_LABELS[k]) for k, c in pats.items()], "', '")
     kw = aliased({f"k_{k}": v for k, v in cols.items()})
-    raw_risk = cols["risk"].removeprefix("round(").removesuffix(", 6)")
     return (
         f"{hits_cte(unicode=unicode, src=src)}, "
-        f"{out}1 AS (SELECT *, {kw}, {raw_risk} AS kr, {n} AS np, {labels} AS patt, {shown} AS shown, "
+        f"{out}1 AS (SELECT *, {kw}, {raw_risk()} AS kr, {n} AS np, {labels} AS patt, {shown} AS shown, "
         f"CASE WHEN wf THEN {similarity} ELSE 0::DOUBLE END AS al FROM hits), "
         f"{out}2 AS (SELECT *, CASE WHEN wf IS NOT TRUE THEN 1::DOUBLE ELSE least(1::DOUBLE, np * {weight}::DOUBLE) END AS ar FROM {out}1), "
         f"{out}3 AS (SELECT *, CASE WHEN sql IS NULL THEN 1::DOUBLE ELSE least(1::DOUBLE, 0.4::DOUBLE * kr + 0.6::DOUBLE * ar) END AS risk FROM {out}2), "
@@ -535,9 +541,9 @@ def oracle() -> dict[str, str]:
         "rule, attack_type, severity, description, snippet FROM details",
         "keyword_risk": f"{ctes(LOG, hits_cte())} SELECT risk, recommendation, count(*) AS n FROM (SELECT {aliased(scan_cols())} FROM hits) GROUP BY ALL",
         "keyword_explain_log": f"{ctes(LOG, hits_cte(), detail_rows())}, lines AS (SELECT id, {explain_lines} AS t FROM details GROUP BY id), "
-        f"heads AS (SELECT id, {aliased(scan_cols())} FROM hits) "
+        f"heads AS (SELECT id, {aliased({**scan_cols(), 'raw': raw_risk()})} FROM hits) "
         "SELECT heads.id, CASE WHEN flagged = 0 THEN '✅ Query passed all keyword rules — no suspicious patterns detected.' ELSE "
-        "'🚨 Query FLAGGED — risk score: ' || printf('%.2f', risk) || chr(10) || '   Recommendation: ' || recommendation || chr(10) || "
+        "'🚨 Query FLAGGED — risk score: ' || printf('%.2f', raw) || chr(10) || '   Recommendation: ' || recommendation || chr(10) || "
         "'   Attack types detected: ' || replace(attack_types, ',', ', ') || chr(10) || chr(10) || '   Matched rules:' || chr(10) || t END AS explanation "
         "FROM heads LEFT JOIN lines USING (id)",
         "rule_hit_counts": f"{ctes(LOG, hits_cte())} "
