@@ -26,7 +26,7 @@ _RULE_ROWS = [
     ("comment_double_dash", r"--", "", "comment_injection", "HIGH",
      "SQL end-of-line comment (--) – used to nullify trailing WHERE clauses", "--"),
     ("comment_block", r"/\*.*?\*/", "s", "comment_injection", "HIGH",
-     "SQL block comment (/* ... */) – can hide injected payload", "/* */"),
+     "SQL block comment (/* ... */) – can hide injected payload", "=/* */"),
     ("comment_hash", r"#\s", "", "comment_injection", "MEDIUM",
      "MySQL hash comment (#) – used to terminate query early", "#"),
     ("delay_sleep", r"\bSLEEP\s*\(", "i", "time_delay", "CRITICAL",
@@ -83,7 +83,7 @@ DANGEROUS_FUNCTIONS = {
 
 # name, pattern (ignore case, dot stops at a line end), literals as above
 POLICY_PATTERNS = [
-    ("comment_injection", r"(--\s*|/\*.*?\*/|#\s*)", "-- | # | /* */"),
+    ("comment_injection", r"(--\s*|/\*.*?\*/|#\s*)", "=-- | =# | =/* */"),
     ("tautology", r"(1\s*=\s*1|'1'\s*=\s*'1'|true\s*=\s*true)", "1=1 | '1'='1' | true=true"),
     ("union_inject",
      r"(?:union\s+(?:all\s+)?select\s+null|union\s+(?:all\s+)?select\b.{0,120}information_schema)",

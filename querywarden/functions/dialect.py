@@ -98,13 +98,18 @@ def squeeze(text: str) -> str:
     return f"regexp_replace({fold(text)}, {regex_literal(SPACES)}, '')"
 
 
-def has_needles(folded: str, needles: str) -> str:
+def has_needles(folded: str, needles: str, text: str = "") -> str:
     """Cheap necessary test for a pattern: literals that every match must contain.
 
-    Alternatives are separated by `` | ``; the words of one alternative must follow each other.
-    A plain byte search is far cheaper than a regex, and most rows fail it.
+    Alternatives are separated by `` | ``; the words of one alternative must follow each other.  An
+    alternative that starts with ``=`` is looked for in ``text`` itself.  A plain byte search is far
+    cheaper than a regex, and most rows fail it.
     """
-    return "(" + " OR ".join(_in_order(folded, alt.split(" ")) for alt in needles.split(" | ")) + ")"
+    alternatives = [
+        _in_order(text, alt[1:].split(" ")) if alt.startswith("=") else _in_order(folded, alt.split(" "))
+        for alt in needles.split(" | ")
+    ]
+    return "(" + " OR ".join(alternatives) + ")"
 
 
 def _in_order(folded: str, words: list[str]) -> str:
@@ -121,13 +126,13 @@ def _in_order(folded: str, words: list[str]) -> str:
 def matches(text: str, folded: str, pattern: str, flags: str = "", needles: str = "") -> str:
     """``re.search(pattern, text) is not None``, behind its literal pre-test."""
     hit = f"{text} RLIKE {regex_literal(pattern, flags)}"
-    return f"({has_needles(folded, needles)} AND {hit})" if needles else f"({hit})"
+    return f"({has_needles(folded, needles, text)} AND {hit})" if needles else f"({hit})"
 
 
 def count_matches(text: str, folded: str, pattern: str, flags: str = "", needles: str = "") -> str:
     """Number of non-overlapping matches, behind the same pre-test."""
     n = f"regexp_count({text}, {regex_literal(pattern, flags)})"
-    return f"CASE WHEN {has_needles(folded, needles)} THEN {n} ELSE 0 END" if needles else n
+    return f"CASE WHEN {has_needles(folded, needles, text)} THEN {n} ELSE 0 END" if needles else n
 
 
 def occurrences(text: str, char: str) -> str:

@@ -31,16 +31,18 @@ def _sub(text: str, pattern: str, replacement: str, flags: str = "") -> str:
     return f"regexp_replace({text}, {regex_literal(pattern, flags)}, '{replacement}')"
 
 
-def requote(text: str) -> str:
-    """Turn "…" literals into '…' with inner quotes doubled; an unpaired last " stays."""
-    pieces = f"split({text}, '\"', -1)"
+def requote(pieces: str, text: str) -> str:
+    """Turn "…" literals into '…' with inner quotes doubled; an unpaired last " stays.
+
+    ``pieces`` is the text split at ", or NULL if it has none.
+    """
     # With an even number of pieces the last quote has no partner.
     unpaired = f"size({pieces}) % 2 = 0 AND i = size({pieces}) - 1"
     quoted = (
         f"transform({pieces}, (piece, i) -> CASE WHEN i % 2 = 0 THEN piece WHEN {unpaired} THEN concat('\"', piece) "
         r"ELSE concat('\'', replace(piece, '\'', '\'\''), '\'') END)"
     )
-    return f"CASE WHEN contains({text}, '\"') THEN array_join({quoted}, '') ELSE {text} END"
+    return f"CASE WHEN {pieces} IS NOT NULL THEN array_join({quoted}, '') ELSE {text} END"
 
 
 def drop_extra_closers(text: str) -> str:
@@ -66,12 +68,12 @@ def with_clean_sql(df: DataFrame, sql_col: str, out: str) -> DataFrame:
 
     From the second step on, the only white space is the plain space.
     """
-    end = f"lower(right({out}, 3))"
+    end, pieces = f"lower(right({out}, 3))", f"{out}_pieces"
     steps = [
         f"trim({_sub(out, SPACES, ' ')})",
         _case(f"contains({end}, '1')", _sub(out, TRAILING_OR_NUMBER, "", "ic"), out),
         _case(f"contains({end}, '\\'')", _sub(out, TRAILING_OR_STRING, "", "ic"), out),
-        requote(out),
+        requote(pieces, out),
         _case(has_needles(fold(out), "intersect"), _sub(out, r"\bINTERSECT\b", "INTERSECT", "ic"), out),
         _case(has_needles(fold(out), "union"), _sub(out, r"\bUNION\b", "UNION", "ic"), out),
         _case(f"contains({end}, 'or')", _sub(out, DANGLING_OR, "", "ic"), out),
@@ -80,16 +82,29 @@ def with_clean_sql(df: DataFrame, sql_col: str, out: str) -> DataFrame:
         f"trim({_case(f"contains({out}, '  ')", _sub(out, SPACES, ' ', 'c'), out)})",
     ]
     df = df.withColumn(out, F.col(sql_col))
-    for step in steps:
+    for i, step in enumerate(steps):
+        if i == 3:
+            df = df.withColumn(pieces, F.expr(f"CASE WHEN contains({out}, '\"') THEN split({out}, '\"', -1) END"))
         df = df.withColumn(out, F.expr(step))
-    return df
+    return df.drop(pieces)
 
 
 def masked(text: str) -> str:
-    """The text with every literal emptied and every comment removed."""
-    mask = _sub(text, MASK, " $1$2$1$2 ", "s")
-    quick = rf"contains({text}, '\'') OR contains({text}, '--') OR contains({text}, '/*')"
-    return f"CASE WHEN {quick} THEN {mask} ELSE {text} END"
+    """The text with every literal emptied and every comment removed.
+
+    A comment that never ends would be searched for an end from each of its openers, so openers
+    behind the last ``*/`` are hidden from the pattern by a control character.
+    """
+    tail = f"substring_index({text}, '*/', -1)"
+    head = f"left({text}, length({text}) - length({tail}))"
+    hidden = f"concat({head}, replace({tail}, '/*', '/\\u0001*'))"
+    open_ended = f"contains({tail}, '/*') AND NOT contains({text}, '\\u0001')"
+    mask = " $1$2$1$2 "
+    return (
+        f"CASE WHEN NOT (contains({text}, '\\'') OR contains({text}, '--') OR contains({text}, '/*')) THEN {text} "
+        f"WHEN {open_ended} THEN replace({_sub(hidden, MASK, mask, 's')}, '/\\u0001*', '/*') "
+        f"ELSE {_sub(text, MASK, mask, 's')} END"
+    )
 
 
 def well_formed(mask: str) -> str:

@@ -121,7 +121,7 @@ def hits_cte(rules=BUILTIN_RULES, unicode: bool = False, keep: str = "*", src: s
     cols = ", ".join(
         f"(regexp_matches(sql, {flagged(re2(r, unicode), r.flags)})) AS h{i}" for i, r in enumerate(rules)
     )
-    return f"hits AS (SELECT {keep}, {cols} FROM {src})"
+    return f"hits AS MATERIALIZED (SELECT {keep}, {cols} FROM {src})"
 
 
 def scan_cols(rules=BUILTIN_RULES, strict: bool = True) -> dict[str, str]:
@@ -207,7 +207,7 @@ def clean_ctes(src: str = "log", out: str = "cleaned", text: str = "sql", p: str
         f"ELSE {c}3 END AS {c}4 FROM {out}5), "
         f"{out}7 AS (SELECT *, trim({sub(f'{c}4', SPACES, ' ')}) AS {p}clean FROM {out}6), "
         f"{out}8 AS (SELECT *, regexp_replace({p}clean, {lit(MASK)}, ' \\1\\1 ', 'g') AS {p}mask FROM {out}7), "
-        f"{out} AS (SELECT *, ({well_formed(p + 'mask')}) AS {p}wf FROM {out}8)"
+        f"{out} AS MATERIALIZED (SELECT *, ({well_formed(p + 'mask')}) AS {p}wf FROM {out}8)"
     )
 
 
@@ -278,7 +278,7 @@ def structure_ctes(src: str, out: str, p: str = "") -> str:
     return (
         f"{out}1 AS (SELECT *, trim(string_split({p}mask, ';')[1]) AS {f} FROM {src}), "
         f"{out}2 AS (SELECT *, {flat} AS {r} FROM {out}1), "
-        f"{out}3 AS (SELECT *, {', '.join(f'{e} AS {p}t_{n}' for n, e in tree.items())} FROM {out}2), "
+        f"{out}3 AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {p}t_{n}' for n, e in tree.items())} FROM {out}2), "
         f"{out} AS (SELECT *, {', '.join(f'CASE WHEN {p}wf THEN {e} END AS {p}s_{n}' for n, e in skeleton.items())} FROM {out}3)"
     )
 
@@ -307,11 +307,11 @@ def verdict_ctes(src: str, out: str, weight: float, flag: float, reject: float,
     kw = aliased({f"k_{k}": v for k, v in cols.items()})
     return (
         f"{hits_cte(unicode=unicode, src=src)}, "
-        f"{out}1 AS (SELECT *, {kw}, {raw_risk()} AS kr, {n} AS np, {labels} AS patt, {shown} AS shown, "
+        f"{out}1 AS MATERIALIZED (SELECT *, {kw}, {raw_risk()} AS kr, {n} AS np, {labels} AS patt, {shown} AS shown, "
         f"CASE WHEN wf THEN {similarity} ELSE 0::DOUBLE END AS al FROM hits), "
         f"{out}2 AS (SELECT *, CASE WHEN wf IS NOT TRUE THEN 1::DOUBLE ELSE least(1::DOUBLE, np * {weight}::DOUBLE) END AS ar FROM {out}1), "
         f"{out}3 AS (SELECT *, CASE WHEN sql IS NULL THEN 1::DOUBLE ELSE least(1::DOUBLE, 0.4::DOUBLE * kr + 0.6::DOUBLE * ar) END AS risk FROM {out}2), "
-        f"{out} AS (SELECT *, CASE WHEN sql IS NULL OR (risk >= {reject}::DOUBLE AND (k_flagged = 1 OR wf IS NOT TRUE OR np > 0 OR al < 0.6::DOUBLE)) "
+        f"{out} AS MATERIALIZED (SELECT *, CASE WHEN sql IS NULL OR (risk >= {reject}::DOUBLE AND (k_flagged = 1 OR wf IS NOT TRUE OR np > 0 OR al < 0.6::DOUBLE)) "
         f"THEN 'REJECT' WHEN risk >= {flag}::DOUBLE THEN 'FLAG_FOR_REVIEW' ELSE 'ALLOW' END AS action FROM {out}3)"
     )
 
