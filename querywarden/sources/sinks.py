@@ -32,7 +32,14 @@ def csv_rows(rows: DataFrame, *keys: str) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Write the tabular layout as CSV part files with headers and doubled quotes."""
-    csv_rows(rows).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    options = {
+        "header": True,
+        "escape": '"',
+        "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    csv_rows(rows).write.options(**options).csv(path)
 
 
 def write_report(report: DataFrame, rows: DataFrame, path: str) -> None:
