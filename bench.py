@@ -20,7 +20,7 @@ from querywarden.operators.keyword import keyword_scan  # noqa: E402
 from querywarden.operators.policy import check_boundaries  # noqa: E402
 from querywarden.operators.verdict import score  # noqa: E402
 from querywarden.plans.queries import REGISTRY, _corpus  # noqa: E402
-from querywarden.plans.querylog import query_log, table  # noqa: E402
+from querywarden.plans.querylog import query_log, texts  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -44,7 +44,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     log = query_log(spark, SF_DIR)
-    docs = table(spark, SF_DIR, "documents")
+    docs = texts(spark, SF_DIR, "documents")
     runs = {
         "verdict_all_columns": lambda: consume(score(log)),
         "verdict_action": lambda: consume(score(log).select("id", "action")),
@@ -60,6 +60,7 @@ def main() -> None:
         start = time.perf_counter()
         run()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     rows, size = log.count(), docs.selectExpr("sum(octet_length(text))").first()[0]
     scale = re.search(r"sf([0-9.]+)", SF_DIR)
     print(

@@ -21,7 +21,7 @@ from ..sources.corpus import normalise_corpus
 from ..sources.sinks import csv_rows, slim_rows
 from ..sources.storage import shared_dir
 from ..streaming.guard import start_guard
-from .querylog import TEMPLATES, as_corpus, gold_queries, labelled_documents, messy_log, query_log, table
+from .querylog import TEMPLATES, as_corpus, gold_queries, labelled_documents, messy_log, query_log, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -107,7 +107,7 @@ def rule_hit_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scan_text(spark: SparkSession, sf: str, name: str, keys: list[str], text: str) -> DataFrame:
-    return keyword_scan(table(spark, sf, name), text).select(*keys, *_scan_columns())
+    return keyword_scan(texts(spark, sf, name), text).select(*keys, *_scan_columns())
 
 
 @query
@@ -136,7 +136,7 @@ def suspicious_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def doc_suspicious_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    found = with_suspicious_patterns(table(spark, sf, "documents"), "text")
+    found = with_suspicious_patterns(texts(spark, sf, "documents"), "text")
     return found.select("doc_id", *[num(f).alias(f) for f in PATTERN_LABELS])
 
 
@@ -157,13 +157,13 @@ def clean_sql_messy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def doc_clean_sql(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = _clean(table(spark, sf, "documents"), "doc_id", "text")
+    cleaned = _clean(texts(spark, sf, "documents"), "doc_id", "text")
     return cleaned.select("doc_id", F.md5("clean").alias("clean_md5"), F.md5("mask").alias("mask_md5"), "well_formed")
 
 
 @query
 def page_clean_sql(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = _clean(table(spark, sf, "pages"), "page_id", "html")
+    cleaned = _clean(texts(spark, sf, "pages"), "page_id", "html")
     return cleaned.select("page_id", F.md5("clean").alias("clean_md5"), F.md5("mask").alias("mask_md5"), "well_formed")
 
 
@@ -271,7 +271,7 @@ def policy_extra_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_policy(spark: SparkSession, sf: str) -> DataFrame:
-    return _policy(check_boundaries(table(spark, sf, "pages"), "html"), "page_id")
+    return _policy(check_boundaries(texts(spark, sf, "pages"), "html"), "page_id")
 
 
 @query
@@ -371,7 +371,7 @@ def fused_null_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def doc_fused(spark: SparkSession, sf: str) -> DataFrame:
-    return _verdict(score(table(spark, sf, "documents"), "text"), "doc_id").drop("ast_alignment_score")
+    return _verdict(score(texts(spark, sf, "documents"), "text"), "doc_id").drop("ast_alignment_score")
 
 
 @query
@@ -557,7 +557,7 @@ def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def entropy(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     return docs.select(
         "doc_id",
         r6(signals.char_entropy(F.col("text"))).alias("char_entropy"),
@@ -585,13 +585,13 @@ def nlq_divergence(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def char_triggers(spark: SparkSession, sf: str) -> DataFrame:
     flags = signals.char_triggers(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", *[num(c).alias(n) for n, c in flags.items()])
+    return texts(spark, sf, "pages").select("page_id", *[num(c).alias(n) for n, c in flags.items()])
 
 
 @query
 def doc_char_triggers(spark: SparkSession, sf: str) -> DataFrame:
     flags = signals.char_triggers(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", *[num(c).alias(n) for n, c in flags.items()])
+    return texts(spark, sf, "documents").select("doc_id", *[num(c).alias(n) for n, c in flags.items()])
 
 
 @query

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import spread
+
 BASE = "SELECT o_orderkey FROM orders WHERE o_custkey = {c}"
 
 # template, toxic, attack type
@@ -73,6 +75,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text is to be scored."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _fill(template: str = "template", customer: str = "o_custkey", key: str = "o_orderkey"):
     text = F.replace(F.col(template), F.lit("{c}"), F.col(customer).cast("string"))
     return F.replace(text, F.lit("{k}"), F.col(key).cast("string"))
@@ -82,7 +89,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, tid, db_id, question, toxic, attack, sql: one query per order."""
     rows = [(i, t, toxic, attack) for i, (t, toxic, attack) in enumerate(TEMPLATES)]
     templates = F.broadcast(spark.createDataFrame(rows, "tid INT, template STRING, toxic INT, attack STRING"))
-    orders = table(spark, sf_dir, "orders")
+    orders = texts(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     joined = orders.join(templates, F.col("o_orderkey") % len(TEMPLATES) == F.col("tid"))
     return joined.select(
         F.col("o_orderkey").alias("id"),
@@ -99,7 +106,8 @@ def messy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, sql: untidy text, one per order."""
     rows = list(enumerate(MESSY_TEMPLATES))
     templates = F.broadcast(spark.createDataFrame(rows, "tid INT, template STRING"))
-    joined = table(spark, sf_dir, "orders").join(templates, F.col("o_orderkey") % len(MESSY_TEMPLATES) == F.col("tid"))
+    orders = texts(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    joined = orders.join(templates, F.col("o_orderkey") % len(MESSY_TEMPLATES) == F.col("tid"))
     return joined.select(F.col("o_orderkey").alias("id"), _fill().alias("sql"))
 
 
@@ -120,7 +128,7 @@ def as_corpus(log: DataFrame) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a toxic label as a corpus: real, long, multilingual text."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("query"),
