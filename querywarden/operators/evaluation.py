@@ -164,13 +164,25 @@ def sweep_curve(cube: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     return with_metrics(curve).withColumn("threshold", F.col("step") / F.lit(float(STEPS)))
 
 
+POINT = ("step", "threshold", "f1", "precision", "recall", "accuracy", "tp", "fp", "tn", "fn")
+
+
 def best_threshold(curve: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     """The point with the highest f1 per group; the smallest threshold wins ties."""
-    fields = ("step", "threshold", "f1", "precision", "recall", "accuracy", "tp", "fp", "tn", "fn")
-    point = F.min_by(F.struct(*fields), F.struct((-F.col("f1")).alias("f"), F.col("step").alias("s")))
+    point = F.min_by(F.struct(*POINT), F.struct((-F.col("f1")).alias("f"), F.col("step").alias("s")))
     return curve.groupBy(*by).agg(point.alias("best")).select(*by, "best.*")
 
 
+def best_of_split(curve: DataFrame, split: str) -> DataFrame:
+    """The best point of one split as a one-row frame.
+
+    Picked by a conditional aggregate: a filter would be pushed down to the scoring, and the plan
+    would no longer share the cube with the other reports.
+    """
+    picked = best_threshold(curve).agg(F.max(F.when(F.col("split") == split, F.struct(*POINT))).alias("best"))
+    return picked.select(F.lit(split).alias("split"), "best.*")
+
+
 def apply_threshold(rows: DataFrame, best: DataFrame) -> DataFrame:
     """Add ``pred_sweep`` from a one-row frame with the chosen ``threshold``."""
     chosen = F.coalesce(best.select("threshold").scalar(), F.lit(0.0))
@@ -274,12 +286,12 @@ class Evaluation:
     @cached_property
     def best(self) -> DataFrame:
         """The operating point chosen on ``val``: the only one applied anywhere."""
-        return best_threshold(self.curve.filter(F.col("split") == "val"))
+        return best_of_split(self.curve, "val")
 
     @cached_property
     def oracle(self) -> DataFrame:
         """The point that would have been best on ``test``, for reference only."""
-        return best_threshold(self.curve.filter(F.col("split") == "test"))
+        return best_of_split(self.curve, "test")
 
     @cached_property
     def metrics(self) -> DataFrame:

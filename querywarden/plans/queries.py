@@ -536,8 +536,11 @@ def doc_sweep_curve(spark: SparkSession, sf: str) -> DataFrame:
 def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Score an event stream of queries through a file source and read back what the guard wrote."""
     out = shared_dir(spark, "stream_guard")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    batch = table(spark, sf, "events")
+    events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    cores = spark.sparkContext.defaultParallelism
+    if batch.rdd.getNumPartitions() < cores:
+        events = events.repartition(cores)
     rows = [(i, t) for i, (t, _, _) in enumerate(TEMPLATES)]
     templates = F.broadcast(spark.createDataFrame(rows, "tid INT, template STRING"))
     queries = events.join(templates, F.col("event_id") % len(TEMPLATES) == F.col("tid")).select(
