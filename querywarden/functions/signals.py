@@ -49,34 +49,27 @@ def is_anomaly(
     )
 
 
-def entropy(items: Column) -> Column:
-    """Shannon entropy in bits of an array's values.
+def _entropy(counts: Column) -> Column:
+    """Shannon entropy in bits from the counts c of each value: log2 n − Σ c·log2 c / n."""
 
-    The values are sorted and their run lengths c summed as c·log2 c; then H = log2 n − sum / n.
-    That is n·log n in the text's length, however many different values there are.
-    """
-    n = F.size(items)
+    def add(acc: Column, c: Column) -> Column:
+        return F.struct((acc["n"] + c).alias("n"), (acc["s"] + c * F.log2(c)).alias("s"))
 
-    def bits(run: Column) -> Column:
-        return run * F.log2(run)
-
-    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+    return F.aggregate(
+        counts, start, add, lambda acc: F.when(acc["n"] > 0, F.log2(acc["n"]) - acc["s"] / acc["n"]).otherwise(F.lit(0.0))
+    )
 
-    def step(acc: Column, item: Column) -> Column:
-        same = item.eqNullSafe(acc["value"])
-        closed = F.when(same | (acc["run"] == 0.0), F.lit(0.0)).otherwise(bits(acc["run"]))
-        return F.struct(
-            item.alias("value"),
-            F.when(same, acc["run"] + 1.0).otherwise(F.lit(1.0)).alias("run"),
-            (acc["total"] + closed).alias("total"),
-        )
 
-    total = F.aggregate(F.array_sort(items), start, step, lambda acc: acc["total"] + bits(acc["run"]))
-    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
+def _runs(sorted_text: Column, unit: str) -> Column:
+    """The runs of one repeated unit in a text whose units are sorted, so equal ones are neighbours."""
+    return F.regexp_extract_all(sorted_text, F.lit(java_regex(rf"({unit})\1*", "s")), F.lit(0))
 
 
 def char_entropy(text: Column) -> Column:
-    return F.when(text == "", F.lit(0.0)).otherwise(entropy(F.split(text, "")))
+    """Entropy of the characters: sorted, cut into runs of the same one, and only the runs summed up."""
+    runs = _runs(F.array_join(F.sort_array(F.split(text, "")), ""), ".")
+    return _entropy(F.transform(runs, lambda run: F.length(run).cast("double")))
 
 
 def tokens(text: Column) -> Column:
@@ -84,7 +77,10 @@ def tokens(text: Column) -> Column:
 
 
 def token_entropy(text: Column) -> Column:
-    return entropy(tokens(text))
+    """Entropy of the words, in the same way; every word is followed by one space."""
+    words = F.sort_array(tokens(text))
+    runs = _runs(F.concat(F.array_join(words, " "), F.lit(" ")), "[^ ]+ ")
+    return _entropy(F.transform(runs, lambda run: (F.length(run) - F.length(F.replace(run, F.lit(" "), F.lit("")))).cast("double")))
 
 
 def length_ratio(sql: Column, nlq: Column) -> Column:

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from querywarden.functions.signals import char_entropy, token_entropy
 from querywarden.functions.structure import with_structure
 from querywarden.functions.text import masked, with_clean_sql
 from querywarden.operators.keyword import keyword_scan
@@ -92,6 +93,9 @@ def test_long_hostile_text_is_scored_whole(spark):
     assert len(rows) == len(texts)
     assert not rows[0]["ast_parsed"] and rows[1]["ast_parsed"] and not rows[2]["ast_parsed"]
     assert len(check_boundaries(df).collect()) == len(texts)
+    found = df.select("id", char_entropy(F.col("sql")).alias("c"), token_entropy(F.col("sql")).alias("t")).collect()
+    values = {r["id"]: (round(r["c"], 3), round(r["t"], 3)) for r in found}
+    assert values[0] == (0.0, 0.0) and values[1] == (0.0, 0.0) and values[7] == (1.0, 0.0) and values[5][1] == 0.0
 
 
 def test_filters_stay_above_the_scan(spark):
