@@ -97,7 +97,7 @@ POLICY_PATTERNS = [
     ("subquery_bomb", r"select.*?select.*?select.*?select", "select select select select"),
 ]
 
-# label, then the structural pattern it stands for, in reporting order
+# flag and label of the suspicious patterns, in reporting order
 PATTERN_LABELS = {
     "has_comment_injection": "SQL Comment detected",
     "has_tautology": "Tautology condition detected",
@@ -106,6 +106,33 @@ PATTERN_LABELS = {
     "has_union_select": "UNION SELECT injection pattern detected",
 }
 
+# texts of the results
+VIOLATION_KINDS = ("Forbidden keyword", "Dangerous function", "Suspicious pattern")
+ANOMALIES = {
+    "statements": "Multiple statements detected",
+    "nesting": "Excessive nesting detected (possible subquery bomb)",
+    "where": "Abnormally long WHERE clause",
+    "quotes": "Unbalanced quotes detected",
+}
+RECOMMENDATIONS = {
+    "many": "Query contains multiple policy violations - REJECT",
+    "some": "Query contains policy violations - ROUTE TO SANDBOX",
+    "risk": "High-risk query - Consider additional review",
+    "destructive": "Data modification/destruction detected - REJECT",
+    "time": "Time-based attack pattern detected - REJECT",
+    "none": "Query passes policy checks",
+}
+PARSE_FAILED = "Failed to parse generated SQL"
+INCONSISTENCIES = {
+    "query_type_match": "Query type mismatch",
+    "where_clause_match": "WHERE clause mismatch",
+    "join_match": "JOIN clause mismatch",
+}
+REASON_UNPARSED = "SQL could not be parsed — possibly malformed/injected"
+REASON_ALIGNMENT = ("AST alignment ", " < threshold ")
+REASON_KEYWORD = ("Keyword gate: ", " → ")
+REASON_STRUCTURE = "AST structural anomalies: "
+
 # ---- end of fixed values -----------------------------------------------------------------------
 
 

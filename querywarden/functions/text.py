@@ -69,23 +69,22 @@ def with_clean_sql(df: DataFrame, sql_col: str, out: str) -> DataFrame:
     From the second step on, the only white space is the plain space.
     """
     end, pieces = f"lower(right({out}, 3))", f"{out}_pieces"
-    steps = [
-        f"trim({_sub(out, SPACES, ' ')})",
-        _case(f"contains({end}, '1')", _sub(out, TRAILING_OR_NUMBER, "", "ic"), out),
-        _case(f"contains({end}, '\\'')", _sub(out, TRAILING_OR_STRING, "", "ic"), out),
-        requote(pieces, out),
-        _case(has_needles(fold(out), "intersect"), _sub(out, r"\bINTERSECT\b", "INTERSECT", "ic"), out),
-        _case(has_needles(fold(out), "union"), _sub(out, r"\bUNION\b", "UNION", "ic"), out),
-        _case(f"contains({end}, 'or')", _sub(out, DANGLING_OR, "", "ic"), out),
-        _case(f"contains({out}, ';')", _sub(out, OR_AFTER_SEMICOLON, "; ", "ic"), out),
-        drop_extra_closers(out),
-        f"trim({_case(f"contains({out}, '  ')", _sub(out, SPACES, ' ', 'c'), out)})",
-    ]
+    collapsed_again = _case(f"contains({out}, '  ')", _sub(out, SPACES, " ", "c"), out)
     df = df.withColumn(out, F.col(sql_col))
-    for i, step in enumerate(steps):
-        if i == 3:
-            df = df.withColumn(pieces, F.expr(f"CASE WHEN contains({out}, '\"') THEN split({out}, '\"', -1) END"))
-        df = df.withColumn(out, F.expr(step))
+    for name, step in [
+        (out, f"trim({_sub(out, SPACES, ' ')})"),
+        (out, _case(f"contains({end}, '1')", _sub(out, TRAILING_OR_NUMBER, "", "ic"), out)),
+        (out, _case(f"contains({end}, '\\'')", _sub(out, TRAILING_OR_STRING, "", "ic"), out)),
+        (pieces, _case(f"contains({out}, '\"')", f"split({out}, '\"', -1)", "NULL")),
+        (out, requote(pieces, out)),
+        (out, _case(has_needles(fold(out), "intersect"), _sub(out, r"\bINTERSECT\b", "INTERSECT", "ic"), out)),
+        (out, _case(has_needles(fold(out), "union"), _sub(out, r"\bUNION\b", "UNION", "ic"), out)),
+        (out, _case(f"contains({end}, 'or')", _sub(out, DANGLING_OR, "", "ic"), out)),
+        (out, _case(f"contains({out}, ';')", _sub(out, OR_AFTER_SEMICOLON, "; ", "ic"), out)),
+        (out, drop_extra_closers(out)),
+        (out, f"trim({collapsed_again})"),
+    ]:
+        df = df.withColumn(name, F.expr(step))
     return df.drop(pieces)
 
 

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import PATTERN_LABELS
+from ..functions.catalogue import INCONSISTENCIES, PARSE_FAILED, PATTERN_LABELS
 from ..functions.patterns import with_suspicious_patterns
 from ..functions.structure import tree_similarity, with_structure
 
 PATTERN_PENALTY = 0.15
-PARSE_FAILED = "Failed to parse generated SQL"
 
 # Keys whose share of the rows exceeds 1/HOT_SHARE are hot, so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -64,7 +63,8 @@ def with_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None
     df = with_structure(df, sql_col)
     df = with_suspicious_patterns(df, sql_col)
     if expected_col is None:
-        df = df.withColumns({"tree_similarity": _if_formed(F.lit(1.0)), "expected_skeleton": F.lit(None).cast(df.schema["skeleton"].dataType)})
+        nothing = F.lit(None).cast(df.schema["skeleton"].dataType)
+        df = df.withColumns({"tree_similarity": _if_formed(F.lit(1.0)), "expected_skeleton": nothing})
     else:
         df = with_structure(df, expected_col, "expected_")
         usable = F.col("expected_well_formed") & (F.col(expected_col) != "")
@@ -116,18 +116,13 @@ def skeleton_consistency(generated: Column, expected: Column) -> Column:
         "table_count_match": "table_count",
     }
     same = {name: generated[field].eqNullSafe(expected[field]) for name, field in checks.items()}
-    messages = {
-        "query_type_match": "Query type mismatch",
-        "where_clause_match": "WHERE clause mismatch",
-        "join_match": "JOIN clause mismatch",
-    }
     score = sum((c.cast("int") for c in list(same.values())[1:]), same["query_type_match"].cast("int")) / F.lit(5.0)
     both = generated.isNotNull() & expected.isNotNull()
     return F.when(
         both,
         F.struct(
             *[c.alias(n) for n, c in same.items()],
-            F.array_compact(F.array(*[F.when(~same[n], F.lit(m)) for n, m in messages.items()])).alias("inconsistencies"),
+            F.array_compact(F.array(*[F.when(~same[n], F.lit(m)) for n, m in INCONSISTENCIES.items()])).alias("inconsistencies"),
             score.alias("consistency_score"),
         ),
     )

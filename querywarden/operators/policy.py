@@ -8,7 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import DANGEROUS_FUNCTIONS, FORBIDDEN_KEYWORDS, POLICY_PATTERNS
+from ..functions.catalogue import (
+    ANOMALIES,
+    DANGEROUS_FUNCTIONS,
+    FORBIDDEN_KEYWORDS,
+    POLICY_PATTERNS,
+    RECOMMENDATIONS,
+    VIOLATION_KINDS,
+)
 from ..functions.dialect import listed, matches, occurrences, regex_literal, squeeze, text_literal
 from ..functions.staging import pinned
 
@@ -30,25 +37,26 @@ def _violations(mode: str, extra_patterns: Mapping[str, str]) -> dict[str, str]:
     def found(kind: str, name: str) -> str:
         return text_literal(f"{kind} detected: {name}")
 
+    keyword, function, pattern = VIOLATION_KINDS
     keywords = [
-        (f"contains({UPPER}, '{k}') AND {UPPER} RLIKE {regex_literal(rf'{WB}{k}{WB}')}", found("Forbidden keyword", k))
+        (f"contains({UPPER}, '{k}') AND {UPPER} RLIKE {regex_literal(rf'{WB}{k}{WB}')}", found(keyword, k))
         for k in FORBIDDEN_KEYWORDS[mode]
     ]
     functions = [
-        (f"contains({LOWER}, '{f}') AND {LOWER} RLIKE {regex_literal(rf'{WB}{f}{OPEN}')}", found("Dangerous function", f))
+        (f"contains({LOWER}, '{f}') AND {LOWER} RLIKE {regex_literal(rf'{WB}{f}{OPEN}')}", found(function, f))
         for f in DANGEROUS_FUNCTIONS[mode]
     ]
     book = [*POLICY_PATTERNS, *((name, regex, "") for name, regex in extra_patterns.items())]
     patterns = [
-        (matches(LOWER, FOLDED, LINEAR_FORM.get(name, regex), "i", needles), found("Suspicious pattern", name)) for name, regex, needles in book
+        (matches(LOWER, FOLDED, LINEAR_FORM.get(name, regex), "i", needles), found(pattern, name)) for name, regex, needles in book
     ]
     where = f"regexp_extract({TEXT}, {regex_literal(WHERE_SLICE, 'is')}, 1)"
     structure = [
-        (f"{occurrences(TEXT, ';')} > 1", text_literal("Multiple statements detected")),
-        (f"{occurrences(TEXT, '(')} > 10", text_literal("Excessive nesting detected (possible subquery bomb)")),
+        (f"{occurrences(TEXT, ';')} > 1", text_literal(ANOMALIES["statements"])),
+        (f"{occurrences(TEXT, '(')} > 10", text_literal(ANOMALIES["nesting"])),
         # The slice cannot be long where the whole text is not.
-        (f"length({TEXT}) > 2000 AND length({where}) > 2000", text_literal("Abnormally long WHERE clause")),
-        (f"{occurrences(TEXT, QUOTE)} % 2 != 0", text_literal("Unbalanced quotes detected")),
+        (f"length({TEXT}) > 2000 AND length({where}) > 2000", text_literal(ANOMALIES["where"])),
+        (f"{occurrences(TEXT, QUOTE)} % 2 != 0", text_literal(ANOMALIES["quotes"])),
     ]
     return dict(zip(FAMILIES, map(listed, (keywords, functions, patterns, structure)), strict=True))
 
@@ -95,18 +103,18 @@ def recommendations(violations: Column, score: Column) -> Column:
     text = F.array_join(violations, "\n")
     found = F.array_compact(
         F.array(
-            F.when(n > 5, F.lit("Query contains multiple policy violations - REJECT")).when(
-                n > 0, F.lit("Query contains policy violations - ROUTE TO SANDBOX")
+            F.when(n > 5, F.lit(RECOMMENDATIONS["many"])).when(
+                n > 0, F.lit(RECOMMENDATIONS["some"])
             ),
-            F.when(score > 0.7, F.lit("High-risk query - Consider additional review")),
+            F.when(score > 0.7, F.lit(RECOMMENDATIONS["risk"])),
             F.when(
                 text.contains("DELETE") | text.contains("DROP"),
-                F.lit("Data modification/destruction detected - REJECT"),
+                F.lit(RECOMMENDATIONS["destructive"]),
             ),
-            F.when(F.lower(text).contains("time_delay"), F.lit("Time-based attack pattern detected - REJECT")),
+            F.when(F.lower(text).contains("time_delay"), F.lit(RECOMMENDATIONS["time"])),
         )
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Query passes policy checks")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(RECOMMENDATIONS["none"])))
 
 
 def policy_report(checked: DataFrame, sql_col: str = "sql", *keys: str) -> DataFrame:

@@ -8,7 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import Rule
+from ..functions.catalogue import (
+    REASON_ALIGNMENT,
+    REASON_KEYWORD,
+    REASON_STRUCTURE,
+    REASON_UNPARSED,
+    Rule,
+)
 from ..functions.numbers import fixed, python_list
 from ..functions.patterns import with_suspicious_patterns
 from ..functions.structure import tree_similarity, with_structure
@@ -101,22 +107,22 @@ def _reasons(config: VerdictConfig) -> Column:
     threshold = F.lit(f"{config.ast_alignment_threshold:.2f}")
     return F.array_compact(
         F.array(
-            F.when(~F.col("well_formed"), F.lit("SQL could not be parsed — possibly malformed/injected")).when(
+            F.when(~F.col("well_formed"), F.lit(REASON_UNPARSED)).when(
                 F.col("_align") < F.lit(config.ast_alignment_threshold),
-                F.concat(F.lit("AST alignment "), fixed(F.col("_align"), 2), F.lit(" < threshold "), threshold),
+                F.concat(F.lit(REASON_ALIGNMENT[0]), fixed(F.col("_align"), 2), F.lit(REASON_ALIGNMENT[1]), threshold),
             ),
             F.when(
                 F.col("_k_flagged"),
                 F.concat(
-                    F.lit("Keyword gate: "),
+                    F.lit(REASON_KEYWORD[0]),
                     F.array_join("_k_matched_rules", ", "),
-                    F.lit(" → "),
+                    F.lit(REASON_KEYWORD[1]),
                     F.col("_k_recommendation"),
                 ),
             ),
             F.when(
                 F.size("patterns_found") > 0,
-                F.concat(F.lit("AST structural anomalies: "), python_list(F.col("patterns_found"))),
+                F.concat(F.lit(REASON_STRUCTURE), python_list(F.col("patterns_found"))),
             ),
         )
     )

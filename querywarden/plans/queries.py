@@ -16,7 +16,7 @@ from ..operators import evaluation as ev
 from ..operators.alignment import check_alignment, join_gold, with_alignment
 from ..operators.keyword import keyword_explain, keyword_hits, keyword_scan
 from ..operators.policy import FAMILIES, check_boundaries, enforce_policy, policy_report, split_allowed
-from ..operators.verdict import DEFAULT, EVALUATION, batch_score, evaluation_rows, score, verdict_explain, with_detectors
+from ..operators.verdict import EVALUATION, batch_score, evaluation_rows, score, verdict_explain, with_detectors
 from ..sources.corpus import normalise_corpus
 from ..sources.sinks import csv_rows, slim_rows
 from ..sources.storage import shared_dir
@@ -636,5 +636,3 @@ def overall_score(spark: SparkSession, sf: str) -> DataFrame:
         rule(signals.STRICT).alias("anomaly_strict"),
     )
 
-
-DEFAULT_CONFIG = DEFAULT

@@ -12,7 +12,7 @@ from querywarden.operators.alignment import check_alignment, join_gold
 from querywarden.operators.keyword import keyword_explain, keyword_scan
 from querywarden.operators.policy import check_boundaries, enforce_policy, policy_report, split_allowed
 from querywarden.operators.verdict import batch_score, score, verdict_explain
-from querywarden.plans.querylog import as_corpus, gold_queries, query_log
+from querywarden.plans.querylog import as_corpus, query_log
 from querywarden.sources.corpus import normalise_corpus
 
 
@@ -118,7 +118,7 @@ def test_gold_join_with_a_hot_key(spark):
         assert {r["id"]: r["expected_sql"] for r in join_gold(gen, gold, salts=8).collect()} == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    plan = gold_queries.__name__ and got._jdf.queryExecution().executedPlan().toString()
+    plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
@@ -143,10 +143,7 @@ def test_split_rejects_bad_ratios(spark):
 def _sweep_loop(rows):
     best = None
     for k in range(101):
-        tp = sum(n for y, s, n in rows if y == 1 and s > k / 100)
-        fp = sum(n for y, s, n in rows if y == 0 and s > k / 100)
-        tn = sum(n for y, s, n in rows if y == 0 and not s > k / 100)
-        fn = sum(n for _, _, n in rows) - tp - fp - tn if k < 0 else sum(n for y, s, n in rows if y == 1 and not s > k / 100)
+        tp, fp, tn, fn = (sum(1 for y, s in rows if y == label and (s > k / 100) == hit) for label, hit in ((1, True), (0, True), (0, False), (1, False)))
         p, r = (tp / (tp + fp) if tp + fp else 0.0), (tp / (tp + fn) if tp + fn else 0.0)
         f1 = 2 * p * r / (p + r) if p + r else 0.0
         if best is None or f1 > best[1]:
@@ -163,7 +160,7 @@ def test_sweep_equals_the_loop(spark):
         rows = [(rng.randint(0, 1), rng.choice(values) if case else 0.5) for _ in range(400)]
         df = spark.createDataFrame(rows, "label INT, score DOUBLE").withColumns({"pred_hard": F.lit(0), "split": F.lit("val")})
         best = one(ev.best_threshold(ev.sweep_curve(ev.outcome_cube(df))))
-        want = _sweep_loop([(y, s, 1) for y, s in rows])
+        want = _sweep_loop(rows)
         assert (best["threshold"], best["f1"], best["tp"], best["fp"], best["tn"], best["fn"]) == want
     below = spark.createDataFrame([(v,) for v in values], "s DOUBLE").select("s", ev.thresholds_below(F.col("s")).alias("n"))
     for r in below.collect():
