@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, quality
+from querywarden.llm import chat, quality, secrets
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,22 @@ SELECT *, (failed_bits & {quality.mask("base")}) <> 0 AS base_failed, (failed_bi
 
 
 ORACLE["op10_quality_ledger"] = _ledger_sql()
+
+
+@registered
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base kinds, and all spans."""
+    out, held = secrets.with_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(*kinds: str) -> Column:
+        return F.filter(held, lambda s: s["kind"].isin(*kinds))
+
+    return out.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(joined(of(*secrets.BASE_KINDS)), 256).alias("base_sha256"),
+        joined(F.col(held)).alias("spans"),
+    )
