@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, quality, secrets
+from querywarden.llm import chat, packing, quality, secrets
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +130,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(of(*secrets.BASE_KINDS)), 256).alias("base_sha256"),
         joined(F.col(held)).alias("spans"),
     )
+
+
+@registered
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 512 to 4096 tokens, none of which needs padding."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
