@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """Give the executors this package, once for each application, so that Arrow functions find it there."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(target))
+        _SHIPPED.add(context.applicationId)
+    return df
+
+
 def arrow_column(function: Callable[[pa.Array], pa.Array], schema: T.DataType) -> Callable[[Column], Column]:
     """An Arrow function of one column. Marked non-deterministic so that Spark evaluates it once per row
     and does not repeat it below a filter."""

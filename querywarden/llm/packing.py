@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querywarden.llm.base import ship
+
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Words whose ids a task remembers at most; then it starts afresh.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: Tokens of unpacked rests that a task holds before it packs.
 POOL_TOKENS = 4_000_000
 #: Tokens of a step group.
@@ -45,28 +48,60 @@ FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
 
 class WordCache:
     """Ids of a text from the ids of its stretches between blanks and line ends. The tokenizer drops white
-    space and no token reaches across it, so the ids of a text are those of its stretches in turn."""
+    space and no token reaches across it, so the ids of a text are those of its stretches in turn. New
+    stretches are encoded many at a time, with a stretch of one control character between them."""
+
+    MARK = "\x01"
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.known: dict[str, bytes] = {"": b""}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(encoded.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        self.known: dict[str, bytes] = {}
+        self.mark = self._encode(self.MARK)
+        if len(self.mark) != 4:
+            raise ValueError("the vocabulary has no id of its own for the mark")
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > self.limit:
+            self.known.clear()
+        plain = []
+        for word in words:
+            if self.MARK in word or "<|" in word:
+                self.known[word] = self._encode(word)
+            else:
+                plain.append(word)
+        mark = np.frombuffer(self.mark, "<u4")[0]
+        for low in range(0, len(plain), 1000):
+            block = plain[low : low + 1000]
+            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(block), add_special_tokens=False).ids, "<u4")
+            ends, raw, at = np.append(np.flatnonzero(ids == mark), len(ids)).tolist(), ids.tobytes(), 0
+            for word, end in zip(block, ends, strict=True):
+                self.known[word] = raw[4 * at : 4 * end]
+                at = end + 1
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        known, new = self.known, {}
+        for words in split:
+            new.update(dict.fromkeys(w for w in words if w not in known))
+        if new:
+            self._learn(list(new))
+            if not all(w in known for words in split for w in words):  # it was cleared
+                self._learn(list({w for words in split for w in words} - known.keys()))
+        for words in split:
+            yield b"".join(map(known.__getitem__, words))
+
+
+@cache
+def word_cache(path: str) -> WordCache:
+    """One for each Python process."""
+    return WordCache(path)
 
 
 class Rest(NamedTuple):
@@ -167,6 +202,18 @@ def _stepped(windows: list[tuple[int, list[tuple]]], step_tokens: int, first_gro
     return out, first_group
 
 
+def _runs(texts: list[str], budget: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Cut a batch in runs of about `budget` characters."""
+    low = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= budget:
+            yield low, i + 1
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def pack(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS,
     end_id: int = END_ID, pool_tokens: int = POOL_TOKENS, step_tokens: int = STEP_TOKENS,
@@ -180,7 +227,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer = WordCache(vocabulary), Packer(tiers, pool_tokens)
+        cache, packer = word_cache(vocabulary), Packer(tiers, pool_tokens)
         base = TaskContext.get().partitionId() << 40
         sequence = group = 0
 
@@ -201,9 +248,10 @@ def pack(
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = cache.ids(text.as_py() or "") + end
-                packer.add(Rest(doc.as_py(), 0, ids, len(ids) // 4))
+            docs_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for low, high in _runs(texts):
+                for doc, ids in zip(docs_ids[low:high], cache.ids(texts[low:high]), strict=True):
+                    packer.add(Rest(doc, 0, ids + end, len(ids) // 4 + 1))
                 if packer.tokens > pool_tokens:
                     packer.pack()
                     yield from rows(kind)
@@ -211,4 +259,5 @@ def pack(
         if packer.windows:
             yield from rows(kind)
 
+    ship(docs)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querywarden.llm.base import WORD, arrow_column, fresh
+from querywarden.llm.base import WORD, arrow_column, fresh, ship
 
 #: Words that mark abuse.
 FLAGGED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -105,7 +105,7 @@ def ledger(docs: DataFrame, text_col: str = "text", name: str = "ledger") -> tup
     the column's name (changed if the frame has a column of that name)."""
     held = fresh(docs, name)
     raw = fresh(docs, held + "_raw")
-    out = docs.withColumn(raw, _measured(F.col(text_col)))
+    out = ship(docs).withColumn(raw, _measured(F.col(text_col)))
     fields = [F.col(raw)[m].alias(m) for m in MEASURES]
     return out.withColumn(held, F.struct(*fields, failed_bits(raw).alias("failed"))).drop(raw), held
 

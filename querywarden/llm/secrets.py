@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querywarden.llm.base import arrow_column, fresh
+from querywarden.llm.base import arrow_column, fresh, ship
 
 
 class Rule(NamedTuple):
@@ -318,7 +318,7 @@ def with_secrets(docs: DataFrame, text_col: str = "text", name: str = "secrets",
         scan = scanner(rules)
         return pa.array([[{"kind": rules[r].kind, "start": s, "end": e} for s, e, r in scan.spans(t)] for t in texts.to_pylist()], _ARROW)
 
-    return docs.withColumn(held, arrow_column(found, SPANS)(F.col(text_col))), held
+    return ship(docs).withColumn(held, arrow_column(found, SPANS)(F.col(text_col))), held
 
 
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -336,4 +336,4 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
             out.append("".join([*pieces, text[at:]]) if spans else text)
         return pa.array(out, pa.string())
 
-    return docs.withColumn(text_col, arrow_column(cut, T.StringType())(F.col(text_col)))
+    return ship(docs).withColumn(text_col, arrow_column(cut, T.StringType())(F.col(text_col)))
