@@ -37,7 +37,7 @@ from querywarden.llm.base import ship
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Words whose ids a task remembers at most; then it starts afresh.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 #: Tokens of unpacked rests that a task holds before it packs.
 POOL_TOKENS = 4_000_000
 #: Tokens of a step group.
@@ -48,52 +48,70 @@ FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
 
 class WordCache:
     """Ids of a text from the ids of its stretches between blanks and line ends. The tokenizer drops white
-    space and no token reaches across it, so the ids of a text are those of its stretches in turn. New
-    stretches are encoded many at a time, with a stretch of one control character between them."""
+    space and no token reaches across it, so the ids of a text are those of its stretches in turn.
 
-    MARK = "\x01"
+    A stretch of letters with final punctuation is two of the tokenizer's words. New runs of letters are
+    encoded many at a time and told apart by the tokens that end a word; if there are more ends than runs
+    (a few letters become two characters in lower case), each run is encoded alone."""
+
+    FINAL = ".,;:!?%$#*&)"
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.mark = self._encode(self.MARK)
-        if len(self.mark) != 4:
-            raise ValueError("the vocabulary has no id of its own for the mark")
+        self.runs: dict[str, bytes] = {"": b""}
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        plain = []
+        cut = []
+        new = {}
         for word in words:
-            if self.MARK in word or "<|" in word:
-                self.known[word] = self._encode(word)
+            run = word.rstrip(self.FINAL)
+            final = word[len(run) :]
+            if run.isalpha():
+                run = run.lower() if run.isascii() else run
+                if run not in self.runs:
+                    new[run] = None
+            elif run:
+                run, final = word, ""
+                if run not in self.runs:
+                    self.runs[run] = self._encode(run).tobytes()
+            if final not in self.runs:
+                self.runs[final] = self._encode(final).tobytes()
+            cut.append((word, run, final))
+        new = list(new)
+        for low in range(0, len(new), 1000):
+            block = new[low : low + 1000]
+            ids = self._encode(" ".join(block))
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(block):
+                raw, at = ids.tobytes(), 0
+                for run, end in zip(block, ends, strict=True):
+                    self.runs[run] = raw[4 * at : 4 * end]
+                    at = end
             else:
-                plain.append(word)
-        mark = np.frombuffer(self.mark, "<u4")[0]
-        for low in range(0, len(plain), 1000):
-            block = plain[low : low + 1000]
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(block), add_special_tokens=False).ids, "<u4")
-            ends, raw, at = np.append(np.flatnonzero(ids == mark), len(ids)).tolist(), ids.tobytes(), 0
-            for word, end in zip(block, ends, strict=True):
-                self.known[word] = raw[4 * at : 4 * end]
-                at = end + 1
+                self.runs.update((run, self._encode(run).tobytes()) for run in block)
+        runs = self.runs
+        self.known.update((word, runs[run] + runs[final]) for word, run, final in cut)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if len(self.known) + len(self.runs) > self.limit:
+            self.known.clear()
+            self.runs = {"": b""}
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        known, new = self.known, {}
-        for words in split:
-            new.update(dict.fromkeys(w for w in words if w not in known))
+        known = self.known
+        new = set().union(*split) - known.keys()
         if new:
             self._learn(list(new))
-            if not all(w in known for words in split for w in words):  # it was cleared
-                self._learn(list({w for words in split for w in words} - known.keys()))
         for words in split:
             yield b"".join(map(known.__getitem__, words))
 
