@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, decontamination, langid, packing, quality, secrets, simhash
+from querywarden.llm import chat, decontamination, html_extraction, langid, packing, quality, secrets, simhash
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +157,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+@registered
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extraction.extract(read_table(spark, sf_dir, "pages"))
