@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, decontamination, html_extraction, langid, packing, quality, secrets, simhash
+from querywarden.llm import chat, decontamination, html_extraction, langid, packing, quality, secrets, simhash, surrogates
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: A deployment keeps its key to itself; this one makes the registered query repeatable.
+SURROGATE_KEY = "example key of the registered query"
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -163,3 +165,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
+@registered
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    out, counted = surrogates.replaced(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return out.select("doc_id", "text", F.col(counted).alias("n_entities"))
