@@ -119,12 +119,9 @@ def surrogate(key: str) -> tuple[dict[str, Column], Column]:
     iban = F.expr(f"concat(substring(norm, 1, 2), lpad(CAST(98 - {rest} AS STRING), 2, '0'), tail)")
     names = F.lit(None)
     for script, syllables in SYLLABLES.items():
-        array = F.array(*map(F.lit, syllables))
         # One syllable more after every third attempt, so there are always names left.
-        pieces = F.transform(
-            F.sequence(F.lit(1), F.lit(3) + F.floor(F.col("attempt") / 3).cast("int")),
-            lambda i, array=array: F.element_at(array, F.conv(F.substring(F.col("h"), i, F.lit(1)), 16, 10).cast("int") + 1),
-        )
+        listed = ", ".join(f"'{x}'" for x in syllables)
+        pieces = F.expr(f"transform(sequence(1, 3 + CAST(attempt / 3 AS INT)), i -> element_at(array({listed}), CAST(conv(substring(h, i, 1), 16, 10) AS INT) + 1))")
         for role, ending in ENDINGS[script].items():
             names = F.when(F.col("type") == f"name_{role}_{script}", F.initcap(F.concat(F.array_join(pieces, ""), F.lit(ending)))).otherwise(names)
     columns = {"h": h, "digits": digits, "letters": letters, "code": code, "body": body, "wrong": wrong, "tail": tail}
