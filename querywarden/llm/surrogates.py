@@ -89,7 +89,7 @@ def parts_of(mention: Column, kind: Column) -> Column:
 
 def _luhn(digits: str) -> str:
     """SQL for the check digit of a string of digits."""
-    d = f"CAST(substring({digits}, length({digits}) - i + 1, 1) AS INT)"
+    d = f"try_cast(substring({digits}, length({digits}) - i + 1, 1) AS INT)"
     return f"((10 - aggregate(sequence(1, length({digits})), 0, (a, i) -> a + CASE WHEN i % 2 = 1 THEN 2 * {d} - IF({d} > 4, 9, 0) ELSE {d} END) % 10) % 10)"
 
 
@@ -110,12 +110,12 @@ def surrogate(key: str) -> tuple[dict[str, Column], Column]:
     # Never a number that was issued: the first digit is 9.
     ssn = F.concat(F.lit("9"), F.substring(digits, 1, 8))
     body = F.expr("concat(substring(norm, 1, 1), substring(digits, 1, length(norm) - 2))")
-    wrong = F.expr(f"IF(CAST(substring(norm, length(norm), 1) AS INT) = {_luhn('substring(norm, 1, length(norm) - 1)')}, 0, 1)")
+    wrong = F.expr(f"IF(try_cast(substring(norm, length(norm), 1) AS INT) = {_luhn('substring(norm, 1, length(norm) - 1)')}, 0, 1)")
     card = F.expr(f"concat(body, ({_luhn('body')} + wrong) % 10)")
     tail = F.expr(
         "array_join(transform(sequence(5, length(norm)), i -> IF(substring(norm, i, 1) RLIKE '[0-9]', substring(digits, i - 4, 1), upper(substring(letters, i, 1)))), '')"
     )
-    rest = "aggregate(split(concat(tail, substring(norm, 1, 2), '00'), ''), 0L, (a, c) -> CASE WHEN c = '' THEN a WHEN c RLIKE '[0-9]' THEN (a * 10 + CAST(c AS BIGINT)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+    rest = "aggregate(split(concat(tail, substring(norm, 1, 2), '00'), ''), 0L, (a, c) -> CASE WHEN c = '' THEN a WHEN c RLIKE '[0-9]' THEN (a * 10 + try_cast(c AS BIGINT)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
     iban = F.expr(f"concat(substring(norm, 1, 2), lpad(CAST(98 - {rest} AS STRING), 2, '0'), tail)")
     names = F.lit(None)
     for script, syllables in SYLLABLES.items():
