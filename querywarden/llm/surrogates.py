@@ -44,7 +44,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": _BEFORE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})" + _AFTER,
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\.?\d)",
-    "name": _BEFORE + _TITLE + r" \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{Ll})",
+    "name": _BEFORE + _TITLE + r" \p{Lu}\p{Ll}+(?: (?!" + _TITLE + r"(?!\p{Ll}))\p{Lu}\p{Ll}+)?(?!\p{Ll})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Syllables of names, and endings by gender; f for family names.
@@ -60,6 +60,14 @@ ENDINGS = {
 }
 
 
+def possible(text: Column) -> Column:
+    """A cheap test that every text with a match passes: an @, a title, or a digit with six more characters
+    of numbers behind it."""
+    tests = [F.contains(text, F.lit("@")), text.rlike("[0-9][0-9A-Z.() +-]{6}")]
+    tests += [F.contains(text, F.lit(title + " ")) for own in TITLES.values() for title in own]
+    return reduce(Column.__or__, tests)
+
+
 def kind_of(mention: Column) -> Column:
     """The first format that the mention has as a whole. Titles decide names, an @ an address."""
     whole = F.when(F.contains(mention, F.lit("@")), "email")
@@ -163,7 +171,7 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str =
     and that column's name (changed if the frame has a column of that name)."""
     counted = fresh(docs, count_col)
     text = F.col(text_col)
-    found = text.rlike(ANY)
+    found = possible(text) & text.rlike(ANY)
     clean = docs.where(F.coalesce(~found, F.lit(True))).withColumn(counted, F.lit(0).cast("long"))
     names = {name: fresh(docs, "pii_" + name) for name in ("hash", "mentions", "pieces", "map")}
     hold = docs.where(found).withColumns(
