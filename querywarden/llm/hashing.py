@@ -86,6 +86,11 @@ def window_hashes(words: Words, hashes: np.ndarray, size: int, which: int = 0) -
     return out, inside
 
 
+def range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of the words from start to end, by another base than a window's."""
+    return _range_hash(hashes, start, end, _GRAM[1])
+
+
 def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column in runs of about `budget` bytes: (first row, row after, bytes, offsets). A null
     has no bytes."""

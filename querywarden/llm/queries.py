@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, decontamination, html_extraction, langid, packing, quality, secrets, simhash, surrogates
+from querywarden.llm import chat, decontamination, html_extraction, langid, packing, quality, secrets, simhash, substrings, surrogates
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,10 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     out, counted = surrogates.replaced(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
     return out.select("doc_id", "text", F.col(counted).alias("n_entities"))
+
+
+@registered
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 35 words that start elsewhere too."""
+    out = substrings.deduplicated(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
