@@ -57,16 +57,22 @@ def arrow_column(function: Callable[[pa.Array], pa.Array], schema: T.DataType) -
     return run.asNondeterministic()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share. A local
-    session without that setting gets a temporary folder; a cluster session without it fails."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share. A local session without that
+    setting gets a temporary folder; a cluster session without it fails."""
     context = spark.sparkContext
+    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
+    return shared
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder; Spark removes the files by its own setting
+    (spark.cleaner.referenceTracking.cleanCheckpoints)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
