@@ -19,6 +19,7 @@ text and the word cache. The result depends on how the input is partitioned; eve
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from querywarden.llm.base import ship
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Words whose ids a task remembers at most; then it starts afresh.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_800_000
 #: Tokens of unpacked rests that a task holds before it packs.
 POOL_TOKENS = 4_000_000
 #: Tokens of a step group.
@@ -264,6 +265,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(first, kind), *[pa.array(c, pa.int64()) for c in rest]], names=[id_col, *FIELDS])
 
         kind = None
+        gc.disable()  # nothing here refers to itself, and passes over the cache's millions of entries are slow
         for batch in batches:
             kind = batch.schema.field(0).type
             docs_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -276,6 +278,7 @@ def pack(
         packer.finish()
         if packer.windows:
             yield from rows(kind)
+        gc.enable()
 
     ship(docs)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
