@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate, compress
 
 import ahocorasick
 import numpy as np
@@ -136,12 +137,17 @@ def _cut_out(window: int):
 def located(groups: list[list[tuple[int, int, str]]], window: int) -> Iterator[tuple[int, int]]:
     """groups: the segments (id, count, words) of each anchor of a shard. Gives (id, mask of recurring windows)."""
     automaton = ahocorasick.Automaton()
-    split = []
+    split, shared = [], []
     for group in groups:
+        if len(group) == 1:  # the only words around a recurring anchor, so all of them recur
+            segment, _, text = group[0]
+            yield segment, (1 << (text.count(" ") + 2 - window)) - 1
+            continue
+        shared.append(group)
         counts: dict[str, int] = {}
         cut = []
         for _, n, text in group:
-            ends = np.flatnonzero(np.array([c == " " for c in text] + [True])).tolist()
+            ends = list(accumulate(map(len, text.split(" ")), lambda total, size: total + size + 1))
             begins = [0, *(e + 1 for e in ends[:-1])]
             own = [text[b:e] for b, e in zip(begins, ends[window - 1 :], strict=False)]
             for w in own:
@@ -163,7 +169,7 @@ def located(groups: list[list[tuple[int, int, str]]], window: int) -> Iterator[t
     if not len(automaton):
         return
     automaton.make_automaton()
-    for group, cut in zip(groups, split, strict=True):
+    for group, cut in zip(shared, split, strict=True):
         for (segment, _, text), (_, ends, _) in zip(group, cut, strict=True):
             word_at = {e + 1: i for i, e in enumerate(ends)}  # places of " " in the framed text
             mask = 0
@@ -227,18 +233,16 @@ def _shards(window: int):
     return run
 
 
-def kept_words(packed: bytes | None, marks: list[dict], window: int) -> tuple[list[str], int]:
-    """The words that stay, and the number of all."""
+def kept_words(packed: bytes | None, first: np.ndarray, mask: np.ndarray, window: int) -> tuple[list[str], int]:
+    """The words that stay, and the number of all. mask: the recurring windows from word `first` on."""
     words = _words(packed)
-    if not marks:
+    if not len(first):
         return words, len(words)
-    change = np.zeros(len(words) + 1, np.int64)
-    for m in marks:
-        first, mask = m["at"] >> _BITS, m["mask"]
-        starts = first + np.flatnonzero(np.array([mask >> i & 1 for i in range(mask.bit_length())]))
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + window, -1)
-    return [w for w, covered in zip(words, np.cumsum(change[:-1]).tolist(), strict=True) if not covered], len(words)
+    mark, bit = np.nonzero(mask[:, None] >> np.arange(1 << _BITS) & 1)
+    starts = first[mark] + bit
+    n = len(words) + 1
+    change = np.bincount(starts, minlength=n) - np.bincount(starts + window, minlength=n)
+    return list(compress(words, (np.cumsum(change)[:-1] == 0).tolist())), len(words)
 
 
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -257,11 +261,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = rows.select("key", "text").where(F.col("text").isNotNull()).mapInArrow(_scan(window), "anchor long, segment long, key long, at long")
 
     recurring = found.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
-    candidates = (
-        found.join(recurring, "anchor")
-        .groupBy("anchor", "segment")
-        .agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"), F.max("total").alias("total"))
-    )
+    # Copies are merged before the join, and what follows it groups by another key, so Spark can split an
+    # anchor that very many segments share.
+    distinct = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
+    candidates = distinct.join(recurring, "anchor")
     by_doc = candidates.groupBy("one.key").agg(
         F.collect_list(F.struct(F.col("one.at").alias("at"), "anchor", "segment", "n", (F.col("total") > hot).alias("hot"))).alias("own")
     )
@@ -272,13 +275,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = checkpointed(marks.groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask")))
 
     placed = found.join(marks, ["anchor", "segment"]).select("key", "at", "mask")
-    by_doc = placed.distinct().groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    by_doc = (placed if by_id else placed.distinct()).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
 
     @F.arrow_udf(RESULT)
     def result(texts: pa.Array, marks: pa.Array) -> pa.Array:
         out = []
-        for text, own in zip(texts.to_pylist(), marks.to_pylist(), strict=True):
-            words, n = kept_words(text, own or [], window)
+        at, mask = (np.asarray(marks.values.field(f)) for f in ("at", "mask"))
+        borders = np.asarray(marks.offsets)
+        for text, low, high in zip(texts.to_pylist(), borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            words, n = kept_words(text, at[low:high] >> _BITS, mask[low:high], window)
             out.append({"n_words": n, "n_removed": n - len(words), "kept": " ".join(words)})
         return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
