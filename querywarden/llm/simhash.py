@@ -195,7 +195,9 @@ def links(fingerprints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataF
         if held and (found := close(np.concatenate(held))):
             yield table(found)
 
-    return units.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    # A fixed number of partitions: the work is in the comparing, not in the bytes by which Spark would join them.
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
