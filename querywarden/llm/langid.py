@@ -4,7 +4,7 @@ Features: runs of letters in lower case with one blank between them, n-grams of
 hashed to `BUCKETS`; log(1 + count) times the inverse document frequency, scaled to length one, and a
 constant. Document frequencies come from all training documents. The weights are fitted by
 follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a sample of at most
-`sample_rows` training documents (those with the smallest hash of their id); a seventh of the sample is
+`sample_rows` training documents (drawn by a hash of their id); a seventh of the sample is
 kept out of the fit and sets the temperature that calibrates the probabilities.
 
 A text that is null or has no letter gets `und` and score 0; so does every text if there is no training
@@ -14,6 +14,7 @@ table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -136,7 +137,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = known.select("text").mapInArrow(frequencies, "bucket long, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs"))
     seen = {r.bucket: r.docs for r in found.collect()}  # BUCKETS + 1 rows at most
     idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(b, 0) for b in range(BUCKETS)]))) + 1
-    sample = known.orderBy(F.xxhash64("id"), "id", "lang", F.xxhash64("text")).limit(sample_rows).select("text", "lang")
+    # Only a little more than the sample is gathered, however many rows and tasks there are.
+    cut = min(1 << 31, math.ceil(1.25 * sample_rows / max(1, seen.get(-1, 0)) * (1 << 31)))
+    near = known.withColumn("place", F.xxhash64("id")).where(F.pmod("place", F.lit(1 << 31)) < cut)
+    sample = near.orderBy("place", "id", "lang", F.xxhash64("text")).limit(sample_rows).select("text", "lang")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fit([(r["text"], r["lang"]) for batch in batches for r in batch.to_pylist()], idf)
