@@ -14,7 +14,7 @@ import pyarrow as pa
 _BYTE, _GRAM = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Text bytes that are hashed at a time; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
