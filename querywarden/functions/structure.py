@@ -1,6 +1,7 @@
 """Structure features of SQL text: counts and slices found by regex, not by a parser.
 
-Every feature is defined on the first statement of the cleaned and masked text.  The patterns
+Every feature is defined on the first statement of the cleaned and masked text; statements stacked behind
+it are left to the rules.  The patterns
 have no lookaround and every open-ended one is anchored, so they are linear in the text.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dialect import count_matches, fold, has_needles, regex_literal
+from .dialect import count_matches, fold, has_needles, regex_literal, text_literal
 from .staging import pinned
 from .text import masked, well_formed, with_clean_sql
 
@@ -21,8 +22,6 @@ SKELETON_FIELDS = (
     "query_type", "main_clauses", "has_where", "has_subquery", "has_union", "has_join",
     "has_aggregate", "table_count", "column_count", "condition_complexity", "clause_order",
 )
-NESTING_PASSES = 5
-
 
 
 def _words(*words: str) -> str:
@@ -40,14 +39,15 @@ _JOINS = ("LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "JOIN", "ON")
 _SET_OPERATOR = _words(*_SET_OPERATORS)
 _TABLE_REF = r"(?:\bFROM|\bJOIN)\s+[A-Za-z_]"
 _FROM_SLICE = rf"\bFROM\b([^()]*?)(?:{_words('WHERE', *_CLAUSES, *_JOINS)}|[()]|$)"
-_LAST_SET_OPERATOR = r"^.*(\bUNION|\bINTERSECT|\bEXCEPT)\b"
-_VERB = r"^\(*\s*(\w+)"
+_VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE")
+_VERB = r"^[\s(]*(\w+)"
+_OPENERS = r"^([\s(]*)"
+#: All that the root of a query depends on: nesting, list commas, verbs, set operators.
+_ROOT_TOKEN = r"([(),]|" + _words(*_VERBS, "FROM", *_SET_OPERATORS) + ")"
 _WHERE_SLICE = rf"\bWHERE\b(.*?)(?:{_words(*_CLAUSES)}|$)"
-_INNER_PARENS = r"\([^()]*\)"
 _LIST_ITEM = r",\s*[A-Za-z_]"
 _CONNECTIVE = _words("AND", "OR", "NOT")
 _BETWEEN = r"\bBETWEEN\b"
-_SELECT_LIST = r"^\s*SELECT\s+(.*?)(?:\bFROM\b|$)"
 
 
 def _group(text: str, pattern: str) -> str:
@@ -58,39 +58,57 @@ def _count(text: str, pattern: str) -> str:
     return f"regexp_count({text}, {regex_literal(pattern, 'isc')})"
 
 
+def _root(first: str, openers: str) -> str:
+    """The root of a query in one pass over its tokens, whatever the nesting.
+
+    The root's depth is the number of parentheses it is wrapped in. Fields: ``op`` is the last set operator at
+    the smallest depth that has one, if that is not inside the root; ``verb`` the first verb at the root's
+    depth (behind the definitions of a WITH); ``commas`` those of its list, up to FROM at the same depth.
+    A closer without an opener changes nothing.
+    """
+    ops = ", ".join(text_literal(w) for w in _SET_OPERATORS)
+    verbs = ", ".join(text_literal(w) for w in _VERBS)
+    base = f"length(replace({openers}, ' ', ''))"
+    found, inside = f"(t IN ({ops}) AND a.depth <= a.op_depth)", "a.depth = a.base"
+    return (
+        f"aggregate(transform(regexp_extract_all({first}, {regex_literal(_ROOT_TOKEN, 'isc')}, 1), t -> upper(t)), "
+        f"named_struct('base', {base}, 'depth', 0, 'op', '', 'op_depth', {base}, 'verb', '', 'stage', 0, 'commas', 0), "
+        "(a, t) -> named_struct('base', a.base, "
+        "'depth', CASE t WHEN '(' THEN a.depth + 1 WHEN ')' THEN greatest(a.depth - 1, 0) ELSE a.depth END, "
+        f"'op', CASE WHEN {found} THEN t ELSE a.op END, 'op_depth', CASE WHEN {found} THEN a.depth ELSE a.op_depth END, "
+        f"'verb', CASE WHEN a.verb = '' AND {inside} AND t IN ({verbs}) THEN t ELSE a.verb END, "
+        f"'stage', CASE WHEN a.stage = 0 AND {inside} AND t = 'SELECT' THEN 1 WHEN a.stage = 1 AND {inside} AND t = 'FROM' THEN 2 ELSE a.stage END, "
+        f"'commas', a.commas + CASE WHEN a.stage = 1 AND {inside} AND t = ',' THEN 1 ELSE 0 END))"
+    )
+
+
 def with_structure(df: DataFrame, sql_col: str = "sql", prefix: str = "") -> DataFrame:
     """Add ``well_formed``, ``tree`` (9 features) and ``skeleton`` (11 fields); both NULL if not well formed."""
     p = prefix
-    clean, mask, first, flat, folded, verb, operator, items, where, counts = names = [
-        f"_{p}{n}"
-        for n in ("clean", "mask", "first", "flat", "folded", "verb", "operator", "items", "where", "counts")
+    clean, mask, first, root, folded, verb, items, where, counts = names = [
+        f"_{p}{n}" for n in ("clean", "mask", "first", "root", "folded", "verb", "items", "where", "counts")
     ]
     formed, tree, skeleton = (f"{p}{n}" for n in ("well_formed", "tree", "skeleton"))
     df = with_clean_sql(df, sql_col, clean)
     df = pinned(df, mask, masked(clean)).drop(clean)
     df = df.withColumn(formed, F.expr(well_formed(mask)))
     df = df.withColumn(first, F.expr(f"trim(CASE WHEN contains({mask}, ';') THEN split({mask}, ';', -1)[0] ELSE {mask} END)"))
-    no_parens = first
-    for _ in range(NESTING_PASSES):
-        no_parens = f"regexp_replace({no_parens}, {regex_literal(_INNER_PARENS)}, '')"
-    df = df.withColumn(flat, F.expr(f"CASE WHEN contains({first}, '(') THEN {no_parens} ELSE {first} END"))
     df = df.withColumn(folded, F.expr(fold(first)))
     # Each slice is a column, so that it is cut out once however often it is read.
-    has_operator = has_needles(fold(flat), "union | intersect | except")
     slices = f"array_join(regexp_extract_all({first}, {regex_literal(_FROM_SLICE, 'isc')}, 1), '|')"
     parts = {
-        verb: _group(flat, _VERB),
-        operator: f"CASE WHEN {has_operator} THEN {_group(flat, _LAST_SET_OPERATOR)} ELSE '' END",
+        verb: _group(first, _VERB),
+        root: _root(first, _group(first, _OPENERS)),
         # Joined with a bar, so that counting in the joined slices cannot reach across two of them.
         items: f"CASE WHEN {has_needles(folded, 'from ,')} THEN {slices} ELSE '' END",
         where: f"CASE WHEN {has_needles(folded, 'where')} THEN {_group(first, _WHERE_SLICE)} ELSE '' END",
     }
     df = df.withColumns({name: F.expr(part) for name, part in parts.items()})
-    df = df.withColumn(counts, F.expr(_named_struct(_tree_counts(first, folded, verb, operator, items))))
+    df = df.withColumn(counts, F.expr(_named_struct(_tree_counts(first, folded, verb, root, items))))
     df = df.withColumns(
         {
             tree: F.expr(f"CASE WHEN {formed} THEN {counts} END"),
-            skeleton: F.expr(f"CASE WHEN {formed} THEN {_named_struct(_skeleton(counts, flat, where))} END"),
+            skeleton: F.expr(f"CASE WHEN {formed} THEN {_named_struct(_skeleton(counts, root, where))} END"),
         }
     )
     return df.drop(*names)
@@ -100,7 +118,7 @@ def _named_struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def _tree_counts(first: str, folded: str, verb: str, operator: str, items: str) -> dict[str, str]:
+def _tree_counts(first: str, folded: str, verb: str, root: str, items: str) -> dict[str, str]:
     def count(pattern: str, needles: str = "") -> str:
         return count_matches(first, folded, pattern, "isc", needles)
 
@@ -115,12 +133,16 @@ def _tree_counts(first: str, folded: str, verb: str, operator: str, items: str)
         "subquery_count": count(r"\(\s*SELECT\b", "( select"),
         "union_count": count(_SET_OPERATOR, "union | intersect | except"),
         "table_count": f"{count(_TABLE_REF, 'from | join')} + {listed}",
-        "query_type": f"CASE WHEN {operator} != '' THEN initcap({operator}) WHEN upper({verb}) IN "
-        f"('SELECT', 'INSERT', 'UPDATE', 'DELETE') THEN upper({verb}) ELSE initcap({verb}) END",
+        "query_type": f"CASE WHEN {root}.op != '' THEN initcap({root}.op) "
+        f"WHEN upper({verb}) = 'WITH' AND {root}.verb != '' THEN {_shown(f'{root}.verb')} ELSE {_shown(verb)} END",
     }
 
 
-def _skeleton(counts: str, flat: str, where: str) -> dict[str, str]:
+def _shown(verb: str) -> str:
+    return f"CASE WHEN upper({verb}) IN ('SELECT', 'INSERT', 'UPDATE', 'DELETE') THEN upper({verb}) ELSE initcap({verb}) END"
+
+
+def _skeleton(counts: str, root: str, where: str) -> dict[str, str]:
     """Only a plain SELECT has structure to report; other roots keep the defaults."""
     is_select = f"{counts}.query_type = 'SELECT'"
 
@@ -140,7 +162,7 @@ def _skeleton(counts: str, flat: str, where: str) -> dict[str, str]:
         "has_join": present("join_count"),
         "has_aggregate": present("aggregate_count"),
         "table_count": if_select(f"{counts}.table_count"),
-        "column_count": if_select(f"{_count(_group(flat, _SELECT_LIST), ',')} + 1"),
+        "column_count": if_select(f"{root}.commas + 1"),
         "condition_complexity": if_select(conditions, present("where_count")),
         "clause_order": f"CASE WHEN {present('where_count')} THEN array('WHERE') ELSE CAST(array() AS ARRAY<STRING>) END",
     }
