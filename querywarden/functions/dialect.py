@@ -10,6 +10,7 @@ and one ``F.expr`` per column builds them far faster than as many calls into the
 
 from __future__ import annotations
 
+import re
 from string import ascii_letters, digits
 
 # The characters a Python str pattern counts as word and as space.  Java looks up single
@@ -20,6 +21,8 @@ SPACE = r"\x{9}\x{A}\x{B}\x{C}\x{D}\x{1C}\x{1D}\x{1E}\x{1F}\x{20}\x{85}\x{A0}"
 WIDE_SPACE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 SPACES = r"\s+"
+_AT_MOST = re.compile(r"\{,\d+\}")
+_UNKNOWN_GROUP = re.compile(r"\(\?(?![:=!>]|<[=!]|P<|[ims-]+:)")
 _QUOTE = r"\x{27}"
 _IN_CLASS = {"w": WORD, "s": SPACE + WIDE_SPACE, "d": r"\p{Nd}"}
 # The rarer spaces are only looked at inside their span.
@@ -35,7 +38,7 @@ def java_regex(pattern: str, flags: str = "") -> str:
     in_class_of = {**_IN_CLASS, "s": " "} if "c" in flags else _IN_CLASS
     alone = {**_ALONE, "s": " "} if "c" in flags else _ALONE
     out: list[str] = []
-    in_class = False
+    in_class = negated = False
     i = 0
     while i < len(pattern):
         ch = pattern[i]
@@ -44,6 +47,17 @@ def java_regex(pattern: str, flags: str = "") -> str:
             i += 2
             if nxt in alone:
                 out.append(in_class_of[nxt] if in_class else alone[nxt])
+            elif nxt in "WSD":
+                if in_class and negated:
+                    raise ValueError(f"\\{nxt} inside a negated class is not supported: {pattern!r}")
+                # A class inside a class adds to it.
+                out.append(f"[^{in_class_of[nxt.lower()]}]")
+            elif nxt in "ABZbz" and in_class or nxt in "aegklpqyBCEGHIJKLMNOPQRTUVXYchijmo":
+                raise ValueError(f"escape \\{nxt} is not supported: {pattern!r}")
+            elif nxt == "Z":
+                out.append(r"\z")
+            elif nxt == "v":
+                out.append(r"\x{B}")
             elif nxt == "b" and not in_class:
                 following = pattern[i : i + 1]
                 optional = pattern[i + 1 : i + 2] in ("?", "*", "{", "+")
@@ -57,9 +71,28 @@ def java_regex(pattern: str, flags: str = "") -> str:
                 out.append(_QUOTE if nxt == "'" else ch + nxt)
             continue
         if ch == "[" and not in_class:
-            in_class = True
+            in_class, negated = True, pattern[i + 1 : i + 2] == "^"
+            first = i + 1 + negated
+            if pattern[first : first + 1] == "]":  # as the first member it does not close the class
+                out.append("[^\\]" if negated else "[\\]")
+                i = first + 1
+                continue
+        elif ch == "[":
+            ch = "\\["
+        elif ch == "&" and in_class:
+            ch = "\\&"
         elif ch == "]":
             in_class = False
+        elif ch == "{" and not in_class and _AT_MOST.match(pattern, i):
+            out.append("{0")
+            i += 1
+            continue
+        elif ch == "(" and pattern.startswith("(?P<", i):
+            out.append("(?<")
+            i += 4
+            continue
+        elif ch == "(" and _UNKNOWN_GROUP.match(pattern, i):
+            raise ValueError(f"this group is not supported: {pattern[i:i + 12]!r} in {pattern!r}")
         # A quote is written by its code, so that a pattern always fits in an r'…' literal.
         out.append(_QUOTE if ch == "'" else ch)
         i += 1

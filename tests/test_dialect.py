@@ -81,3 +81,31 @@ def test_fixed_rounds_like_python(spark):
     for row in df.select("v", fixed(F.col("v"), 2).alias("two"), fixed(F.col("v"), 4).alias("four")).collect():
         assert row["two"] == f"{row['v']:.2f}", row
         assert row["four"] == f"{row['v']:.4f}", row
+
+
+PYTHON_PATTERNS = [
+    r"a\Wb", r"\S", r"\D+x", r"[a\W]b", r"[\S]", r"(?P<q>a)b", r"[^[]x", r"a{,3}b", r"[a&&b]", r"[]a]x", r"[^]a]x", r"a\vb", r"a\Z", r"x[&]y", r"[[]", r"(?:a|b)\d",
+]
+PROBES = ["aéb", "a b", "a-b", "\u00a0", " ", "1x", "éx", "٣x", "a٣", "ab", "aab", "aaaab", "[x", "yx", "a", "b", "&", "]x", "ax", "a\x0bb", "a\n", "x&y", "x]y", "", "ſ", "a1", "\u2003b"]
+
+
+def test_python_spelling(spark):
+    import re
+
+    from pyspark.sql import functions as F
+    from querywarden.functions.dialect import regex_literal
+
+    frame = spark.createDataFrame([(p,) for p in PROBES], "t string")
+    columns = [F.expr(f"t RLIKE {regex_literal(p)}").alias(f"p{i}") for i, p in enumerate(PYTHON_PATTERNS)]
+    for row in frame.select("t", *columns).collect():
+        for i, pattern in enumerate(PYTHON_PATTERNS):
+            assert row[f"p{i}"] == bool(re.search(pattern, row.t)), (pattern, row.t)
+
+
+def test_what_has_no_java_form_is_refused():
+    import pytest
+    from querywarden.functions.dialect import java_regex
+
+    for pattern in (r"[^\W]", r"(?P=q)", r"(?i)a", r"(?#c)a", r"a\Bb", r"\N{DASH}"):
+        with pytest.raises(ValueError):
+            java_regex(pattern)
