@@ -118,12 +118,13 @@ def recommendations(violations: Column, score: Column) -> Column:
 
 
 def policy_report(checked: DataFrame, sql_col: str = "sql", *keys: str) -> DataFrame:
-    """Flat report of checked rows; the text is shown up to 100 characters."""
+    """Flat report of checked rows: ``sql_query`` is the whole text, ``sql_shown`` its first 100 characters."""
     sql = F.col(sql_col)
     score = F.col("risk_score")
     return checked.select(
         *keys,
-        F.when(F.length(sql) > 100, F.concat(F.substring(sql, 1, 100), F.lit("..."))).otherwise(sql).alias("sql_query"),
+        sql.alias("sql_query"),
+        F.when(F.length(sql) > 100, F.concat(F.substring(sql, 1, 100), F.lit("..."))).otherwise(sql).alias("sql_shown"),
         F.size("violations").alias("violations_count"),
         "risk_score",
         risk_level(score).alias("risk_level"),
@@ -162,6 +163,14 @@ def enforce_policy(
     ).drop("violation_detected", "policy_checks")
 
 
+def write_quarantine(enforced: DataFrame, path: str) -> None:
+    """All rows in one pass, in one folder for the rows that may run (``allowed=true``) and one for the others."""
+    enforced.write.partitionBy("allowed").parquet(path)
+
+
 def split_allowed(enforced: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows that may run and the rows to quarantine; together they are all rows."""
+    """The rows that may run and the rows to quarantine; together they are all rows.
+
+    Using both frames checks every row twice; ``write_quarantine`` does it once.
+    """
     return enforced.filter("allowed"), enforced.filter("NOT allowed")

@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Every field is read as text: an INT field would turn the accepted "1" into NULL.
-CORPUS_SCHEMA = "query STRING, question STRING, toxic STRING, db_id STRING"
+CORPUS_FIELDS = ("query", "question", "toxic", "db_id")
 UNREADABLE_LABEL = -1
 
 
-def read_corpus(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Read a labelled corpus and apply the defaults.
+def read_corpus(spark: SparkSession, path: str, fmt: str = "json", extra: str | None = None) -> DataFrame:
+    """Read a labelled corpus and apply the defaults.  Fields of any other name are kept.
+
+    ``extra`` names and types the other fields of a JSON corpus (``"id LONG, attack STRING"``); without it
+    Spark infers them in a pass of its own.
 
     ``json`` is one JSON array per file; such a file cannot be split, so use many files or
     ``jsonl`` (one object per line, splittable) or ``parquet`` for large corpora.
     """
-    reader = spark.read.schema(CORPUS_SCHEMA)
-    if fmt == "json":
-        raw = reader.json(path, multiLine=True)
-    elif fmt == "jsonl":
-        raw = reader.json(path)
+    if fmt in ("json", "jsonl"):
+        lines = fmt == "jsonl"
+        if extra is None:
+            found = spark.read.json(path, multiLine=not lines).schema
+            own = [f"`{f.name}` {f.dataType.simpleString()}" for f in found if f.name not in (*CORPUS_FIELDS, "_corrupt_record")]
+        else:
+            own = [extra] if extra else []
+        schema = ", ".join([*(f"{name} STRING" for name in CORPUS_FIELDS), *own])
+        raw = spark.read.schema(schema).json(path, multiLine=not lines)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:

@@ -23,14 +23,16 @@ def slim_rows(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, *SLIM_FIELDS)
 
 
-def csv_rows(rows: DataFrame, *keys: str) -> DataFrame:
-    """The tabular layout: score with four decimals, long texts shortened."""
-    shaped = {name: F.substring(F.coalesce(name, F.lit("")), 1, limit) for name, limit in CSV_LIMITS.items()}
+def csv_rows(rows: DataFrame, *keys: str, shorten: bool = False) -> DataFrame:
+    """The tabular layout: score with four decimals, whole texts unless they are to be shortened."""
+    shaped = {name: F.coalesce(name, F.lit("")) for name in CSV_LIMITS}
+    if shorten:
+        shaped = {name: F.substring(shaped[name], 1, limit) for name, limit in CSV_LIMITS.items()}
     shaped["score"] = fixed(F.col("score"), 4)
     return rows.select(*keys, *[shaped.get(f, F.col(f)).alias(f) for f in CSV_FIELDS])
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, shorten: bool = False) -> None:
     """Write the tabular layout as CSV part files with headers and doubled quotes."""
     options = {
         "header": True,
@@ -39,7 +41,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
         "ignoreLeadingWhiteSpace": False,
         "ignoreTrailingWhiteSpace": False,
     }
-    csv_rows(rows).write.options(**options).csv(path)
+    csv_rows(rows, shorten=shorten).write.options(**options).csv(path)
 
 
 def write_report(report: DataFrame, rows: DataFrame, path: str) -> None:

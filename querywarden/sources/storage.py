@@ -15,7 +15,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="querywarden-")
     return f"{root.rstrip('/')}/querywarden/{name}-{uuid.uuid4().hex}"
@@ -26,14 +27,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input too small to fill them.
-
-    Scoring is heavy per row, and Spark gives an input fewer splits than cores only if it is smaller
-    than 4 MB (``spark.sql.files.openCostInBytes``) per core.  Such an input is dealt out again, which
-    moves at most those few megabytes per core; any larger one is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,7 @@ from querywarden.operators import evaluation as ev
 from querywarden.operators.verdict import score
 from querywarden.plans.querylog import query_log
 from querywarden.sources.corpus import read_corpus
-from querywarden.sources.sinks import CSV_FIELDS, SLIM_FIELDS, write_csv, write_report
+from querywarden.sources.sinks import CSV_FIELDS, SLIM_FIELDS, csv_rows, write_csv, write_report
 from querywarden.sources.storage import shared_dir
 from querywarden.streaming.guard import start_guard
 
@@ -46,13 +46,14 @@ def test_sinks(spark, tmp_path):
     rows = [(i, q, f"q{i}", i % 2, "d") for i, q in enumerate(texts)]
     run = ev.run_evaluation(spark.createDataFrame(rows, "id INT, query STRING, question STRING, toxic INT, db_id STRING"))
     write_csv(run.rows, str(tmp_path / "csv"))
+    assert max(len(r.sql) for r in csv_rows(run.rows, shorten=True).collect()) == 500
     write_report(run.report, run.rows, str(tmp_path / "report"))
     read = []
     for part in glob.glob(f"{tmp_path}/csv/part-*"):
         with open(part, encoding="utf-8", newline="") as fh:
             read += list(csv.DictReader(fh))
     assert len(read) == 40 and tuple(read[0]) == CSV_FIELDS
-    assert {r["sql"] for r in read} == {(t or "")[:500] for t in texts}
+    assert {r["sql"] for r in read} == {t or "" for t in texts}
     assert all(len(r["score"].split(".")[1]) == 4 for r in read)
     report = json.loads("".join(open(p, encoding="utf-8").read() for p in glob.glob(f"{tmp_path}/report/report/part-*")))
     assert set(report) == {"config", "train", "validate", "test"} and report["config"]["random_seed"] == 42
@@ -87,3 +88,17 @@ def test_shared_dir_is_the_sessions():
     with pytest.raises(ValueError):
         shared_dir(_Session(None), "x")
     assert "querywarden" in shared_dir(_Session(None, "local[2]"), "x")
+
+
+def test_from_file_to_report(spark, tmp_path):
+    lines = [{"id": i, "attack": "a" if i % 3 == 0 else None, "query": "SELECT 1 -- x" if i % 3 == 0 else "SELECT a FROM t", "toxic": str(int(i % 3 == 0))} for i in range(60)]
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    (tmp_path / "c.json").write_text(json.dumps(lines))
+    for fmt in ("jsonl", "json"):
+        for extra in (None, "id LONG, attack STRING"):
+            corpus = read_corpus(spark, str(tmp_path / f"c.{fmt}"), fmt, extra)
+            assert {"id", "attack", "query", "question", "toxic", "db_id"} == set(corpus.columns) and corpus.filter("attack = 'a'").count() == 20
+    report = ev.run_evaluation(corpus, store=True).report.first()
+    assert report["train"]["n"] + report["validate"]["n"] + report["test"]["n"] == 60
+    with pytest.raises(ValueError, match="id_col"):
+        ev.run_evaluation(corpus.drop("id"))
