@@ -13,10 +13,6 @@ from ..functions.structure import tree_similarity, with_structure
 
 PATTERN_PENALTY = 0.15
 
-# Keys whose share of the rows exceeds 1/HOT_SHARE are hot, so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 1000
-SALTS = 64
-
 
 def join_gold(
     generated: DataFrame,
@@ -24,34 +20,23 @@ def join_gold(
     keys: Sequence[str] = ("db_id", "question"),
     gold_col: str = "gold_sql",
     out: str = "expected_sql",
-    salts: int = SALTS,
-    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
     """Left join every generated query with its gold query; rows without one get NULL.
 
-    A key may hold a large part of the rows.  Hot keys (fewer than ``hot_share`` by construction)
-    are found from a pre-aggregated count; their rows are spread over ``salts`` sub-keys and only
-    their gold rows are repeated, so the shuffle stays even and the cold gold rows travel once.
-    Several gold texts for one key are reduced to the smallest, which keeps the row count.
+    A key may hold a large part of the generated rows: there is one gold row for each key, so adaptive
+    execution can split the rows of such a key and repeat only its gold row.  Different gold texts for one
+    key are an error, since a query would be held against only one of them; equal ones count once.
     """
     keys = list(keys)
     fill = {k: F.coalesce(F.col(k), F.lit("")) for k in keys}
     names = {k: f"_gold_{k}" for k in keys}
-    left = generated.withColumns({names[k]: c for k, c in fill.items()})
     on = list(names.values())
+    left = generated.withColumns({names[k]: c for k, c in fill.items()})
     right = gold.select(*[c.alias(names[k]) for k, c in fill.items()], F.col(gold_col).alias(out))
-    right = right.groupBy(*on).agg(F.min(out).alias(out))
-
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    limit = left.agg((F.count(F.lit(1)) / F.lit(float(hot_share))).alias("limit")).scalar()
-    hot = F.broadcast(counts.filter(F.col("_n") > limit).select(*on, F.lit(True).alias("_hot")))
-
-    # The salt follows the input partition, so it is the same when a lost task runs again.
-    salt = F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
-    left = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = right.join(hot, on, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
-    return left.join(right, [*on, "_salt"], "left").drop(*on, "_salt")
+    lowest, highest = F.min(out), F.max(out)
+    conflict = F.raise_error(F.concat(F.lit("several gold texts for "), F.concat_ws(", ", *on)))
+    right = right.groupBy(*on).agg(F.when(lowest < highest, conflict.cast("string")).otherwise(lowest).alias(out))
+    return left.join(right, on, "left").drop(*on)
 
 
 def with_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None = None) -> DataFrame:

@@ -204,12 +204,11 @@ def split_metrics(cube: DataFrame, best: DataFrame, by: Sequence[str] = ("split"
 
 def overfit_gap(metrics: DataFrame) -> DataFrame:
     """val − test per metric at the swept threshold, flagged beyond 0.05 either way."""
-    swept = metrics.filter((F.col("kind") == "sweep") & F.col("split").isin("val", "test"))
-
+    # No filter: it would be pushed below the cube, which the threshold could then not share.
     def of(split: str, metric: str) -> Column:
-        return F.max(F.when(F.col("split") == split, F.col(metric)))
+        return F.max(F.when((F.col("kind") == "sweep") & (F.col("split") == split), F.col(metric)))
 
-    wide = swept.agg(
+    wide = metrics.agg(
         F.array(
             *[
                 F.struct(F.lit(m).alias("metric"), of("val", m).alias("val"), of("test", m).alias("test"))
@@ -321,9 +320,11 @@ def run_evaluation(
 ) -> Evaluation:
     """Split, score, choose the threshold on ``val`` only, apply it everywhere and report.
 
-    ``corpus`` has the columns of ``read_corpus`` plus a unique id.  With ``store`` the scored rows
-    are written once to the shared folder and read back, so no later step scores again.
+    ``corpus`` has the columns of ``read_corpus`` plus a unique id, named by ``id_col``.  With ``store`` the
+    scored rows are written once to the shared folder and read back, so no later step scores again.
     """
+    if id_col not in corpus.columns:
+        raise ValueError(f"the corpus has no column {id_col!r}: name a field with unique ids by id_col")
     parts = stratified_split(corpus, id_col, "toxic", train_ratio, val_ratio, seed)
     scored = evaluation_rows(score(parts, "query", config=config))
     if store:

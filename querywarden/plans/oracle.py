@@ -21,7 +21,7 @@ def lit(text: str) -> str:
 
 
 def ctes(*parts: str) -> str:
-    return "WITH " + ", ".join(parts)
+    return "WITH RECURSIVE " + ", ".join(parts)
 
 
 SPACE = NEAR_SPACE + WIDE_SPACE
@@ -101,10 +101,9 @@ MESSY = (
     f"{_filled('template')} AS sql FROM orders JOIN templates ON o_orderkey % {len(MESSY_TEMPLATES)} = tid)"
 )
 GOLD = (
-    "gold AS (SELECT 'db_' || o_orderstatus AS db_id, "
+    "gold AS (SELECT CASE WHEN o_custkey % 10 = 7 THEN 'none' ELSE 'db_' || o_orderstatus END AS db_id, "
     "'Which orders were placed by customer ' || o_custkey::VARCHAR AS question, "
-    f"min({_filled('$$' + BASE + '$$')}) AS gold_sql FROM orders "
-    "WHERE 'Which orders were placed by customer ' || o_custkey::VARCHAR NOT LIKE '%7' GROUP BY ALL)"
+    f"min({_filled('$$' + BASE + '$$')}) AS gold_sql FROM orders GROUP BY ALL)"
 )
 
 
@@ -239,10 +238,12 @@ def group(text: str, pattern: str) -> str:
 
 
 def structure_ctes(src: str, out: str, p: str = "") -> str:
-    f, r = f"{p}f", f"{p}r"
-    flat = f
-    for _ in range(5):
-        flat = f"regexp_replace({flat}, '\\([^()]*\\)', '', 'g')"
+    f, r, raw, key = f"{p}f", f"{p}r", f"{p}raw", f"{p}key"
+    inner = r"'\([^()]*\)'"
+    # A query wrapped as a whole is empty without its parentheses; then those around it come off.
+    flat = f"CASE WHEN trim({raw}) = '' THEN regexp_replace(trim({f}, '( )'), {inner}, '', 'g') ELSE {raw} END"
+    whole = f"{p}whole"
+    main = f"CASE WHEN {whole} ILIKE 'with %' THEN regexp_replace({whole}, {flagged(WITH_PART, 'is')}, '\\1') ELSE {whole} END"
     slices = f"array_to_string(regexp_extract_all({f}, {flagged(_classes(FROM_LIST, False), 'is')}, 1), '|')"
     tree = {
         "node_count": count(f, r"\w+|[^\s\w]"),
@@ -277,7 +278,11 @@ def structure_ctes(src: str, out: str, p: str = "") -> str:
     }
     return (
         f"{out}1 AS (SELECT *, trim(string_split({p}mask, ';')[1]) AS {f} FROM {src}), "
-        f"{out}2 AS (SELECT *, {flat} AS {r} FROM {out}1), "
+        f"{out}1k AS MATERIALIZED (SELECT *, row_number() OVER () AS {key} FROM {out}1), "
+        f"{out}1r AS (SELECT {key}, {f} AS {raw} FROM {out}1k UNION ALL SELECT {key}, regexp_replace({raw}, {inner}, '', 'g') FROM {out}1r WHERE regexp_matches({raw}, {inner})), "
+        f"{out}1f AS (SELECT {out}1k.*, {out}1r.{raw} FROM {out}1k LEFT JOIN {out}1r ON {out}1k.{key} = {out}1r.{key} AND NOT regexp_matches({out}1r.{raw}, {inner})), "
+        f"{out}1g AS (SELECT *, {flat} AS {whole} FROM {out}1f), "
+        f"{out}2 AS (SELECT * EXCLUDE ({whole}), {main} AS {r} FROM {out}1g), "
         f"{out}3 AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {p}t_{n}' for n, e in tree.items())} FROM {out}2), "
         f"{out} AS (SELECT *, {', '.join(f'CASE WHEN {p}wf THEN {e} END AS {p}s_{n}' for n, e in skeleton.items())} FROM {out}3)"
     )
@@ -285,6 +290,7 @@ def structure_ctes(src: str, out: str, p: str = "") -> str:
 
 LAST_OP = r"^.*\b(UNION|INTERSECT|EXCEPT)\b"
 VERB = r"^\(*\s*(\w+)"
+WITH_PART = r"^.*?\b(SELECT|INSERT|UPDATE|DELETE)\b"
 SELECT_PART = r"^\s*SELECT\s+(.*?)(?:\bFROM\b|$)"
 ANDOR = r"\b(?:AND|OR|NOT)\b"
 BTW = r"\bBETWEEN\b"
@@ -502,7 +508,7 @@ def report_texts() -> str:
         "CASE WHEN contains(lower(violations), 'time_delay') THEN 'Time-based attack pattern detected - REJECT' END)"
     )
     return (
-        "SELECT id, CASE WHEN length(sql) > 100 THEN left(sql, 100) || '...' ELSE sql END AS sql_query, nv AS violations_count, "
+        "SELECT id, sql AS sql_query, nv AS violations_count, "
         "round(rs, 6) AS risk_score, CASE WHEN rs < 0.2::DOUBLE THEN 'LOW' WHEN rs < 0.5::DOUBLE THEN 'MEDIUM' WHEN rs < 0.8::DOUBLE THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level, "
         f"violations, CASE WHEN {recs} = '' THEN 'Query passes policy checks' ELSE {recs} END AS recommendations FROM pol"
     )
@@ -611,7 +617,7 @@ def oracle() -> dict[str, str]:
         "eval_slim_rows": f"{ctes(SWEPT)} SELECT id, split, db_id, label, round(score, 6) AS score, action, k_matched_rules AS kw_rules, k_attack_types AS kw_types, "
         "patt AS ast_patt, (score > (SELECT threshold FROM best_val))::INT AS pred_sweep, pred_hard FROM rows_",
         "eval_csv_rows": f"{ctes(SWEPT)} SELECT id, split, db_id, label, printf('%.4f', score) AS score, action, (score > (SELECT threshold FROM best_val))::INT AS pred_sweep, pred_hard, "
-        "left(k_matched_rules, 200) AS kw_rules, left(k_attack_types, 100) AS kw_types, left(patt, 200) AS ast_patt, left(sql, 500) AS sql, left(question, 200) AS nlq FROM rows_",
+        "k_matched_rules AS kw_rules, k_attack_types AS kw_types, patt AS ast_patt, sql, question AS nlq FROM rows_",
         "overfit_gap": f"{ctes(BY_SPLIT)}, x AS (SELECT split, {P} AS precision, {R} AS recall, {F1} AS f1, {ACC} AS accuracy FROM m WHERE kind = 'sweep') "
         + " UNION ALL ".join(
             f"SELECT '{m}' AS metric, round(v.{m}, 6) AS val, round(t.{m}, 6) AS test, round(v.{m} - t.{m}, 6) AS gap, (abs(v.{m} - t.{m}) > 0.05)::INT AS possible_overfit "

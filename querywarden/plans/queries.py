@@ -15,7 +15,7 @@ from ..functions.text import masked, well_formed, with_clean_sql
 from ..operators import evaluation as ev
 from ..operators.alignment import check_alignment, join_gold, with_alignment
 from ..operators.keyword import keyword_explain, keyword_hits, keyword_scan
-from ..operators.policy import FAMILIES, check_boundaries, enforce_policy, policy_report, split_allowed
+from ..operators.policy import FAMILIES, check_boundaries, enforce_policy, policy_report
 from ..operators.verdict import EVALUATION, batch_score, evaluation_rows, score, verdict_explain, with_detectors
 from ..sources.corpus import normalise_corpus
 from ..sources.sinks import csv_rows, slim_rows
@@ -308,9 +308,9 @@ for _level in ("strict", "medium", "lenient"):
 
 @query
 def policy_quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    allowed, held = split_allowed(enforce_policy(query_log(spark, sf), level="strict"))
-    both = allowed.withColumn("part", F.lit("allowed")).unionByName(held.withColumn("part", F.lit("quarantine")))
-    return both.groupBy("part", "attack").agg(F.count(F.lit(1)).alias("n"))
+    enforced = enforce_policy(query_log(spark, sf), level="strict")
+    part = F.when(F.col("allowed"), F.lit("allowed")).otherwise(F.lit("quarantine")).alias("part")
+    return enforced.groupBy(part, "attack").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- fused verdict -----------------------------------------------------------------------------

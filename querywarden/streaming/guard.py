@@ -20,9 +20,12 @@ def start_guard(
     sql_col: str = "sql",
     config: VerdictConfig = DEFAULT,
     available_now: bool = False,
+    interval: str | None = None,
 ) -> StreamingQuery:
     """Write scored rows to parquet, one folder per action, so readers prune to what they need.
 
+    Every batch writes a set of files: ``interval`` ("5 minutes") makes batches larger and files fewer.
+
     The file sink's log makes each batch count once even when it is written again after a failure.
     """
     writer = (
@@ -33,4 +36,8 @@ def start_guard(
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif interval:
+        writer = writer.trigger(processingTime=interval)
+    return writer.start()

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from querywarden.functions import signals
 from querywarden.functions.catalogue import Rule
+from querywarden.functions.structure import with_structure
 from querywarden.operators import evaluation as ev
 from querywarden.operators.alignment import check_alignment, join_gold
 from querywarden.operators.keyword import keyword_explain, keyword_scan
-from querywarden.operators.policy import check_boundaries, enforce_policy, policy_report, split_allowed
+from querywarden.operators.policy import check_boundaries, enforce_policy, policy_report, split_allowed, write_quarantine
 from querywarden.operators.verdict import batch_score, score, verdict_explain
 from querywarden.plans.querylog import as_corpus, query_log
 from querywarden.sources.corpus import normalise_corpus
@@ -52,7 +53,7 @@ def test_policy_edges(spark):
     failed = one(enforce_policy(text(spark, None)))
     assert (failed["allowed"], failed["action"]) == (False, "REJECT")
     report = one(policy_report(check_boundaries(text(spark, "x" * 101))))
-    assert report["sql_query"] == "x" * 100 + "..." and report["recommendations"] == ["Query passes policy checks"]
+    assert report["sql_query"] == "x" * 101 and report["sql_shown"] == "x" * 100 + "..." and report["recommendations"] == ["Query passes policy checks"]
     extra = one(check_boundaries(text(spark, "select 0xAF"), extra_patterns={"hex": r"0x[0-9a-f]+"}))
     assert extra["violations"] == ["Suspicious pattern detected: hex"]
     df = text(spark, "DROP TABLE t").union(text(spark, "SELECT 1")).union(text(spark, None))
@@ -104,8 +105,8 @@ def test_gold_join_with_a_hot_key(spark):
         F.lit("d").alias("db_id"),
     )
     gold = spark.range(n).select(F.lit("d").alias("db_id"), F.col("id").cast("string").alias("question"), F.concat(F.lit("g"), F.col("id")).alias("gold_sql"))
-    gold = gold.union(spark.createDataFrame([("d", "hot", "z"), ("d", "hot", "a")], gold.schema)).filter("question not like '%5'")
-    got = join_gold(gen, gold, salts=8)
+    gold = gold.union(spark.createDataFrame([("d", "hot", "a"), ("d", "hot", "a")], gold.schema)).filter("question not like '%5'")
+    got = join_gold(gen, gold)
     want = {}
     for r in gen.collect():
         q = r["question"]
@@ -115,13 +116,62 @@ def test_gold_join_with_a_hot_key(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert {r["id"]: r["expected_sql"] for r in join_gold(gen, gold, salts=8).collect()} == want
+        assert {r["id"]: r["expected_sql"] for r in join_gold(gen, gold).collect()} == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_different_gold_texts_are_an_error(spark):
+    gen = spark.createDataFrame([("d", "q", "x")], "db_id string, question string, sql string")
+    gold = spark.createDataFrame([("d", "q", "z"), ("d", "q", "a")], "db_id string, question string, gold_sql string")
+    with pytest.raises(Exception, match="several gold texts for d, q"):
+        join_gold(gen, gold).collect()
+
+
+@pytest.mark.parametrize(
+    "sql,query_type,columns,where",
+    [
+        ("SELECT f(g(h(i(j(k(l(a,b),c),d),e),f),g),h) FROM t", "SELECT", 1, False),
+        ("SELECT " + "f(" * 40 + "a,b" + ")" * 40 + ", c FROM t", "SELECT", 2, False),
+        ("WITH a AS (SELECT x, y FROM t), b AS (SELECT 1) SELECT a.x FROM a WHERE x = 1", "SELECT", 1, True),
+        ("WITH a AS (SELECT 1 UNION SELECT 2) SELECT p, q, r FROM a", "SELECT", 3, False),
+        ("WITH a AS (SELECT 1) SELECT p FROM a UNION SELECT 2", "Union", 0, False),
+        ("WITH a AS (SELECT 1) DELETE FROM t WHERE k IN (SELECT * FROM a)", "DELETE", 0, False),
+        ("(((((SELECT a FROM t UNION SELECT b FROM u)))))", "Union", 0, False),
+        ("((SELECT a, f(b, c) FROM t))", "SELECT", 2, False),
+        ("(SELECT a FROM t UNION SELECT b FROM u) EXCEPT (SELECT c FROM v)", "Except", 0, False),
+        ("SELECT a FROM (SELECT b UNION SELECT c)", "SELECT", 1, False),
+        ("DROP TABLE t", "Drop", 0, False),
+    ],
+)
+def test_root_of_a_query(spark, sql, query_type, columns, where):
+    found = one(with_structure(text(spark, sql)))["skeleton"]
+    assert (found["query_type"], found["column_count"], found["has_where"]) == (query_type, columns, where)
+
+
+def scans(df):
+    """How often the final plan matches the rule of a fixed pattern: once for each scoring pass."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return plan.count("FileScan parquet")
+
+
+def test_gap_scores_once(spark, sf):
+    from querywarden.plans.queries import REGISTRY
+
+    assert scans(REGISTRY["overfit_gap"](spark, sf)) <= scans(REGISTRY["evaluation_report"](spark, sf))
+    assert scans(REGISTRY["policy_quarantine"](spark, sf)) == scans(REGISTRY["policy_strict"](spark, sf))
+
+
+def test_quarantine_is_written_in_one_pass(spark, tmp_path):
+    df = text(spark, "DROP TABLE t").union(text(spark, "SELECT 1")).union(text(spark, None))
+    write_quarantine(enforce_policy(df), str(tmp_path / "q"))
+    found = spark.read.parquet(str(tmp_path / "q")).groupBy("allowed").count().collect()
+    assert {str(r["allowed"]): r["count"] for r in found} == {"true": 1, "false": 2}
+
+
 @pytest.mark.parametrize("digits", [1, 4])
 @pytest.mark.parametrize("ratios", [(0.6, 0.2), (0.5, 0.0), (0.01, 0.98), (0.0, 0.3)])
 def test_split_is_exact(spark, digits, ratios):
