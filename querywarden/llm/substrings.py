@@ -43,7 +43,7 @@ from querywarden.llm.base import WORD, arrow_column, checkpointed, ship
 from querywarden.llm.hashing import range_hashes, slices, window_hashes, word_hashes, words_of
 
 WINDOW = 35
-PHRASE = 8
+PHRASE = 5
 HOT = 50_000
 #: Words of the segments of one automaton, about.
 SHARD_WORDS = 200_000
@@ -86,7 +86,7 @@ def _scan(window: int):
 
 def _packed(texts: pa.Array) -> pa.Array:
     """Texts as they travel: compressed."""
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=7)
     return pa.array([None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.binary())
 
 
