@@ -24,6 +24,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -51,11 +52,16 @@ class WordCache:
     """Ids of a text from the ids of its stretches between blanks and line ends. The tokenizer drops white
     space and no token reaches across it, so the ids of a text are those of its stretches in turn.
 
+    A stretch is known by a number; the ids of all known stretches lie in one array, from which those of a
+    text are gathered at once.
+
     A stretch of letters with final punctuation is two of the tokenizer's words. New runs of letters are
-    encoded many at a time and told apart by the tokens that end a word; if there are more ends than runs
-    (a few letters become two characters in lower case), each run is encoded alone."""
+    encoded many at a time and told apart by the tokens that end a word. A character beyond ASCII counts as a
+    letter only if the tokenizer takes it for one (not so a letter that becomes two characters in lower case)."""
 
     FINAL = ".,;:!?%$#*&)"
+    #: Stretches whose ids are gathered at a time.
+    BLOCK = 1 << 16
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,56 +71,92 @@ class WordCache:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.letters: set[str] = set()
+        self.others: set[str] = set()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
         self.runs: dict[str, bytes] = {"": b""}
+        self.pool, self.filled = np.zeros(1 << 16, "<u4"), 0
+        self.border = np.zeros(1 << 16, np.int64)  # stretch i has pool[border[i] : border[i + 1]]
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _one_word(self, run: str) -> bool:
+        """Whether the tokenizer takes a run beyond ASCII for letters alone: each character is tried once."""
+        for c in set(run) - self.letters - self.others:
+            alone = self.ends_word[self._encode(f"{c}{c}.")].sum() == 2
+            (self.letters if c.isalpha() and alone else self.others).add(c)
+        return self.others.isdisjoint(run)
+
     def _learn(self, words: list[str]) -> None:
-        cut = []
-        new = {}
+        runs, new, cut = self.runs, {}, []
         for word in words:
-            run = word.rstrip(self.FINAL)
+            run = word if word.isalpha() else word.rstrip(self.FINAL)
             final = word[len(run) :]
-            if run.isalpha():
-                run = run.lower() if run.isascii() else run
-                if run not in self.runs:
-                    new[run] = None
-            elif run:
-                run, final = word, ""
-                if run not in self.runs:
-                    self.runs[run] = self._encode(run).tobytes()
-            if final not in self.runs:
-                self.runs[final] = self._encode(final).tobytes()
-            cut.append((word, run, final))
+            if run.isascii() and (run.isalpha() or not run):
+                run = run.lower()
+            elif run.isascii() or not self._one_word(run):
+                if word not in runs:
+                    runs[word] = self._encode(word).tobytes()
+                cut += word, ""
+                continue
+            if final not in runs:
+                runs[final] = self._encode(final).tobytes()
+            if run not in runs:
+                new[run] = None
+            cut += run, final
         new = list(new)
         for low in range(0, len(new), 1000):
             block = new[low : low + 1000]
             ids = self._encode(" ".join(block))
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            if len(ends) == len(block):
-                raw, at = ids.tobytes(), 0
-                for run, end in zip(block, ends, strict=True):
-                    self.runs[run] = raw[4 * at : 4 * end]
-                    at = end
-            else:
-                self.runs.update((run, self._encode(run).tobytes()) for run in block)
-        runs = self.runs
-        self.known.update((word, runs[run] + runs[final]) for word, run, final in cut)
+            raw, at = ids.tobytes(), 0
+            for run, end in zip(block, ends, strict=True):
+                runs[run] = raw[4 * at : 4 * end]
+                at = end
+        parts = [runs[part] for part in cut]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(axis=1) // 4
+        first, total = len(self.known), self.filled + len(ids)
+        self.pool = self._room(self.pool, total)
+        self.border = self._room(self.border, first + len(words) + 1)
+        self.pool[self.filled : total] = ids
+        self.border[first + 1 : first + len(words) + 1] = self.filled + np.cumsum(sizes)
+        self.filled = total
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+
+    @staticmethod
+    def _room(values: np.ndarray, n: int) -> np.ndarray:
+        return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, len(values) // 2), values.dtype)])
+
+    def _gathered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in turn, and the number of ids of each."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(words[i] for i in missing)))
+            at[missing] = [self.known[words[i]] for i in missing]
+        first = self.border[at]
+        sizes = self.border[at + 1] - first
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])], sizes
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) + len(self.runs) > self.limit:
-            self.known.clear()
-            self.runs = {"": b""}
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        new = set().union(*split) - known.keys()
-        if new:
-            self._learn(list(new))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            self.forget()
+        if not texts:
+            return
+        words = " ".join(texts).replace("\n", " ").split(" ")
+        found = [self._gathered(words[low : low + self.BLOCK]) for low in range(0, len(words), self.BLOCK)]
+        ids, sizes = (np.concatenate(part) for part in zip(*found, strict=True))
+        stretches = np.cumsum([text.count(" ") + text.count("\n") + 1 for text in texts])
+        ends = np.concatenate([[0], np.cumsum(sizes)[stretches - 1]]).tolist()
+        for low, high in zip(ends, ends[1:], strict=False):
+            yield ids[low:high].tobytes()
 
 
 @cache

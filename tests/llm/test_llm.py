@@ -356,7 +356,7 @@ def test_word_cache_equals_the_tokenizer(texts):
 
     plain, cache = Tokenizer.from_file(TOKENIZER), packing.WordCache(TOKENIZER, limit=500)
     random.seed(8)
-    parts = [*"abcÄßİΣσς'’ \n\t\r\u0301\u0085 \x1c\x1f😀é1２½ﬁ", "don't", " 's", "<|endoftext|>", "a.b.", "x%%%", "\u0958"]
+    parts = [*"abcÄßİΣσς'’ \n\t\r\u0301\u0085 \x1c\x1f😀é1２½ﬁ", "don't", " 's", "<|endoftext|>", "a.b.", "x%%%", "\u0958", "İ!", "漢字", ";", "\ud7ff"]
     odd = ["".join(random.choices(parts, k=random.randint(0, 20))) for _ in range(2000)]
     for low in range(0, 2000, 50):
         block = [*odd[low : low + 50], *list(texts.values())[low // 10 : low // 10 + 5]]
