@@ -13,7 +13,7 @@ Items are taken in blocks of bounded size, each of which is broadcast and held a
 documents are read once for each block and never shuffled.
 
 An item of fewer than five words has one shingle of that length; an item without a word, or null, is in no
-document; a null document has no shingle. Items with one id are items of their own; repeated documents are
+document; a null document has no shingle. Items with one id, or a null one, are items of their own; repeated documents are
 reported each. Empty tables give an empty result. Other columns are ignored by the search.
 """
 
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from querywarden.llm.base import arrow_column, fresh, ship
 from querywarden.llm.hashing import SLICE_BYTES, window_hashes, word_hashes, words_of
@@ -147,7 +148,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, threshold: float, bloc
     total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     count = -(-total // block_bytes)
     for b in range(count):
-        block = items.where(F.pmod(F.xxhash64(text_col), F.lit(count)) == b) if count > 1 else items
+        block = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(count)) == b) if count > 1 else items
         yield Index.of([tuple(r) for r in block.where(F.col(text_col).isNotNull()).select(id_col, text_col).toLocalIterator()], threshold)
 
 
@@ -158,13 +159,14 @@ def contaminated(
     """One row per document and item that it holds: both ids, shared_shingles, item_shingles, containment."""
     ship(docs)
     kind = T.ArrayType(T.StructType([T.StructField("id", items.schema[item_id].dataType), T.StructField("shared", T.LongType()), T.StructField("total", T.LongType())]))
+    arrow = pa.list_(pa.struct([("id", to_arrow_type(items.schema[item_id].dataType)), ("shared", pa.int64()), ("total", pa.int64())]))
     out = None
     for index in _blocks(items, item_id, item_text, threshold, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def found(texts: pa.Array, shared=shared) -> pa.Array:
             index = shared.value
-            return pa.array([[{"id": index.ids[i], "shared": s, "total": n} for i, s, n in row] for row in index.matches(texts.to_pylist())], pa.list_(pa.struct([("id", pa.scalar(index.ids[0]).type), ("shared", pa.int64()), ("total", pa.int64())])))
+            return pa.array([[{"id": index.ids[i], "shared": s, "total": n} for i, s, n in row] for row in index.matches(texts.to_pylist())], arrow)
 
         if not index.ids:
             continue

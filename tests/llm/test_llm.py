@@ -202,6 +202,10 @@ def test_items_in_blocks_and_odd_rows(spark, texts):
         assert Counter((r[0], r[1]) for r in decontamination.contaminated(frame, bench, block_bytes=size).collect()) == expected
         assert {r.doc_id for r in decontamination.decontaminated(frame, bench, block_bytes=size).collect()} == {3, 4}
     assert decontamination.contaminated(frame, bench.limit(0)).count() == 0 and decontamination.contaminated(frame.limit(0), bench).count() == 0
+    nameless = spark.createDataFrame([(None, items[0][1]), (None, "two words"), (7, "two words")], "item_id long, text string")
+    for size in (1 << 20, 40):
+        found = Counter((r[0], r[1]) for r in decontamination.contaminated(frame, nameless, block_bytes=size).collect())
+        assert found == Counter([(1, None), (1, None), (5, None), (5, 7)])
 
 
 # 5 ------------------------------------------------------------------------------------------------------
