@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from ..sources.storage import materialize
+from ..sources.storage import delete, materialize
 from .verdict import EVALUATION, VerdictConfig, evaluation_rows, score
 
 # Fixed values of the evaluation protocol.
@@ -261,10 +261,18 @@ def security_metrics(metrics: DataFrame) -> DataFrame:
 
 
 class Evaluation:
-    """The frames of one evaluation run, built when first asked for; only ``rows`` grows with the corpus."""
+    """The frames of one evaluation run, built when first asked for; only ``rows`` grows with the corpus.
 
-    def __init__(self, corpus: DataFrame, parts: DataFrame, scored: DataFrame, settings: tuple[int, float, float]):
-        self.corpus, self.parts, self.scored, self.settings = corpus, parts, scored, settings
+    All of them read the stored rows, if there are any: ``close`` deletes these, after the last use of a frame.
+    """
+
+    def __init__(self, corpus: DataFrame, scored: DataFrame, settings: tuple[int, float, float], path: str | None = None):
+        self.corpus, self.scored, self.settings, self.path = corpus, scored, settings, path
+
+    def close(self) -> None:
+        if self.path is not None:
+            delete(self.corpus.sparkSession, self.path)
+            self.path = None
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -272,7 +280,7 @@ class Evaluation:
 
     @cached_property
     def split_stats(self) -> DataFrame:
-        return corpus_stats(self.parts, by=["split"])
+        return corpus_stats(self.scored, "label", by=["split"])
 
     @cached_property
     def cube(self) -> DataFrame:
@@ -321,15 +329,16 @@ def run_evaluation(
     """Split, score, choose the threshold on ``val`` only, apply it everywhere and report.
 
     ``corpus`` has the columns of ``read_corpus`` plus a unique id, named by ``id_col``.  With ``store`` the
-    scored rows are written once to the shared folder and read back, so no later step scores again.
+    scored rows are written once to the shared folder and read back, so no later step scores again; the caller
+    ends with ``close``.
     """
     if id_col not in corpus.columns:
         raise ValueError(f"the corpus has no column {id_col!r}: name a field with unique ids by id_col")
     parts = stratified_split(corpus, id_col, "toxic", train_ratio, val_ratio, seed)
-    scored = evaluation_rows(score(parts, "query", config=config))
+    scored, path = evaluation_rows(score(parts, "query", config=config), id_col=id_col), None
     if store:
-        scored = materialize(scored, "scored_rows")
-    return Evaluation(corpus, parts, scored, (seed, train_ratio, val_ratio))
+        scored, path = materialize(scored, "scored_rows")
+    return Evaluation(corpus, scored, (seed, train_ratio, val_ratio), path)
 
 
 def report_row(

@@ -175,9 +175,9 @@ def verdict_explain(scored: DataFrame, out: str = "explanation") -> DataFrame:
     return scored.withColumn(out, F.concat_ws("\n", head, reasons, keyword, structure))
 
 
-def evaluation_rows(scored: DataFrame, sql_col: str = "query", nlq_col: str = "question", label_col: str = "toxic") -> DataFrame:
+def evaluation_rows(scored: DataFrame, sql_col: str = "query", nlq_col: str = "question", label_col: str = "toxic", id_col: str = "id") -> DataFrame:
     """Flatten scored rows to the evaluation layout, with the lists comma-joined."""
-    optional = [c for c in ("id", "split", "attack") if c in scored.columns]
+    optional = [c for c in (id_col, "split", "attack") if c in scored.columns]
     return scored.select(
         *optional,
         F.coalesce("db_id", F.lit("")).alias("db_id"),

@@ -592,7 +592,7 @@ def oracle() -> dict[str, str]:
         "fused_with_gold": f"{ctes(WITH_GOLD, verdict_ctes('both_sides', 'v', *DEFAULTS, similarity=USABLE_SIMILARITY))} SELECT id, {aliased(VERDICT)} FROM v",
         "fused_actions": f"{fused(DEFAULTS)} SELECT action, attack, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM v GROUP BY ALL",
         "fused_batch_keys": f"{fused(DEFAULTS)} SELECT id, '' AS asked, action FROM v",
-        "fused_null_rows": f"{ctes(LOG.replace('log AS (', 'log0 AS ('), 'log AS (SELECT * REPLACE (CASE WHEN id % 3 != 0 THEN sql END AS sql) FROM log0)', clean_ctes('log', 'cl'), verdict_ctes('cl', 'v', *DEFAULTS))} "
+        "fused_null_rows": f"{ctes(LOG.replace('log AS (', 'log0 AS ('), 'log AS (SELECT * FROM log0 UNION ALL SELECT * REPLACE (-id AS id, CAST(NULL AS VARCHAR) AS sql) FROM log0)', clean_ctes('log', 'cl'), verdict_ctes('cl', 'v', *DEFAULTS))} "
         "SELECT id, action, (action != 'ALLOW')::INT AS is_toxic, round(risk, 6) AS overall_risk_score, coalesce(k_flagged, 0) AS keyword_flagged, "
         "coalesce(k_risk, 0) AS keyword_risk_score, coalesce(k_matched_rules, '') AS keyword_matched_rules, coalesce(k_attack_types, '') AS keyword_attack_types, "
         "k_recommendation AS keyword_recommendation, coalesce(wf, false)::INT AS ast_parsed, coalesce(patt, '') AS ast_suspicious_patterns FROM v",

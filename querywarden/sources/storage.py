@@ -22,8 +22,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/querywarden/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once as parquet and read back: cuts the lineage and survives the loss of executors."""
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write once as parquet and read back: cuts the lineage and survives the loss of executors.
+
+    Returns the frame and its path; who asked for it deletes the path when the frame is no longer read.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``materialize`` returned, in whichever file system it lies."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

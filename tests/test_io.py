@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,7 +99,13 @@ def test_from_file_to_report(spark, tmp_path):
         for extra in (None, "id LONG, attack STRING"):
             corpus = read_corpus(spark, str(tmp_path / f"c.{fmt}"), fmt, extra)
             assert {"id", "attack", "query", "question", "toxic", "db_id"} == set(corpus.columns) and corpus.filter("attack = 'a'").count() == 20
-    report = ev.run_evaluation(corpus, store=True).report.first()
+    run = ev.run_evaluation(corpus.withColumnRenamed("id", "qid"), id_col="qid", store=True)
+    report = run.report.first()
     assert report["train"]["n"] + report["validate"]["n"] + report["test"]["n"] == 60
+    assert run.rows.select("qid").distinct().count() == 60 and {r.n_total for r in run.split_stats.collect()} == {36, 12}
+    folder = Path(run.path)
+    assert folder.exists()
+    run.close()
+    assert not folder.exists()
     with pytest.raises(ValueError, match="id_col"):
         ev.run_evaluation(corpus.drop("id"))
