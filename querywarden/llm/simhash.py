@@ -13,8 +13,9 @@ carry-save logic, and machine words in which every distance exceeds the radius a
 A unit returns only a spanning forest of its links, which has the same components as all of them.
 
 A null text counts as empty; texts without a word have fingerprint zero and link like any other.
-Documents with one id count as one document. A null id never names a component unless the component has no
-other. An empty table gives an empty one. Other columns are ignored.
+Rows are compared by their text, whatever their ids: unlike rows that share an id, or have none, stay apart. A null
+id never names a component unless the component has no other. An empty table gives an empty one. Other columns
+are ignored, except to choose between rows of one id and text.
 """
 
 from __future__ import annotations
@@ -205,21 +206,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component_id, the component's smallest id."""
     ship(docs)
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), arrow_column(_fingerprints, T.LongType())(F.col(text_col)).alias("fp")))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    labels = components(links(distinct.select("fp"), radius))
-    labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+    labelled = _labelled(checkpointed(rows.groupBy("fp").agg(F.min("id").alias("low"))), radius)
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
     named = labelled.select("fp", "label").join(lowest, "label")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "label", "component_id")
 
 
+def _labelled(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct: fp, low, one row per fingerprint. Adds label."""
+    labels = components(links(distinct.select("fp"), radius))
+    return distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """The documents, one of each component: that with the smallest id. All columns stay."""
-    classes = near_classes(docs, id_col, text_col, radius)
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    count, key = fresh(docs, "kept_rows"), fresh(docs, "kept_id")
-    kept = checkpointed(kept.select(F.col("kept_id").alias(key), F.col("kept_rows").alias(count)))
-    found = docs.join(kept, docs[id_col].eqNullSafe(F.col(key)), "inner")
+    """The documents, one row of each component: that with the smallest id, then the smallest hash of the text, then
+    that of the whole row. All columns stay."""
+    ship(docs)
+    key, text_key, row_key, count = (fresh(docs, name) for name in ("kept_id", "kept_text", "kept_row", "kept_rows"))
+    # Maps and variants cannot be hashed; rows that differ in them alone count as copies.
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    digest, whole = F.md5(F.col(text_col)), F.xxhash64(*hashable)
+    rows = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), whole.alias("whole"), arrow_column(_fingerprints, T.LongType())(F.col(text_col)).alias("fp"))
+    copies = rows.groupBy("fp", "id", "digest", "whole").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest", "whole", "n"))
+    distinct = checkpointed(copies.groupBy("fp").agg(first.alias("low")))
+    lowest = _labelled(distinct, radius).groupBy("label").agg(F.min("low").alias("low"))
+    kept = checkpointed(lowest.select(F.col("low.id").alias(key), F.col("low.digest").alias(text_key), F.col("low.whole").alias(row_key), F.col("low.n").alias(count)))
+    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & digest.eqNullSafe(F.col(text_key)) & (whole == F.col(row_key)), "inner")
     once = found.where(F.col(count) == 1)
-    repeated = found.where(F.col(count) > 1).dropDuplicates([id_col])
+    repeated = found.where(F.col(count) > 1).dropDuplicates([key, text_key, row_key])
     return once.unionByName(repeated).select(*docs.columns)

@@ -266,6 +266,20 @@ def test_near_duplicates_of_odd_rows(spark, texts):
     assert simhash.deduplicated(alone).count() == 1
 
 
+def test_near_duplicates_are_rows_not_ids(spark, texts):
+    a, b, c, d = [t for t in texts.values() if len(t) > 300][:4]
+    rows = [(None, a), (None, b), (None, c), (7, a + "!"), (7, b), (7, d), (7, d), (3, d)]
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = sorted(tuple(r) for r in simhash.deduplicated(frame.where("n IN (0, 1, 2)")).collect())
+    assert sorted(r[1] for r in got) == sorted([a, b, c])
+    same = frame.where("n IN (0, 1, 2)").withColumn("doc_id", F.lit(5))
+    assert sorted(r.text for r in simhash.deduplicated(same).collect()) == sorted([a, b, c])
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicated(frame).collect()]
+    assert len(kept) == 4 and set(kept) == {(7, a + "!"), (7, b), (None, c), (3, d)}
+    ties = [simhash.deduplicated(frame.where("n IN (5, 6)").repartition(k, "n")).collect() for k in (1, 2, 5)]
+    assert len(ties[0]) == 1 and ties[0] == ties[1] == ties[2]
+
+
 # 6 ------------------------------------------------------------------------------------------------------
 
 
