@@ -5,7 +5,12 @@ minimised by partition refinement, and stored as a transition array over byte cl
 text's UTF-8 bytes tells which rules match anywhere, whatever the number of rules. Only for rules that hit, the
 rule's own reversed automaton marks the starts and its forward automaton the longest end of each match:
 leftmost, longest, not overlapping per rule. Matches that are too short are dropped after matching, so
-they still use up their text.
+they still use up their text. A rule's tail only lengthens a match, so the combined automaton and the reversed one
+leave it out.
+
+A private key reaches from its BEGIN marker to its END marker, whatever stands between but five dashes. If no END
+marker follows, it reaches over the armor headers and the key lines of 24 or more characters behind the marker, and
+one shorter last line and checksum.
 
 The regex dialect: literals, classes, groups, `|`, `?`, `*`, `+`, `{n,}`; ASCII only, `(?i)` by a flag.
 
@@ -35,14 +40,23 @@ class Rule(NamedTuple):
     #: A match of the pattern counts if it has so many characters; with `value`, if that part of it has.
     least: int = 0
     value: str = ""
+    #: What a match may go on with; matches the empty text.
+    tail: str = ""
+
 
+# What may stand between the lines of a key (escaped line ends, quotation and string marks included), a
+# line of the armor's headers, and the rest of a key behind its BEGIN marker, with and without an END marker.
+_GAP = r"""([\x20\x09\x0d\x0a>#"',]|\\n|\\r)+"""
+_HEADER = _GAP + r"[A-Z][A-Za-z]*(-[A-Z][A-Za-z]*)*:\x20(-?[\x20-,.-\x7e\x80-\xff])*"
+_KEY_END = r"(-?-?-?-?[\x00-,.-\xff])*-----END ([A-Z]+ )*PRIVATE KEY( BLOCK)?-----"
+_KEY_LINES = f"({_HEADER})*({_GAP}[A-Za-z0-9+/=]{{24,}})+({_GAP}[A-Za-z0-9+/=]+)?({_GAP}=[A-Za-z0-9+/]+)?"
 
 #: Fixed values. The order is that of the report.
 RULES = (
     Rule("assign", r"""((password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]+""", True, 6, r"""[a-z_]+["']?\x20*[:=]\x20*["']?"""),
     Rule("access", r"AKIA[A-Z0-9]+", False, 20),
     Rule("hex", r"[0-9a-f]{24,}", False, 24),
-    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY( BLOCK)?-----", tail=f"({_KEY_END}|{_KEY_LINES})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", False, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", False, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", False, 39),
@@ -243,7 +257,7 @@ class Scanner:
         plain = [(r.pattern, r.any_case) for r in rules]
         self.all = compile_rules(plain, search=True)
         self.starts = [compile_rules([p], search=True, back=True) for p in plain]
-        self.ends = [compile_rules([p], search=False) for p in plain]
+        self.ends = [compile_rules([(r.pattern + r.tail, r.any_case)], search=False) for r in rules]
         if any(a.hits[0] for a in (self.all, *self.ends)):
             raise ValueError("a rule matches the empty text")
 
