@@ -49,7 +49,8 @@ POLICIES = {
 
 _WORD = re.compile(WORD)
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-_FLAGGED = re.compile("|".join(FLAGGED))
+# Whole words: "closer" holds no "loser".
+_FLAGGED = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(FLAGGED)})(?![^\W\d_])")
 
 
 def mask(policy: str) -> int:

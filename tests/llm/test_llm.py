@@ -433,6 +433,14 @@ def test_ledger_of_odd_rows(spark, texts):
     assert quality.apply_policy(frame).columns == frame.columns and quality.apply_policy(frame.limit(0)).count() == 0
 
 
+def test_flagged_words_are_whole_words(spark):
+    held = dict(zip(quality.MEASURES, quality.measure("closer enclosers clownfish trashé Loser, loser's (CLOWN) 1trash_ idiot"), strict=True))
+    assert held["n_flagged"] == 5
+    clean = " ".join(f"word{i}" for i in range(60)) + " closer closer and closer"
+    frame = spark.createDataFrame([(1, clean), (2, clean.replace("closer", "loser"))], "doc_id long, text string")
+    assert [r.doc_id for r in quality.apply_policy(frame).collect()] == [1]
+
+
 def test_ablations_from_bits(spark, sf):
     rows = QUERIES["op10_quality_ledger"](spark, sf)
     bits = [r.failed_bits for r in rows.collect()]
