@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, decontamination, html_extraction, langid, packing, quality, secrets, simhash, substrings, surrogates
+from querywarden.llm import chat, decontamination, divergence, html_extraction, langid, packing, quality, secrets, simhash, substrings, surrogates
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +179,47 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without windows of 35 words that start elsewhere too."""
     out = substrings.deduplicated(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence between the sources of every language, and the terms that mark each source."""
+    return divergence.source_audit(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_source_audit"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), words AS (
+    SELECT d, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+    SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), groups AS (
+    SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL
+), cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * s.v) AS p,
+        1 + 1000000000 * (k.n + 2) // (s.total + 2 * s.v) AS q
+    FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON s.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM cells WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
