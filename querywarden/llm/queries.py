@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, decontamination, divergence, html_extraction, langid, packing, quality, secrets, simhash, substrings, surrogates
+from querywarden.llm import chat, decontamination, divergence, html_extraction, hyperminhash, langid, packing, quality, secrets, simhash, substrings, surrogates
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,3 +223,9 @@ WITH docs AS (
 )
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+
+@registered
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
