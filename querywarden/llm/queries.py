@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import chat, decontamination, divergence, html_extraction, hyperminhash, langid, packing, quality, secrets, simhash, substrings, surrogates
+from querywarden.llm import alignment_ids, chat, decontamination, divergence, html_extraction, hyperminhash, langid, packing, quality, secrets, simhash, substrings, surrogates
 from querywarden.llm.base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,3 +229,10 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and near-duplicate component of every document."""
     return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@registered
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in every document, and how common its linked pairs of ids are."""
+    docs = read_table(spark, sf_dir, "documents")
+    return alignment_ids.token_alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
