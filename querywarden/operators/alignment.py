@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.catalogue import INCONSISTENCIES, PARSE_FAILED, PATTERN_LABELS
 from ..functions.patterns import with_suspicious_patterns
 from ..functions.structure import tree_similarity, with_structure
+from .skew import spread_join
 
 PATTERN_PENALTY = 0.15
 
@@ -20,11 +21,12 @@ def join_gold(
     keys: Sequence[str] = ("db_id", "question"),
     gold_col: str = "gold_sql",
     out: str = "expected_sql",
+    spread: bool | None = None,
 ) -> DataFrame:
     """Left join every generated query with its gold query; rows without one get NULL.
 
-    A key may hold a large part of the generated rows: there is one gold row for each key, so adaptive
-    execution can split the rows of such a key and repeat only its gold row.  Different gold texts for one
+    A key may hold a large part of the generated rows: unless the gold side is small enough to be broadcast,
+    the rows of such a key are dealt over several tasks (``spread_join``).  Different gold texts for one
     key are an error, since a query would be held against only one of them; equal ones count once.
     """
     keys = list(keys)
@@ -36,7 +38,7 @@ def join_gold(
     lowest, highest = F.min(out), F.max(out)
     conflict = F.raise_error(F.concat(F.lit("several gold texts for "), F.concat_ws(", ", *on)))
     right = right.groupBy(*on).agg(F.when(lowest < highest, conflict.cast("string")).otherwise(lowest).alias(out))
-    return left.join(right, on, "left").drop(*on)
+    return spread_join(left, right, on, spread=spread).drop(*on)
 
 
 def with_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None = None) -> DataFrame:

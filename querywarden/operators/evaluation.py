@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
 from ..sources.storage import delete, materialize
+from .skew import running_sums, spread_join
 from .verdict import EVALUATION, VerdictConfig, evaluation_rows, score
 
 # Fixed values of the evaluation protocol.
@@ -101,6 +102,34 @@ def stratified_split(
     return joined.withColumn("split", split).drop("_label", "_val_from", "_test_from")
 
 
+def grouped_split(
+    df: DataFrame,
+    group_col: str = "question",
+    train_ratio: float = TRAIN_RATIO,
+    val_ratio: float = VAL_RATIO,
+    seed: int = SEED,
+) -> DataFrame:
+    """Add ``split`` so that all rows of a group are in one part: no question is both trained and tested on.
+
+    Groups stand in the order of a seeded hash; a group belongs to the part in which its first row falls, so
+    a part's size misses its share by less than the largest group.  NULL is a group of its own.  The running
+    sums over the groups are taken in two passes, and a group may hold any number of rows.
+    """
+    if not train_ratio + val_ratio < 1.0:
+        raise ValueError("train_ratio + val_ratio must be below 1")
+    group, key = "_group", "_key"
+    # The length tells NULL from the empty text, and joins need keys that are not NULL.
+    own = df.withColumn(group, F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit("")))
+    sized = own.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sized = sized.withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.col(group)).cast("binary")))
+    placed = running_sums(sized, [key, group], ["n"])
+    first = F.col("sum_n") - F.col("n")
+    n_train = F.floor(F.col("all_n") * F.lit(float(train_ratio)))
+    n_val = F.floor(F.col("all_n") * F.lit(float(val_ratio)))
+    split = F.when(first < n_train, F.lit("train")).when(first < n_train + n_val, F.lit("val")).otherwise(F.lit("test"))
+    return spread_join(own, placed.select(group, split.alias("split")), [group]).drop(group)
+
+
 # ---- confusion counts and metrics --------------------------------------------------------------
 
 
@@ -173,6 +202,39 @@ def best_threshold(curve: DataFrame, by: Sequence[str] = ("split",)) -> DataFram
     return curve.groupBy(*by).agg(point.alias("best")).select(*by, "best.*")
 
 
+def exact_curve(rows: DataFrame, by: Sequence[str] = ("split",), score_col: str = "score", label_col: str = "label") -> DataFrame:
+    """Counts and metrics at every distinct score as threshold; a row is positive where score > threshold.
+
+    Rows are combined per score first; the running sums over the scores are taken in two passes over range
+    partitions, so no task sees more than its range.  Scores are distinct per group of ``by``.  Rows without a
+    score belong to no threshold.  Labels other than 0 and 1 count as misses, as elsewhere.
+    """
+    label, score = F.col(label_col), F.col(score_col)
+    kinds = {"pos": label == 1, "neg": label == 0, "odd": ~F.coalesce(label.isin(0, 1), F.lit(False))}
+    sums = [F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(n) for n, c in kinds.items()]
+    per = rows.where(score.isNotNull()).groupBy(*by, score.alias("threshold")).agg(*sums)
+    curve = running_sums(per, ["threshold"], list(kinds), by)
+    counts = {
+        "tp": F.col("all_pos") - F.col("sum_pos"),
+        "fp": F.col("all_neg") - F.col("sum_neg"),
+        "tn": F.col("sum_neg"),
+        "fn": F.col("sum_pos") + F.col("all_odd"),
+    }
+    return with_metrics(curve.withColumns(counts))
+
+
+def exact_best(curve: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
+    """Per group the threshold with the highest f1 (the smallest of equals), its metrics, and the area under
+    the ROC curve (NULL where a class is missing); equal scores count half."""
+    point = F.struct("threshold", "f1", "precision", "recall", "accuracy", "tp", "fp", "tn", "fn")
+    best = F.min_by(point, F.struct((-F.col("f1")).alias("f"), "threshold")).alias("best")
+    # Of a score's negatives, every positive above is a right order and every positive at it half of one.
+    twice = F.sum((F.col("neg") * (2 * F.col("tp") + F.col("pos"))).cast("decimal(38,0)")).cast("double")
+    pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
+    found = curve.groupBy(*by).agg(best, F.when(pairs > 0, twice / (2 * pairs)).alias("auc"))
+    return found.select(*by, "best.*", "auc")
+
+
 def best_of_split(curve: DataFrame, split: str) -> DataFrame:
     """The best point of one split as a one-row frame.
 

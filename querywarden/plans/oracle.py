@@ -12,7 +12,7 @@ from ..functions.catalogue import (
 )
 from ..functions.dialect import SPACE as NEAR_SPACE, WIDE_SPACE, WORD
 from ..functions.structure import SKELETON_FIELDS, TREE_FEATURES
-from .queries import EXTRA_PATTERNS, EXTRA_RULES
+from .queries import EXTRA_PATTERNS, EXTRA_RULES, WATCHED
 from .querylog import BASE, MESSY_TEMPLATES, TEMPLATES
 
 
@@ -667,6 +667,67 @@ def oracle() -> dict[str, str]:
         )
         + " FROM o",
     }
+    popular = "Which orders are open?"
+    out["gold_join_hot"] = (
+        f"{ctes(LOG, GOLD)}, asked AS (SELECT id, db_id, CASE WHEN id % 3 = 0 THEN {lit(popular)} ELSE question END AS question FROM log), "
+        f"known AS (SELECT * FROM gold UNION ALL SELECT DISTINCT db_id, {lit(popular)}, 'SELECT * FROM orders -- ' || db_id FROM gold) "
+        "SELECT id, gold_sql AS expected_sql FROM asked LEFT JOIN known USING (db_id, question)"
+    )
+    # Every pair of distinct trees of a database.
+    equal = " + ".join(f"(a.t_{f} IS NOT DISTINCT FROM b.t_{f})::INT" for f in TREE_FEATURES)
+    trees = ", ".join(f"t_{f}" for f in TREE_FEATURES)
+    out["nearest_clean"] = (
+        f"{ctes(LOG, clean_ctes(), structure_ctes('cleaned', 'st'))}, toxic_ AS (SELECT DISTINCT db_id, {trees} FROM st WHERE wf AND toxic = 1), "
+        f"clean_ AS (SELECT db_id, {trees}, min(sql) AS gold FROM st WHERE wf AND toxic = 0 AND trim(sql) <> '' GROUP BY ALL), "
+        f"pairs AS (SELECT a.*, gold, {equal} AS same FROM toxic_ a JOIN clean_ b ON a.db_id = b.db_id), "
+        f"best AS (SELECT * FROM pairs WHERE same >= 7 QUALIFY row_number() OVER (PARTITION BY db_id, {trees} ORDER BY same DESC, gold) = 1) "
+        "SELECT id, CASE WHEN wf THEN gold END AS nearest_sql, CASE WHEN wf THEN round(same / 9::DOUBLE, 6) END AS nearest_similarity FROM st LEFT JOIN best ON st.wf AND st.db_id = best.db_id AND "
+        + " AND ".join(f"st.t_{f} IS NOT DISTINCT FROM best.t_{f}" for f in TREE_FEATURES)
+        + " WHERE toxic = 1"
+    )
+
+    def each_rule(key: str, columns: str, unicode: bool) -> str:
+        return " UNION ALL ".join(
+            f"SELECT {key}, {i} AS rule_no, {lit(r.name)} AS name{columns.format(lit(r.severity))} FROM hits WHERE h{i}" for i, r in enumerate(BUILTIN_RULES)
+        )
+
+    # The watch list by taking the number out of the text.
+    number = "unnest(list_distinct(regexp_extract_all(sql, '(?i)\\bo_custkey\\s*=\\s*([0-9]+)\\b', 1)))"
+    watched = f"(SELECT {{}}, {number} AS n FROM log) WHERE n NOT LIKE '0%' AND length(n) < 9 AND n::INT <= {WATCHED}"
+    first = len(BUILTIN_RULES) - 1
+    out["rule_index_hits"] = (
+        f"{ctes(LOG, hits_cte())} {each_rule('id', ', {} AS severity', False)} UNION ALL SELECT id, n::INT + {first}, 'customer_' || n, 'LOW' FROM {watched.format('id')}"
+    )
+    out["doc_rule_index_hits"] = (
+        f"{ctes(docs, hits_cte(unicode=True))} {each_rule('doc_id', '', True)} UNION ALL SELECT doc_id, n::INT + {first}, 'customer_' || n FROM {watched.format('doc_id')}"
+    )
+
+    def exact(source: str, by: str) -> str:
+        """Sums over all scores up to each one by a window."""
+        return (
+            f"per AS (SELECT {by}, round(score, 6) AS threshold, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM {source} WHERE score IS NOT NULL GROUP BY ALL), "
+            f"curve AS (SELECT *, sum(pos) OVER w - sum(pos) OVER o AS tp, sum(neg) OVER w - sum(neg) OVER o AS fp, sum(neg) OVER o AS tn, sum(pos) OVER o AS fn, "
+            f"sum(pos) OVER w AS all_pos, sum(neg) OVER w AS all_neg FROM per WINDOW w AS (PARTITION BY {by}), o AS (PARTITION BY {by} ORDER BY threshold)), "
+            f"points AS (SELECT {by}, threshold, {METRIC_COLS}, {F1} AS f1_ FROM curve), "
+            f"area AS (SELECT {by}, CASE WHEN max(all_pos) > 0 AND max(all_neg) > 0 THEN sum(neg * (2 * tp + pos))::DOUBLE / (2 * max(all_pos)::DOUBLE * max(all_neg)::DOUBLE) END AS auc FROM curve GROUP BY {by}), "
+            f"best AS (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY f1_ DESC, threshold) = 1)"
+        )
+
+    named = "threshold, precision, recall, f1, accuracy, tp, fp, tn, fn"
+    out["exact_sweep"] = f"{ctes(EVAL_ROWS, exact('rows_', 'split'))} SELECT split, {named} FROM points"
+    out["exact_best"] = f"{ctes(EVAL_ROWS, exact('rows_', 'split'))} SELECT split, {named}, round(auc, 6) AS auc FROM best JOIN area USING (split)"
+    labelled = "log AS (SELECT doc_id AS id, text AS sql, toxic, lang AS db_id FROM documents JOIN labels USING (doc_id))"
+    out["doc_exact_best"] = (
+        f"{ctes(labelled, clean_ctes('log', 'cl'), verdict_ctes('cl', 'v', *EVAL, unicode=True))}, rows_ AS (SELECT db_id, toxic AS label, risk AS score FROM v), "
+        f"{exact('rows_', 'db_id')} SELECT best.db_id, {named}, round(auc, 6) AS auc FROM best JOIN area ON best.db_id IS NOT DISTINCT FROM area.db_id"
+    )
+    out["grouped_split"] = (
+        f"{ctes(LOG)}, sized AS (SELECT question, count(*) AS n FROM log GROUP BY question), "
+        "placed AS (SELECT question, sum(n) OVER (ORDER BY md5('42:=' || question), question) - n AS first, sum(n) OVER () AS total FROM sized) "
+        "SELECT id, question, CASE WHEN first < floor(total * 0.6::DOUBLE) THEN 'train' WHEN first < floor(total * 0.6::DOUBLE) + floor(total * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split "
+        "FROM log JOIN placed USING (question)"
+    )
+    out["stream_replay"] = out["stream_guard"]
     for level in ("strict", "medium", "lenient"):
         mode = "strict" if level == "strict" else "lenient"
         out[f"policy_enforce_{level}"] = (

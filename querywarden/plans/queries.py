@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signals
-from ..functions.catalogue import PATTERN_LABELS, Rule, rule_table
+from ..functions.catalogue import BUILTIN_RULES, PATTERN_LABELS, Rule, rule_table
 from ..functions.patterns import with_suspicious_patterns
 from ..functions.structure import SKELETON_FIELDS, TREE_FEATURES, with_structure
 from ..functions.text import masked, well_formed, with_clean_sql
 from ..operators import evaluation as ev
 from ..operators.alignment import check_alignment, join_gold, with_alignment
 from ..operators.keyword import keyword_explain, keyword_hits, keyword_scan
+from ..operators.nearest import nearest_gold
 from ..operators.policy import FAMILIES, check_boundaries, enforce_policy, policy_report
+from ..operators.ruletable import indexed_hits, rule_index
 from ..operators.verdict import EVALUATION, batch_score, evaluation_rows, score, verdict_explain, with_detectors
 from ..sources.corpus import normalise_corpus
 from ..sources.sinks import csv_rows, slim_rows
-from ..sources.storage import shared_dir
+from ..sources.storage import checkpointed, delete, shared_dir
 from ..streaming.guard import start_guard
 from .querylog import TEMPLATES, as_corpus, gold_queries, labelled_documents, messy_log, query_log, table, texts
 
@@ -106,6 +108,23 @@ def rule_hit_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: A long list of rules: the built-in ones and one for each of a thousand customers under watch.
+WATCHED = 1000
+WATCH_RULES = tuple(Rule(f"customer_{n}", rf"\bo_custkey\s*=\s*{n}\b", "watch_list", "LOW", f"asks for customer {n}") for n in range(1, WATCHED + 1))
+
+
+@query
+def rule_index_hits(spark: SparkSession, sf: str) -> DataFrame:
+    index = rule_index(spark, (*BUILTIN_RULES, *WATCH_RULES))
+    return indexed_hits(query_log(spark, sf), index, ["id"]).select("id", "rule_no", "name", "severity")
+
+
+@query
+def doc_rule_index_hits(spark: SparkSession, sf: str) -> DataFrame:
+    index = rule_index(spark, (*BUILTIN_RULES, *WATCH_RULES))
+    return indexed_hits(texts(spark, sf, "documents"), index, ["doc_id"], "text").select("doc_id", "rule_no", "name")
+
+
 def _scan_text(spark: SparkSession, sf: str, name: str, keys: list[str], text: str) -> DataFrame:
     return keyword_scan(texts(spark, sf, name), text).select(*keys, *_scan_columns())
 
@@ -209,6 +228,27 @@ def gold_join(spark: SparkSession, sf: str) -> DataFrame:
     return _with_gold(spark, sf).select("id", "expected_sql")
 
 
+@query
+def gold_join_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of all rows ask one question, spread over every database; the gold side is not broadcast."""
+    popular = "Which orders are open?"
+    log = query_log(spark, sf).withColumn("question", F.when(F.col("id") % 3 == 0, F.lit(popular)).otherwise(F.col("question")))
+    gold = gold_queries(spark, sf)
+    open_orders = gold.select("db_id").distinct().select(
+        "db_id", F.lit(popular).alias("question"), F.concat(F.lit("SELECT * FROM orders -- "), F.col("db_id")).alias("gold_sql")
+    )
+    return join_gold(log, gold.unionByName(open_orders), spread=True).select("id", "expected_sql")
+
+
+@query
+def nearest_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """For each toxic query the clean query of the same database that is nearest in structure."""
+    log = query_log(spark, sf)
+    clean = log.where("toxic = 0").select("db_id", F.col("sql").alias("gold_sql"))
+    found = nearest_gold(log.where("toxic = 1"), clean)
+    return found.select("id", "nearest_sql", r6("nearest_similarity").alias("nearest_similarity"))
+
+
 @query
 def tree_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return with_alignment(_with_gold(spark, sf), expected_col="expected_sql").select(
@@ -458,6 +498,36 @@ def oracle_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return _best(_evaluate(spark, sf).oracle)
 
 
+def _exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct scores are told apart at six places, as everywhere in these results."""
+    rows = _evaluate(spark, sf).rows.select("split", "label", r6("score").alias("score"))
+    return ev.exact_curve(rows)
+
+
+@query
+def exact_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return _exact(spark, sf).select("split", r6("threshold").alias("threshold"), *_rounded_metrics())
+
+
+@query
+def exact_best(spark: SparkSession, sf: str) -> DataFrame:
+    best = ev.exact_best(_exact(spark, sf))
+    return best.select("split", r6("threshold").alias("threshold"), *_rounded_metrics(), r6("auc").alias("auc"))
+
+
+@query
+def doc_exact_best(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk scores of documents against the toxic label, per language."""
+    rows = evaluation_rows(score(labelled_documents(spark, sf), "query", config=EVALUATION))
+    curve = ev.exact_curve(rows.withColumn("score", r6("score")), ["db_id"])
+    return ev.exact_best(curve, ["db_id"]).select("db_id", r6("threshold").alias("threshold"), *_rounded_metrics(), r6("auc").alias("auc"))
+
+
+@query
+def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.grouped_split(_corpus(spark, sf)).select("id", "question", "split")
+
+
 @query
 def apply_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return _evaluate(spark, sf, store=True).rows.select("id", "split", r6("score").alias("score"), "pred_sweep", "pred_hard")
@@ -536,10 +606,8 @@ def doc_sweep_curve(spark: SparkSession, sf: str) -> DataFrame:
 # ---- stream ------------------------------------------------------------------------------------
 
 
-@query
-def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Score an event stream of queries through a file source and read back what the guard wrote."""
-    out = shared_dir(spark, "stream_guard")
+def _event_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of queries from a file source: event_id, ts, sql."""
     batch = table(spark, sf, "events")
     events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     cores = spark.sparkContext.defaultParallelism
@@ -547,16 +615,36 @@ def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
         events = events.repartition(cores)
     rows = [(i, t) for i, (t, _, _) in enumerate(TEMPLATES)]
     templates = F.broadcast(spark.createDataFrame(rows, "tid INT, template STRING"))
-    queries = events.join(templates, F.col("event_id") % len(TEMPLATES) == F.col("tid")).select(
+    return events.join(templates, F.col("event_id") % len(TEMPLATES) == F.col("tid")).select(
         "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.replace(
             F.replace("template", F.lit("{c}"), F.col("user_id").cast("string")), F.lit("{k}"), F.col("event_id").cast("string")
         ).alias("sql"),
     )
-    run = start_guard(queries, f"{out}/rows", f"{out}/checkpoint", available_now=True)
-    run.awaitTermination()
+
+
+def _guarded(spark: SparkSession, queries: DataFrame, **options) -> DataFrame:
+    """What the guard wrote of a stream, read back; the files of the run are deleted."""
+    out = shared_dir(spark, "stream_guard")
+    start_guard(queries, f"{out}/rows", f"{out}/checkpoint", available_now=True, **options).awaitTermination()
     scored = spark.read.parquet(f"{out}/rows")
-    return scored.select("event_id", r6("overall_risk_score").alias("overall_risk_score"), "action")
+    kept = checkpointed(scored.select("event_id", r6("overall_risk_score").alias("overall_risk_score"), "action"))
+    delete(spark, out)
+    return kept
+
+
+@query
+def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Score an event stream of queries through a file source and read back what the guard wrote."""
+    return _guarded(spark, _event_queries(spark, sf).drop("ts"))
+
+
+@query
+def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a source that sends every event twice; each is scored once."""
+    twice = _event_queries(spark, sf).unionByName(_event_queries(spark, sf))
+    return _guarded(spark, twice, once_by=["event_id"], event_time="ts", delay="2 hours")
 
 
 # ---- further signals ---------------------------------------------------------------------------

@@ -37,3 +37,12 @@ def delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder; Spark removes the files with the frame if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or shared_dir(df.sparkSession, "checkpoint"))
+    return df.checkpoint(eager=True)

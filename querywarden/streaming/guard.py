@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +15,15 @@ def guard(stream: DataFrame, sql_col: str = "sql", config: VerdictConfig = DEFAU
     return score(stream, sql_col, config=config)
 
 
+def once(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
+    """Drop rows whose keys were seen before, so that a source that sends rows again has each scored once.
+
+    A key is remembered for ``delay`` after the latest event time, and then forgotten: the state holds the
+    keys of that span only.  The state is part of the query's checkpoint, so a restart remembers too.
+    """
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def start_guard(
     stream: DataFrame,
     path: str,
@@ -21,13 +32,20 @@ def start_guard(
     config: VerdictConfig = DEFAULT,
     available_now: bool = False,
     interval: str | None = None,
+    once_by: Sequence[str] = (),
+    event_time: str = "ts",
+    delay: str = "1 hour",
 ) -> StreamingQuery:
     """Write scored rows to parquet, one folder per action, so readers prune to what they need.
 
     Every batch writes a set of files: ``interval`` ("5 minutes") makes batches larger and files fewer.
 
+    With ``once_by``, rows that a source repeats within ``delay`` are dropped before they are scored (``once``).
+
     The file sink's log makes each batch count once even when it is written again after a failure.
     """
+    if once_by:
+        stream = once(stream, once_by, event_time, delay)
     writer = (
         guard(stream, sql_col, config)
         .writeStream.format("parquet")
