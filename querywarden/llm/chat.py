@@ -19,6 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from querywarden.functions.staging import pinned
+from querywarden.llm.base import fresh
 
 HEAD, BODY, END, MORE = "### ", ":\n", "</turn>\n", "<more/>"
 #: Code of each control string in an escaped text. The back-slash comes first when escaping and last when
@@ -88,16 +92,17 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             ),
         )
     )
-    # Running offsets: the mask needs them only for pieces under the loss, and a prefix sum over the piece
-    # lengths of one conversation gives them.
-    spans = F.expr(
-        "aggregate(pieces, struct(0L AS at, array_repeat(struct(0L AS start, 0L AS length), 0) AS spans), "
-        "(a, p) -> struct(a.at + char_length(p.s) AS at, "
-        "CASE WHEN p.loss THEN concat(a.spans, array(struct(a.at AS start, CAST(char_length(p.s) AS BIGINT) AS length))) ELSE a.spans END AS spans), "
-        "a -> a.spans)"
-    )
-    return merged.select("conv_id", pieces.alias("pieces")).select(
-        "conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans")
+    # The offset of a piece is the sum of the lengths before it. A window over the pieces of a conversation adds
+    # them up once; an array that grows turn by turn would be copied each time.
+    listed = merged.select("conv_id", F.posexplode(pieces).alias("place", "piece")).select("conv_id", "place", "piece", F.char_length("piece.s").cast("long").alias("length"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    listed = listed.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    whole = listed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "piece", "start", "length"))).alias("pieces"))
+    loss = F.filter("pieces", lambda p: p["piece"]["loss"])
+    return whole.select(
+        "conv_id",
+        F.array_join(F.transform("pieces", lambda p: p["piece"]["s"]), "").alias("formatted"),
+        F.transform(loss, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"))).alias("loss_spans"),
     )
 
 
@@ -114,5 +119,13 @@ def read_back(chats: DataFrame) -> DataFrame:
         texts = F.split(F.substring(block, at + F.lit(body), F.char_length(block)), MORE)
         return F.transform(texts, lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return chats.withColumn("turns", F.flatten(F.transform(blocks, turns_of))).withColumn("loss_texts", loss)
+    # Four bytes for each code point, so a span is cut out at its place without counting from the start. The
+    # encoded text is pinned: it is made once for a conversation, not once for a span.
+    wide = fresh(chats, "wide")
+    chats = pinned(chats, wide, "encode(formatted, 'UTF-32')")
+
+    def under(span: Column) -> Column:
+        return unescape(F.decode(F.substring(F.col(wide), (4 * span["start"] + 1).cast("int"), (4 * span["length"]).cast("int")), "UTF-32"))
+
+    back = chats.withColumn("turns", F.flatten(F.transform(blocks, turns_of)))
+    return back.withColumn("loss_texts", F.transform("loss_spans", under)).drop(wide)
