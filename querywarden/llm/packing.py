@@ -308,19 +308,21 @@ def pack(
 
         kind = None
         gc.disable()  # nothing here refers to itself, and passes over the cache's millions of entries are slow
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            docs_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for low, high in _runs(texts):
-                for doc, ids in zip(docs_ids[low:high], cache.ids(texts[low:high]), strict=True):
-                    packer.add(Rest(doc, 0, ids + end, len(ids) // 4 + 1))
-                if packer.tokens > pool_tokens:
-                    packer.pack()
-                    yield from rows(kind)
-        packer.finish()
-        if packer.windows:
-            yield from rows(kind)
-        gc.enable()
+        try:
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                docs_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for low, high in _runs(texts):
+                    for doc, ids in zip(docs_ids[low:high], cache.ids(texts[low:high]), strict=True):
+                        packer.add(Rest(doc, 0, ids + end, len(ids) // 4 + 1))
+                    if packer.tokens > pool_tokens:
+                        packer.pack()
+                        yield from rows(kind)
+            packer.finish()
+            if packer.windows:
+                yield from rows(kind)
+        finally:  # the worker goes on to other tasks, also after an error or a LIMIT
+            gc.enable()
 
     ship(docs)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
