@@ -79,9 +79,9 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ledger_sql() -> str:
-    """Counts by unnesting words; the rules' expressions are the operator's own, the measurements are not."""
-    bits = " + ".join(f"(CASE WHEN {rule} THEN {1 << i} ELSE 0 END)" for i, rule in enumerate(quality.RULES.values()))
-    flagged = "|".join(quality.FLAGGED)
+    """Counts by unnesting words. Measurements, rules and policies are written out again; only the list of flagged
+    words is the operator's. A flagged word is a whole run of letters."""
+    flagged = ", ".join(f"'{word}'" for word in quality.FLAGGED)
     return rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0d]+') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
@@ -104,11 +104,17 @@ m AS (
     SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_alpha_words, 0) AS n_alpha_words, coalesce(n_upper_words, 0) AS n_upper_words,
-        len(regexp_extract_all(lower(text), '{flagged}')) AS n_flagged
+        len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nl}}\p{{No}}]+'), lambda w: w IN ({flagged}))) AS n_flagged
     FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
 ),
-judged AS (SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM m)
-SELECT *, (failed_bits & {quality.mask("base")}) <> 0 AS base_failed, (failed_bits & {quality.mask("v2")}) = 0 AS kept FROM judged
+judged AS (
+    SELECT *, CAST(
+        (n_words < 50)::INT + 2 * (2 * n_repeat_words > n_words)::INT + 4 * (n_symbols > n_words / 10)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
+        + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT + 64 * (10 * n_alpha_words < 7 * n_words)::INT
+        + 128 * (2 * n_upper_words > n_words)::INT + 256 * (n_flagged > 2 AND n_flagged > n_words / 200)::INT
+    AS BIGINT) AS failed_bits FROM m
+)
+SELECT *, failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept FROM judged
 """
 
 

@@ -67,11 +67,39 @@ def test_blocks_by_markup():
     found = blocks(page)
     assert found.article == ["Keep & this", "One two bold", "three <b> a < b 5<6", "l1", "l2", "a b", "x y", "end © &am"]
     assert found.rest == ["after"]
-    assert blocks(None) == blocks("") == ([], [], [])
+    assert blocks(None) == blocks("") == ([], [], [], [])
     assert blocks("<p>a</p><p").rest == ["a"] and blocks('<p title="x>y">a<!-- b').rest == ["a"] and blocks("<script>a").rest == []
     assert len(blocks("<p title='" * 20_000).rest) <= 1
 
 
+def test_wrappers_and_teasers():
+    """A class name of boilerplate around the article does not hide it; the longer of two marked regions counts."""
+    inner = "<article><h1>H</h1><p>The article itself</p><div class='share'>S</div></article>"
+    for name in ("sidebar-right", "elementor-widget", "layout-sidebar-right", "page-sidebar"):
+        page = f"<div class='{name}'><div class='elementor-widget-container'>{inner}</div><p>side</p></div><p>foot</p>"
+        assert blocks(page).main() == ["H", "The article itself"], name
+        assert blocks(f"<div class='{name}'><main><p>Main of it</p></main></div>").main() == ["Main of it"]
+        assert blocks(f"<div class='{name}' role='navigation'>{inner}</div>").main() == []
+    assert blocks(f"{inner}<div class='sidebar'><article>a long teaser of other pages, longer than the article itself</article></div>").main() == ["H", "The article itself"]
+    story = "<p>A story of many words that goes on and on</p>"
+    assert blocks(f"<article>teaser</article><div id='story'>{story}</div>").main() == ["A story of many words that goes on and on"]
+    assert blocks(f"<main>before {inner} after</main>").main() == ["H", "The article itself"]
+    unmarked = f"<div>{story * 3}</div><div class='related'><article>x</article></div>"
+    assert blocks(unmarked).main() == [] and len(blocks(unmarked).rest) == 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 60_000 + "</i>" * 60_000, "<li><ul>" + "<b>" * 60_000 + "<li></li>" * 60_000, "<p>" + "<b>" * 60_000 + "<div></div>" * 60_000, "<div><p>" * 60_000 + "</section>" * 60_000, "<" * 1_000_000, "<a href='" * 100_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    blocks(page)
+    assert time.process_time() - began < 6
+
+
 def test_repeated_runs_of_a_host_go(spark):
     menu = "<div>Home</div><div>About us</div><div>Contact</div><div>Login</div>"
     end = "<p>All rights reserved by the host of this very page 2020</p>"
@@ -422,6 +450,15 @@ def test_chats_read_back(spark):
     assert not expected and chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    n = 100_000
+    role = F.when(F.col("id") % 3 == 0, "assistant").when(F.col("id") % 3 == 1, "user").otherwise("assistant")
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é ### "), F.col("id")).alias("text"))
+    (row,) = chat.read_back(chat.format_chats(turns)).collect()
+    assert [t.text for t in row.turns] == [f"é ### {i}" for i in range(n)]
+    assert row.loss_texts == [f"é ### {i}" for i in range(n) if i % 3 != 1]
+
+
 def test_ledger_of_odd_rows(spark, texts):
     frame = odd_docs(spark, texts)
     out, held = quality.ledger(frame)
@@ -441,6 +478,20 @@ def test_flagged_words_are_whole_words(spark):
     assert [r.doc_id for r in quality.apply_policy(frame).collect()] == [1]
 
 
+def test_the_sql_of_the_ledger_tells_words_from_parts(spark, sf, tmp_path):
+    """Texts on both sides of every rule, none of which the given tables hold."""
+    from check_oracle import compare, connect
+
+    plain = " ".join(f"word{i} and" for i in range(60))
+    own = ["closer " * 3 + plain, "loser " * 3 + plain, "Loser's (CLOWN) 1trash_ x² loser² losers " + plain, "# $ & " * 20 + plain, "same line\n" * 9 + plain, "A " * 50 + plain, "HELLO THERE " * 90, "1 22 333 " * 40, "x" * 3000 + " y" * 60, "", None, " \n"]
+    own += [plain + " loser" * k for k in (1, 2, 3, 4)] + ["b " * k for k in (49, 50, 51)]
+    spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect(sf)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "op10_quality_ledger"
+    assert compare(spark, con, str(tmp_path), name, QUERIES[name], ORACLE[name]) is None
+
+
 def test_ablations_from_bits(spark, sf):
     rows = QUERIES["op10_quality_ledger"](spark, sf)
     bits = [r.failed_bits for r in rows.collect()]
