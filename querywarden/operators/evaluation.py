@@ -7,6 +7,7 @@ sweep, all metrics and the gap analysis cost one pass over the scored rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import cached_property
 
@@ -163,6 +164,68 @@ def compute_metrics(df: DataFrame, label_col: str, pred_col: str, by: Sequence[s
     return with_metrics(df.groupBy(*by).agg(*[c.alias(n) for n, c in counts.items()]))
 
 
+# ---- confidence intervals ----------------------------------------------------------------------
+
+
+REPLICATES = 200
+#: Percent.
+CONFIDENCE = 95
+
+
+def _poisson_borders() -> list[str]:
+    """Four-digit hexadecimal numbers: a uniform one reaches k of them with the probability that a Poisson
+    variable of mean 1 reaches k."""
+    borders, below, share = [], 0.0, math.exp(-1)
+    for k in range(1, 9):
+        below += share
+        share /= k
+        if (border := math.floor(below * 65536)) < 65536:
+            borders.append(f"{border:04x}")
+    return borders
+
+
+def bootstrap_weights(id_col: str, replicates: int, seed: int) -> Column:
+    """How often each replicate draws a row: an array of Poisson weights read off digests of the row's id, so
+    they are the same in every run and however the rows are partitioned."""
+    drawn = " + ".join(f"CAST(substring(d, 4 * j + 1, 4) >= '{b}' AS INT)" for b in _poisson_borders())
+    digests = f"transform(sequence(0, {(replicates - 1) // 8}), k -> md5(encode(concat('{seed}:', CAST(`{id_col}` AS STRING), ':', CAST(k AS STRING)), 'UTF-8')))"
+    return F.expr(f"slice(flatten(transform({digests}, d -> transform(sequence(0, 7), j -> {drawn}))), 1, {replicates})")
+
+
+def bootstrap_intervals(
+    rows: DataFrame,
+    id_col: str = "id",
+    label_col: str = "label",
+    pred_col: str = "pred_hard",
+    by: Sequence[str] = (),
+    replicates: int = REPLICATES,
+    seed: int = SEED,
+) -> DataFrame:
+    """For each group of ``by`` and metric the estimate and the bounds of its bootstrap interval (the order
+    statistics of the replicates).
+
+    One pass: the rows are combined per (by, label, prediction) into one sum of weights for each replicate,
+    so what is shuffled does not grow with the rows.  Ids must be unique and not NULL.
+    """
+    held = "_weights"
+    # Exploding a one-element array makes the weights once for a row, not once for each sum.
+    drawn = rows.select(*by, label_col, (F.col(pred_col) == 1).alias("_pred"), F.explode(F.array(bootstrap_weights(id_col, replicates, seed))).alias(held))
+    sums = [F.sum(F.get(held, F.lit(i))).alias(f"_w{i}") for i in range(replicates)]
+    cells = drawn.groupBy(*by, F.col(label_col).alias("_label"), "_pred").agg(F.count(F.lit(1)).alias("_all"), *sums)
+    # Replicate 0 is the sample itself.
+    counted = cells.select(*by, "_label", "_pred", F.posexplode(F.array("_all", *[f"_w{i}" for i in range(replicates)])).alias("_replicate", "_n"))
+    counts = confusion(F.col("_label"), F.col("_pred"), F.col("_n"))
+    each = with_metrics(counted.groupBy(*by, "_replicate").agg(*[c.alias(n) for n, c in counts.items()]))
+    low = max(1, (100 - CONFIDENCE) * replicates // 200)
+    high = replicates + 1 - low
+    metric = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
+    long = each.select(*by, "_replicate", metric.alias("m")).select(*by, "_replicate", "m.metric", "m.value")
+    ordered = F.sort_array(F.collect_list(F.when(F.col("_replicate") > 0, F.col("value"))))
+    estimate = F.max(F.when(F.col("_replicate") == 0, F.col("value")))
+    found = long.groupBy(*by, "metric").agg(estimate.alias("estimate"), ordered.alias("_values"))
+    return found.select(*by, "metric", "estimate", F.col("_values")[low - 1].alias("low"), F.col("_values")[high - 1].alias("high"))
+
+
 # ---- threshold sweep ---------------------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ every threshold.  Patterns and word lists are shared with the package because th
 
 from __future__ import annotations
 
+import math
+
 from ..functions.catalogue import (
     BUILTIN_RULES, DANGEROUS_FUNCTIONS, FORBIDDEN_KEYWORDS, PATTERN_LABELS, POLICY_PATTERNS, SEVERITY_WEIGHT, Rule,
 )
@@ -728,6 +730,27 @@ def oracle() -> dict[str, str]:
         "FROM log JOIN placed USING (question)"
     )
     out["stream_replay"] = out["stream_guard"]
+    out["clean_divergence"] = (
+        f"{ctes(LOG)}, words AS (SELECT id, toxic, unnest(regexp_extract_all(lower(sql), '[a-z0-9_]+')) AS w FROM log), "
+        "model AS (SELECT w, count(*) AS c FROM words WHERE toxic = 0 GROUP BY w), total AS (SELECT sum(c) + count(*) + 1 AS q FROM model), "
+        "held AS (SELECT id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY id) AS size FROM words GROUP BY id, w), "
+        "found AS (SELECT id, sum(n::DOUBLE / size * log2((n::DOUBLE / size) / ((coalesce(c, 0) + 1)::DOUBLE / q))) AS d, sum(CASE WHEN c IS NULL THEN n ELSE 0 END)::DOUBLE / max(size) AS u "
+        "FROM held LEFT JOIN model USING (w) CROSS JOIN total GROUP BY id) SELECT log.id, round(d, 6) AS divergence, round(u, 6) AS unknown FROM log LEFT JOIN found USING (id)"
+    )
+    # The same digests; the weight is the number of borders of the Poisson distribution that a group of four digits reaches.
+    shares = [sum(2.718281828459045**-1 / math.factorial(j) for j in range(k)) for k in range(1, 9)]
+    weight = " + ".join(f"(x >= {math.floor(65536 * share)})::INT" for share in shares if math.floor(65536 * share) < 65536)
+    out["bootstrap_by_db"] = (
+        f"{fused(EVAL)}, r AS (SELECT id, db_id, toxic AS label, action != 'ALLOW' AS p FROM v), "
+        "hashed AS (SELECT *, md5('42:' || id || ':' || k) AS d FROM r, range(25) t(k)), "
+        "drawn AS (SELECT db_id, label, p, 8 * k + j + 1 AS b, ('0x' || substr(d, 1 + 4 * j::INT, 4))::INT AS x FROM hashed, range(8) s(j)), "
+        f"cells AS (SELECT db_id, label, p, b, sum({weight}) AS n FROM drawn GROUP BY ALL UNION ALL SELECT db_id, label, p, 0, count(*) FROM r GROUP BY ALL), "
+        "c AS (SELECT db_id, b, coalesce(sum(n) FILTER (label = 1 AND p), 0) AS tp, coalesce(sum(n) FILTER (label = 0 AND p), 0) AS fp, "
+        "coalesce(sum(n) FILTER (label = 0 AND NOT p), 0) AS tn, coalesce(sum(n) FILTER (label = 1 AND NOT p), 0) AS fn FROM cells GROUP BY ALL), "
+        f"long AS (SELECT db_id, b, unnest([{{'m': 'precision', 'x': {P}}}, {{'m': 'recall', 'x': {R}}}, {{'m': 'f1', 'x': {F1}}}, {{'m': 'accuracy', 'x': {ACC}}}], recursive := true) FROM c), "
+        "listed AS (SELECT db_id, m, max(x) FILTER (b = 0) AS estimate, list_sort(list(x) FILTER (b > 0)) AS xs FROM long GROUP BY ALL) "
+        "SELECT db_id, m AS metric, round(estimate, 6) AS estimate, round(xs[5], 6) AS low, round(xs[196], 6) AS high FROM listed"
+    )
     for level in ("strict", "medium", "lenient"):
         mode = "strict" if level == "strict" else "lenient"
         out[f"policy_enforce_{level}"] = (

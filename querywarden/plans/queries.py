@@ -14,6 +14,7 @@ from ..functions.structure import SKELETON_FIELDS, TREE_FEATURES, with_structure
 from ..functions.text import masked, well_formed, with_clean_sql
 from ..operators import evaluation as ev
 from ..operators.alignment import check_alignment, join_gold, with_alignment
+from ..operators.divergence import corpus_divergence, token_model
 from ..operators.keyword import keyword_explain, keyword_hits, keyword_scan
 from ..operators.nearest import nearest_gold
 from ..operators.policy import FAMILIES, check_boundaries, enforce_policy, policy_report
@@ -591,6 +592,13 @@ def security_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*[r6(c).alias(c) for c in ("asr", "tpr", "fnr", "fpr")])
 
 
+@query
+def bootstrap_by_db(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of the metrics of the hard decision in every database."""
+    found = ev.bootstrap_intervals(_eval_rows(spark, sf), by=["db_id"])
+    return found.select("db_id", "metric", *[r6(c).alias(c) for c in ("estimate", "low", "high")])
+
+
 @query
 def hard_metrics_by_db(spark: SparkSession, sf: str) -> DataFrame:
     return ev.compute_metrics(_eval_rows(spark, sf), "label", "pred_hard", ["db_id"]).select("db_id", *_rounded_metrics())
@@ -677,6 +685,14 @@ def nlq_divergence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def clean_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Divergence of every query from the tokens of the clean ones, with the join by token spread."""
+    log = query_log(spark, sf)
+    found = corpus_divergence(log, token_model(log.where("toxic = 0")), ["id"], spread=True)
+    return found.select("id", r6("divergence").alias("divergence"), r6("unknown").alias("unknown"))
+
+
 @query
 def char_triggers(spark: SparkSession, sf: str) -> DataFrame:
     flags = signals.char_triggers(F.col("html"))

@@ -1,5 +1,6 @@
 """Skewed joins, running sums, nearest gold, rules as a table, replayed streams."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ from querywarden.functions.catalogue import BUILTIN_RULES, Rule
 from querywarden.functions.structure import TREE_FEATURES, with_structure
 from querywarden.operators import evaluation as ev
 from querywarden.operators.alignment import join_gold
+from querywarden.operators.divergence import corpus_divergence, merge_models, token_model
 from querywarden.operators.keyword import keyword_scan
 from querywarden.operators.nearest import nearest_gold
 from querywarden.operators.ruletable import indexed_hits, required_literal, rule_index
@@ -217,6 +219,46 @@ def test_a_question_is_in_one_part(spark):
         ev.grouped_split(spark.createDataFrame(rows, "id long, question string"), train_ratio=0.9, val_ratio=0.1)
 
 
+def test_intervals_do_not_depend_on_the_partitions(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b"]), int(rng.random() < 0.4), int(rng.random() < 0.5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, attack string, label int, pred_hard int")
+    got = {(r.attack, r.metric): (r.estimate, r.low, r.high) for r in ev.bootstrap_intervals(df.repartition(3), by=["attack"]).collect()}
+    again = {(r.attack, r.metric): (r.estimate, r.low, r.high) for r in ev.bootstrap_intervals(df.repartition(11, "pred_hard"), by=["attack"]).collect()}
+    assert got == again and len(got) == 8
+    for attack in "ab":
+        own = [(y, p) for _, a, y, p in rows if a == attack]
+        share = sum(y == p for y, p in own) / len(own)
+        estimate, low, high = got[attack, "accuracy"]
+        width = 1.96 * (share * (1 - share) / len(own)) ** 0.5
+        assert estimate == pytest.approx(share) and low < estimate < high
+        assert 0.7 * width < estimate - low < 1.4 * width and 0.7 * width < high - estimate < 1.4 * width
+    weights = [w for (w,) in df.select(F.explode(ev.bootstrap_weights("id", 200, 7)).alias("w")).collect()]
+    assert len(weights) == 600_000
+    assert abs(sum(weights) / 600_000 - 1) < 0.01 and abs(sum(w == 0 for w in weights) / 600_000 - 0.3679) < 0.005
+    assert "SinglePartition" not in plan(ev.bootstrap_intervals(df, by=["attack"]))
+
+
+def test_divergence_from_a_corpus(spark):
+    clean = ["select a from t", "select b from t where a = 1", None, ""]
+    own = [(1, "select a from t"), (2, "DROP table x"), (3, None), (4, " -- "), (5, "a a a zzz")]
+    model = token_model(spark.createDataFrame([(t,) for t in clean], "sql string"))
+    seen = Counter(w for t in clean for w in re.findall("[a-z0-9_]+", (t or "").lower()))
+    assert {r.token: r["count"] for r in model.collect()} == seen
+    size = sum(seen.values()) + len(seen) + 1
+    for spread in (True, False):
+        for r in corpus_divergence(spark.createDataFrame(own, "id int, sql string"), model, ["id"], spread=spread).collect():
+            words = Counter(re.findall("[a-z0-9_]+", (dict(own)[r.id] or "").lower()))
+            n = sum(words.values())
+            if not n:
+                assert r.divergence is None and r.unknown is None
+                continue
+            want = sum(k / n * math.log2(k / n / ((seen[w] + 1) / size)) for w, k in words.items())
+            assert r.divergence == pytest.approx(want) and r.unknown == sum(k for w, k in words.items() if w not in seen) / n
+    halves = [token_model(spark.createDataFrame([(t,) for t in part], "sql string")) for part in (clean[:1], clean[1:])]
+    assert {r.token: r["count"] for r in merge_models(*halves).collect()} == seen
+
+
 # ---- stream ------------------------------------------------------------------------------------
 
 
