@@ -34,6 +34,8 @@ from querywarden.llm.base import checkpointed, ship
 
 #: The scale of probabilities, the documents that must hold a term, the ranks of the term report.
 SCALE, LEAST_DOCS, TOP_TERMS = 1_000_000_000, 10, 10
+#: Parts into which the terms of a language or source are dealt where a small table is joined to them.
+PARTS = 64
 #: Distinct terms that a task holds before it hands its counts on; text bytes beyond which words are streamed.
 HELD_TERMS, LONG_TEXT = 400_000, 4_000_000
 
@@ -129,6 +131,15 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sums()
 
 
+def _joined(terms: DataFrame, small: DataFrame, on: list[str], term: str) -> DataFrame:
+    """Join a table of one row per language or source to the terms. Each of its rows is repeated for every part, so
+    that the terms of a large language are never one task's, also where the join is not a broadcast and what
+    follows would take over its partitioning."""
+    part = F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+    repeated = small.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return terms.withColumn("dealt", part).join(repeated, [*on, "dealt"]).drop("dealt")
+
+
 def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank). Part `pair`: every other source of the language with the sum of f
     over all kept terms. Part `term`: the kept terms in which the source exceeds its language most."""
@@ -156,8 +167,10 @@ def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     # One row of p for each term, over all sources of its language in order; equal rows are one.
     entry = F.transform("sources", lambda s: probability(F.coalesce(F.try_element_at("counts", s["source"]), F.lit(0)), s["total"], F.col("size")))
-    rows = kept.join(langs, "lang").select("lang", entry.alias("row")).groupBy("lang", "row").agg(F.count("*").alias("length"))
-    ordered = rows.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row")
+    rows = _joined(kept, langs, ["lang"], "term").select("lang", entry.alias("row")).groupBy("lang", "row").agg(F.count("*").alias("length"))
+    # Range borders come from a sample of the keys, so these are short: the first entries, then a hash.
+    near = [F.col("row")[0], F.get("row", F.lit(1)), F.xxhash64("row")]
+    ordered = rows.repartitionByRange("lang", *near).sortWithinPartitions("lang", "row")
     found = ordered.mapInArrow(_pair_sums, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     numbered = langs.select("lang", F.posexplode("sources").alias("a", "s")).select("lang", "a", F.col("s.source").alias("source"))
     other = numbered.select("lang", F.col("a").alias("b"), F.col("source").alias("item"))
@@ -166,10 +179,9 @@ def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     pairs = pairs.select("lang", both.alias("p"), "value").select("lang", "p.source", F.lit("pair").alias("part"), "p.item", "value")
 
     p, q = probability(F.col("n"), F.col("total"), F.col("size")), probability(F.col("lang_n"), F.col("lang_total"), F.col("size"))
+    held = kept.select("lang", F.col("term").alias("item"), F.col("n").alias("lang_n"), F.explode("counts").alias("source", "n")).where("n > 0")
     terms = (
-        kept.select("lang", F.col("term").alias("item"), F.col("n").alias("lang_n"), F.explode("counts").alias("source", "n"))
-        .where("n > 0")
-        .join(groups, ["lang", "source"])
+        _joined(held, groups, ["lang", "source"], "item")
         .select("lang", "source", F.lit("term").alias("part"), "item", p.alias("p"), q.alias("q"))
         .where("p > q")
         .select("lang", "source", "part", "item", term_divergence(F.col("p"), F.col("q")).alias("value"))
