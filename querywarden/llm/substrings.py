@@ -256,9 +256,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs)
     odd = docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
     by_id = dict(docs.dtypes)[id_col] in ("bigint", "int") and odd.isEmpty()
-    key = F.col(id_col).cast("long") if by_id else F.xxhash64(id_col, text_col)
+    # Ids that are no key give way to 128 bits of the id and the text: rows that agree in both are one text.
+    whole = F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), F.col(text_col))
+    key = F.col(id_col).cast("long") if by_id else F.unhex(F.md5(F.encode(whole, "UTF-8")))
     rows = docs.select(key.alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = rows.select("key", "text").where(F.col("text").isNotNull()).mapInArrow(_scan(window), "anchor long, segment long, key long, at long")
+    found = rows.select("key", "text").where(F.col("text").isNotNull()).mapInArrow(_scan(window), f"anchor long, segment long, key {'long' if by_id else 'binary'}, at long")
 
     recurring = found.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
     # Copies are merged before the join, and what follows it groups by another key, so Spark can split an
