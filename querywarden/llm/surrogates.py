@@ -6,8 +6,9 @@ whichever document it is written:
 
 - digits and letters change, separators and length stay; a phone number keeps its country code, a card its
   first digit and whether its check digit is right, an IBAN its country and right check digits;
-- names keep title, number of parts, script (Latin, Greek, Cyrillic) and, in the given name, the gender
-  that the title tells; given and family name are entities of their own, so "Mr. A B" and "Mr. B" agree;
+- names keep titles, number of parts, script (Latin, Greek, Cyrillic) and, in all but the last part, the gender
+  that the title tells; every part is an entity of its own, so "Mr. A B" and "Mr. B" agree. A part may have
+  apostrophes and hyphens. An initial stays an initial; there are too few letters to keep initials apart;
 - e-mail addresses move to names under the reserved domain example.org.
 
 The surrogate is a keyed digest (SHA-256) of type, normal form and attempt. Collision check: within a type no two
@@ -34,8 +35,13 @@ _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 TITLES = {
     "m": ("Mr.", "Herr", "Monsieur", "Señor", "Sr.", "Г-н", "Κύριος"),
     "f": ("Mrs.", "Ms.", "Frau", "Madame", "Mme", "Señora", "Sra.", "Г-жа", "Κυρία"),
+    "n": ("Dr.", "Prof."),
 }
 _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for own in TITLES.values() for t in own) + ")"
+# A part of a name: an initial, or a word with apostrophes and hyphens inside. Nobiliary particles join two parts.
+_INITIAL = r"\p{Lu}\."
+_PART = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+)"
+_PARTICLES = "(?:(?:da|de|del|della|den|der|di|do|du|el|la|le|van|von|zu) ){0,3}+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+",
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
@@ -44,7 +50,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": _BEFORE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})" + _AFTER,
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\.?\d)",
-    "name": _BEFORE + _TITLE + r" \p{Lu}\p{Ll}+(?: (?!" + _TITLE + r"(?!\p{Ll}))\p{Lu}\p{Ll}+)?(?!\p{Ll})",
+    "name": _BEFORE + "(?:" + _TITLE + " )+" + _PART + "(?: " + _PARTICLES + "(?!" + _TITLE + r"(?!\p{Ll}))" + _PART + ")*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Syllables of names, and endings by gender; f for family names.
@@ -54,9 +60,9 @@ SYLLABLES = {
     "cyrillic": ("ба", "ва", "га", "да", "ди", "ка", "ла", "ли", "ма", "ми", "на", "ни", "ра", "ри", "та", "то"),
 }
 ENDINGS = {
-    "latin": {"m": "ron", "f": "lia", "family": "mar"},
-    "greek": {"m": "ρος", "f": "λια", "family": "δης"},
-    "cyrillic": {"m": "рон", "f": "лия", "family": "мар"},
+    "latin": {"m": "ron", "f": "lia", "n": "rin", "family": "mar"},
+    "greek": {"m": "ρος", "f": "λια", "n": "ριν", "family": "δης"},
+    "cyrillic": {"m": "рон", "f": "лия", "n": "рин", "family": "мар"},
 }
 
 
@@ -76,11 +82,26 @@ def kind_of(mention: Column) -> Column:
     return whole.otherwise("name")
 
 
+def titles_of(mention: Column) -> Column:
+    """The titles in front of a name, with the blank behind them."""
+    return F.regexp_extract(mention, f"^(?:{_TITLE} )+", 0)
+
+
+def name_of(mention: Column) -> Column:
+    return F.regexp_replace(mention, f"^(?:{_TITLE} )+", "")
+
+
+def own_part(word: Column) -> Column:
+    """Whether a word of a name gets a surrogate: not an initial and not a particle."""
+    return word.rlike(r"^\p{Lu}") & ~word.rlike(f"^{_INITIAL}$")
+
+
 def parts_of(mention: Column, kind: Column) -> Column:
-    """Array of (type, norm): what needs a surrogate in a mention."""
-    words = F.split(mention, " ")
-    gender = F.when(F.get(words, F.lit(0)).isin(*TITLES["m"]), "m").otherwise("f")
-    last = F.element_at(words, -1)
+    """Array of (type, norm): what needs a surrogate in a mention; NULL for a word of a name that needs none."""
+    words = F.split(name_of(mention), " ")
+    title = F.substring_index(mention, " ", 1)
+    gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
+    last = F.size(words) - 1
 
     def script(word: Column) -> Column:
         return F.when(word.rlike(r"\p{IsGreek}"), "greek").when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
@@ -88,9 +109,11 @@ def parts_of(mention: Column, kind: Column) -> Column:
     def part(kind: Column, norm: Column) -> Column:
         return F.struct(kind.alias("type"), norm.alias("norm"))
 
-    family = part(F.concat(F.lit("name_family_"), script(last)), F.lower(last))
-    given = part(F.concat_ws("_", F.lit("name"), gender, script(F.get(words, F.lit(1)))), F.lower(F.get(words, F.lit(1))))
-    names = F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
+    def of_name(word: Column, i: Column) -> Column:
+        role = F.when(i == last, "family").otherwise(gender)
+        return F.when(own_part(word), part(F.concat_ws("_", F.lit("name"), role, script(word)), F.lower(word)))
+
+    names = F.transform(words, of_name)
     plain = F.when(kind.isin("email", "ip"), F.lower(mention)).otherwise(F.regexp_replace(mention, "[^A-Z0-9]", ""))
     return F.when(kind == "name", names).otherwise(F.array(part(kind, plain)))
 
@@ -182,9 +205,13 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str =
     mentions = in_text.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
     parts = mentions.select("mention", "kind", F.posexplode(parts_of(F.col("mention"), F.col("kind"))).alias("at", "part")).select("mention", "kind", "at", "part.type", "part.norm")
     parts = checkpointed(parts)
-    surrogates = assigned(parts.select("type", "norm").distinct(), key)
+    surrogates = assigned(parts.where("type IS NOT NULL").select("type", "norm").distinct(), key)
+    word = F.get(F.split(name_of(F.col("mention")), " "), F.col("at"))
+    letter = F.upper(F.translate(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("initial"), word), 256), 1, 1), "0123456789abcdef", "abcdefghijklmnop"))
+    kept = F.when(word.rlike(f"^{_INITIAL}$"), F.concat(letter, F.lit("."))).otherwise(word)
     chosen = (
-        parts.join(surrogates, ["type", "norm"])
+        parts.join(surrogates, ["type", "norm"], "left")
+        .withColumn("surrogate", F.coalesce("surrogate", kept))
         .groupBy("mention", "kind")
         .agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("own"))
         .select("mention", "kind", F.transform("own", lambda o: o["surrogate"]).alias("own"))
@@ -192,7 +219,7 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str =
         .select(
             "mention",
             F.when(F.col("kind").isin("email", "ip"), F.col("payload"))
-            .when(F.col("kind") == "name", F.concat(F.substring_index("mention", " ", 1), F.lit(" "), F.col("payload")))
+            .when(F.col("kind") == "name", F.concat(titles_of(F.col("mention")), F.col("payload")))
             .otherwise(filled("mention", "payload"))
             .alias("new"),
         )

@@ -184,6 +184,26 @@ def test_surrogates_keep_kind_and_identity(spark):
     assert out.limit(0).count() == 0 and surrogates.replaced(frame.limit(0), "key")[0].count() == 0
 
 
+def test_names_go_whole(spark):
+    names = ["Mr. O'Brien", "Mr. J. Smith", "Frau Lang-Meier", "Mr. John Fitzgerald Kennedy", "Dr. Jane Doe", "Prof. Dr. Ludwig van Beethoven", "Mme d’Arc", "Herr McDonald", "Г-н Иван Петров", "Señora María de la Cruz", "Mr. K. J. O’Neil-Smith"]
+    names[6] = "Mme D’Arc"
+    rows = [(i, f"Yesterday {n}, {n} and the others met {n}.") for i, n in enumerate(names)] + [(50, "Mr. John Smith met Dr. Jane Doe; Mr. Smith left."), (51, "Dr. no name, Mr. and Mrs. of it")]
+    out, _ = surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "key")
+    got = {r.doc_id: r.text for r in out.collect()}
+    for i, n in enumerate(names):
+        first, second, third = re.fullmatch(r"Yesterday (.+), (.+) and the others met (.+)\.", got[i]).groups()
+        assert first == second == third != n
+        old, new = n.split(" "), first.split(" ")
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            keep = a in {t for own in surrogates.TITLES.values() for t in own} or a.islower()
+            assert (a == b) == keep or re.fullmatch(r"\w\.", a) and re.fullmatch(r"[A-P]\.", b), (a, b)
+        assert not any(w in got[i] for w in re.findall(r"\w{3,}", n.split(" ", 1)[1]) if w[0].isupper())
+    a, b, c = re.fullmatch(r"Mr\. \w+ (\w+) met Dr\. \w+ (\w+); Mr\. (\w+) left\.", got[50]).groups()
+    assert a == c != b and b == got[4].split(" ")[3].strip(",")
+    assert got[51] == rows[-1][1]
+
+
 def test_surrogates_are_one_to_one(spark):
     entities = spark.createDataFrame([("name_m_latin", f"n{i}") for i in range(6000)], "type string, norm string")
     rows = surrogates.assigned(entities, "k").collect()
