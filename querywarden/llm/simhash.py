@@ -206,9 +206,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component_id, the component's smallest id."""
     ship(docs)
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), arrow_column(_fingerprints, T.LongType())(F.col(text_col)).alias("fp")))
-    labelled = _labelled(checkpointed(rows.groupBy("fp").agg(F.min("id").alias("low"))), radius)
-    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = labelled.select("fp", "label").join(lowest, "label")
+    # Both sides of each join are stored, so that Spark can split a component or fingerprint that most rows share.
+    labelled = checkpointed(_labelled(checkpointed(rows.groupBy("fp").agg(F.min("id").alias("low"))), radius))
+    lowest = checkpointed(labelled.groupBy("label").agg(F.min("low").alias("component_id")))
+    named = checkpointed(labelled.select("fp", "label").join(lowest, "label"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "label", "component_id")
 
 
