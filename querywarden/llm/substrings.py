@@ -263,8 +263,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = rows.select("key", "text").where(F.col("text").isNotNull()).mapInArrow(_scan(window), f"anchor long, segment long, key {'long' if by_id else 'binary'}, at long")
 
     recurring = found.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
-    # Copies are merged before the join, and what follows it groups by another key, so Spark can split an
-    # anchor that very many segments share.
+    # Copies are merged before the join, so an anchor has a row for each distinct segment; those of one anchor
+    # meet in one task, since the other side is an aggregate by anchor.
     distinct = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     candidates = distinct.join(recurring, "anchor")
     by_doc = candidates.groupBy("one.key").agg(
