@@ -1,8 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-Every step groups by node with a partial minimum first, so a node with very many neighbours costs no task
-more than its share. The minima are stored before they are joined back: a stored side is shuffled for the join
-alone, and only then may Spark split the rows of a node that very many edges share.
+Every step groups by node with a partial minimum first. In the join that follows, the edges of one node meet in one
+task: the other side is an aggregate by node, so Spark does not split them. An edge is two keys, and copies have
+been merged before, so this is the number of different neighbours of the largest centre.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
             )
         seen = now
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(both.join(lowest, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        centre = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(lowest, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        centre = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(centre, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = checkpointed(small.unionByName(centre.select("u", F.col("m").alias("v"))).distinct())
