@@ -4,8 +4,10 @@ Features: runs of letters in lower case with one blank between them, n-grams of
 hashed to `BUCKETS`; log(1 + count) times the inverse document frequency, scaled to length one, and a
 constant. Document frequencies come from all training documents. The weights are fitted by
 follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a sample of at most
-`sample_rows` training documents (drawn by a hash of their id); a seventh of the sample is
-kept out of the fit and sets the temperature that calibrates the probabilities.
+`sample_rows` training documents, the same number of each language (all of those of a language that has
+fewer), drawn by a hash of their id, so a rare language is learned at any size of the table; a seventh of the
+sample is kept out of the fit and sets the temperature that calibrates the probabilities. If there are more
+than `sample_rows` languages, the most frequent ones are learned.
 
 A text that is null or has no letter gets `und` and score 0; so does every text if there is no training
 document. Rows without a label are predicted and not learned from. Repeated rows count each. An empty
@@ -21,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +121,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def drawn(known: DataFrame, sample_rows: int) -> DataFrame:
+    """known: id, text, lang (not null). At most sample_rows rows (text, lang), the same quota of each language,
+    those with the smallest hashes of the id, in the order of the hash."""
+    sized = known.groupBy("lang").agg(F.count("*").alias("held")).orderBy(F.desc("held"), "lang").limit(sample_rows).collect()
+    quota = sample_rows // max(1, len(sized))
+    # Only a little more than the quota of a language is gathered, however many rows and tasks there are.
+    wanted = quota + 6 * math.sqrt(quota) + 20
+    cuts = [(r.lang, min(1 << 31, math.ceil(wanted / r.held * (1 << 31)))) for r in sized]
+    allowed = F.broadcast(known.sparkSession.createDataFrame(cuts, "lang string, cut long"))  # sample_rows rows at most
+    near = known.withColumn("place", F.xxhash64("id")).join(allowed, "lang").where(F.pmod("place", F.lit(1 << 31)) < F.col("cut"))
+    order = ["place", "id", F.xxhash64("text")]
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= quota)
+    return ranked.orderBy("place", "id", "lang", F.xxhash64("text")).limit(sample_rows).select("text", "lang")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """docs: the training documents; rows without a language are left out."""
     ship(docs)
@@ -137,10 +154,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = known.select("text").mapInArrow(frequencies, "bucket long, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs"))
     seen = {r.bucket: r.docs for r in found.collect()}  # BUCKETS + 1 rows at most
     idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(b, 0) for b in range(BUCKETS)]))) + 1
-    # Only a little more than the sample is gathered, however many rows and tasks there are.
-    cut = min(1 << 31, math.ceil(1.25 * sample_rows / max(1, seen.get(-1, 0)) * (1 << 31)))
-    near = known.withColumn("place", F.xxhash64("id")).where(F.pmod("place", F.lit(1 << 31)) < cut)
-    sample = near.orderBy("place", "id", "lang", F.xxhash64("text")).limit(sample_rows).select("text", "lang")
+    sample = drawn(known, sample_rows)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fit([(r["text"], r["lang"]) for batch in batches for r in batch.to_pylist()], idf)
@@ -157,7 +171,7 @@ PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructF
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
-    """Add a struct column (lang_pred, score)."""
+    """Add a struct column (lang_pred, score); a column of that name is replaced."""
     shared = ship(docs).sparkSession.sparkContext.broadcast(model)
 
     def predicted(texts: pa.Array) -> pa.Array:

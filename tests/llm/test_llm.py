@@ -350,6 +350,16 @@ def test_languages_of_odd_rows(spark):
     assert (model.weights == 0).mean() > 0.5  # the L1 penalty leaves it sparse
 
 
+def test_a_rare_language_is_learned(spark):
+    common = spark.range(40000).select("id", F.concat_ws(" ", F.lit("the cat and the dog"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(40000, 40012).select("id", F.lit("le chat et le chien").alias("text"), F.lit("fr").alias("lang"))
+    null_ids = spark.range(3000).select(F.lit(None).cast("long").alias("id"), F.lit("il gatto e il cane").alias("text"), F.lit("it").alias("lang"))
+    sample = langid.drawn(common.unionByName(rare).unionByName(null_ids).repartition(8), 300).collect()
+    assert Counter(r.lang for r in sample) == {"en": 100, "it": 100, "fr": 12}
+    assert langid.drawn(common.limit(0), 300).count() == 0
+    assert {r.lang for r in langid.drawn(common.unionByName(rare), 1).collect()} == {"en"}  # more languages than rows
+
+
 # 7 ------------------------------------------------------------------------------------------------------
 
 BASE = (
