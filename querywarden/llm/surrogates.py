@@ -9,6 +9,8 @@ whichever document it is written:
 - names keep titles, number of parts, script (Latin, Greek, Cyrillic) and, in all but the last part, the gender
   that the title tells; every part is an entity of its own, so "Mr. A B" and "Mr. B" agree. A part may have
   apostrophes and hyphens. An initial stays an initial; there are too few letters to keep initials apart;
+- wherever a document that names "Mr. A B" writes "B", "B's", "B-like" or "A B" without a title, the same surrogates
+  stand there, written as in the title's mention ("A" alone is too often a common word);
 - e-mail addresses move to names under the reserved domain example.org.
 
 The surrogate is a keyed digest (SHA-256) of type, normal form and attempt. Collision check: within a type no two
@@ -52,6 +54,8 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\.?\d)",
     "name": _BEFORE + "(?:" + _TITLE + " )+" + _PART + "(?: " + _PARTICLES + "(?!" + _TITLE + r"(?!\p{Ll}))" + _PART + ")*+",
 }
+# Words, with what apostrophes and hyphens join to them, and all between them.
+_WORDS = r"[\p{L}\p{M}\p{N}]++(?:['’-][\p{L}\p{M}\p{N}]++)*+|[^\p{L}\p{M}\p{N}]++"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Syllables of names, and endings by gender; f for family names.
 SYLLABLES = {
@@ -189,14 +193,43 @@ def filled(mention: str, payload: str) -> Column:
     )
 
 
+def _distinct_words(said: Column) -> Column:
+    """A map from an array of (word, surrogate); of several surrogates of a word the smallest."""
+    ordered = F.array_sort(F.array_distinct(said))
+    return F.map_from_entries(F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i - 1)["word"] != x["word"], F.lit(True))))
+
+
+def untitled(pieces: Column, family: Column, given: Column) -> Column:
+    """The pieces of a text between its mentions, with names that it has a title for elsewhere replaced too.
+    family, given: maps from the words of those names to their surrogates."""
+
+    def looked_up(names: Column, word: Column) -> Column:
+        found = F.try_element_at(names, word)
+        for stem in (F.regexp_replace(word, "['’]s$", ""), F.regexp_extract(word, r"^[\p{L}\p{M}\p{N}]+", 0)):
+            found = F.coalesce(found, F.concat(F.try_element_at(names, stem), F.substring(word, F.length(stem) + 1, F.length(word))))
+        return found
+
+    def replacement(word: Column, gap: Column, following: Column) -> Column:
+        # A given name counts only in front of another part of a name.
+        full = (gap == " ") & F.coalesce(looked_up(family, following), F.try_element_at(given, following)).isNotNull()
+        new = F.coalesce(looked_up(family, word), F.when(full, F.try_element_at(given, word)), word)
+        return F.when(word.rlike(r"^\p{Lu}"), new).otherwise(word)
+
+    def rewritten(words: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w, i: replacement(w, F.get(words, i + 1), F.get(words, i + 2))), "")
+
+    split = F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(_WORDS), F.lit(0)))
+    return F.when(F.size(family) + F.size(given) > 0, F.transform(split, rewritten)).otherwise(pieces)
+
+
 def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> tuple[DataFrame, str]:
-    """The documents with surrogates in their text and a column that counts the mentions; returns the frame
-    and that column's name (changed if the frame has a column of that name)."""
+    """The documents with surrogates in their text and a column that counts the mentions by format (names: those
+    behind a title); returns the frame and that column's name (changed if the frame has a column of that name)."""
     counted = fresh(docs, count_col)
     text = F.col(text_col)
     found = possible(text) & text.rlike(ANY)
     clean = docs.where(F.coalesce(~found, F.lit(True))).withColumn(counted, F.lit(0).cast("long"))
-    names = {name: fresh(docs, "pii_" + name) for name in ("hash", "mentions", "pieces", "map")}
+    names = {name: fresh(docs, "pii_" + name) for name in ("hash", "mentions", "pieces", "map", "family", "given")}
     hold = docs.where(found).withColumns(
         {names["hash"]: F.sha2(text, 256), names["mentions"]: F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), names["pieces"]: F.split(text, ANY, -1)}
     )
@@ -209,12 +242,18 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str =
     word = F.get(F.split(name_of(F.col("mention")), " "), F.col("at"))
     letter = F.upper(F.translate(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("initial"), word), 256), 1, 1), "0123456789abcdef", "abcdefghijklmnop"))
     kept = F.when(word.rlike(f"^{_INITIAL}$"), F.concat(letter, F.lit("."))).otherwise(word)
+
+    def said(*roles: str) -> Column:
+        """The words of a name with these roles (a role is empty in other kinds), with their surrogates."""
+        words = F.filter("own", lambda o: o["role"].isin(*roles))
+        return F.transform(words, lambda o: F.struct(o["word"].alias("word"), o["surrogate"].alias("surrogate")))
+
     chosen = (
         parts.join(surrogates, ["type", "norm"], "left")
-        .withColumn("surrogate", F.coalesce("surrogate", kept))
+        .withColumns({"surrogate": F.coalesce("surrogate", kept), "word": word, "role": F.split_part("type", F.lit("_"), F.lit(2))})
         .groupBy("mention", "kind")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("own"))
-        .select("mention", "kind", F.transform("own", lambda o: o["surrogate"]).alias("own"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "word", "role"))).alias("own"))
+        .select("mention", "kind", F.transform("own", lambda o: o["surrogate"]).alias("own"), said("family").alias("family"), said("m", "f", "n").alias("given"))
         .withColumn("payload", F.array_join("own", " "))
         .select(
             "mention",
@@ -222,12 +261,17 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str =
             .when(F.col("kind") == "name", F.concat(titles_of(F.col("mention")), F.col("payload")))
             .otherwise(filled("mention", "payload"))
             .alias("new"),
+            "family",
+            "given",
         )
     )
-    maps = in_text.join(chosen, "mention").groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias(names["map"]))
+    maps = in_text.join(chosen, "mention").groupBy("hash").agg(
+        F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias(names["map"]),
+        *[_distinct_words(F.flatten(F.collect_list(role))).alias(names[role]) for role in ("family", "given")],
+    )
     maps = maps.withColumnRenamed("hash", names["hash"])
     joined = hold.join(maps, names["hash"])
     new = F.concat(F.transform(names["mentions"], lambda m: F.element_at(names["map"], m)), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with(names["pieces"], new, lambda p, m: F.concat(p, m)), "")
+    rebuilt = F.array_join(F.zip_with(untitled(F.col(names["pieces"]), F.col(names["family"]), F.col(names["given"])), new, lambda p, m: F.concat(p, m)), "")
     done = joined.withColumn(text_col, rebuilt).withColumn(counted, F.size(names["mentions"]).cast("long"))
     return clean.unionByName(done.select(*clean.columns)), counted

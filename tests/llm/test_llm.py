@@ -204,6 +204,26 @@ def test_names_go_whole(spark):
     assert got[51] == rows[-1][1]
 
 
+def test_later_mentions_without_a_title(spark):
+    text = "Mr. John Smith and Frau O'Brien met. Smith's car; SMITH, smith, John left. John Smith-led: O'Brien’s, Smithson. Will John Smith?"
+    rows = [(1, text), (2, "Smith and John Smith without a title"), (3, "Smith Mr. Smith"), (4, "Mr. J. was John"), (5, "call +1 555 123 4567 John")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in surrogates.replaced(frame, "key")[0].collect()}
+    john, smith = re.match(r"Mr\. (\w+) (\w+) and", out[1]).groups()
+    brien = re.search(r"Frau (\w+) met", out[1])[1]
+    assert len({john, smith, brien, "John", "Smith", "O'Brien"}) == 6
+    assert out[1] == (
+        f"Mr. {john} {smith} and Frau {brien} met. {smith}'s car; SMITH, smith, John left. {john} {smith}-led: {brien}’s, Smithson. Will {john} {smith}?"
+    )
+    assert out[2] == rows[1][1] and out[3] == f"{smith} Mr. {smith}" and out[4].endswith(" was John") and out[5].endswith(" John")
+
+
+def test_later_mentions_in_a_long_text(spark):
+    text = "Mr. Adam Smith. " + "Smith said: John, a-b-c no. " * 20000
+    ((out,),) = surrogates.replaced(spark.createDataFrame([(text,)], "text string"), "key")[0].select("text").collect()
+    assert "Smith" not in out and out.count("said: John, a-b-c no. ") == 20000
+
+
 def test_surrogates_are_one_to_one(spark):
     entities = spark.createDataFrame([("name_m_latin", f"n{i}") for i in range(6000)], "type string, norm string")
     rows = surrogates.assigned(entities, "k").collect()
