@@ -737,6 +737,43 @@ def oracle() -> dict[str, str]:
         "found AS (SELECT id, sum(n::DOUBLE / size * log2((n::DOUBLE / size) / ((coalesce(c, 0) + 1)::DOUBLE / q))) AS d, sum(CASE WHEN c IS NULL THEN n ELSE 0 END)::DOUBLE / max(size) AS u "
         "FROM held LEFT JOIN model USING (w) CROSS JOIN total GROUP BY id) SELECT log.id, round(d, 6) AS divergence, round(u, 6) AS unknown FROM log LEFT JOIN found USING (id)"
     )
+    def registers(by: str, column: str, source: str) -> str:
+        rest = f"('0x' || substr(md5({column}), 4, 13))::BIGINT"
+        return (
+            f"SELECT {by}, '{column}' AS col, 'distinct' AS kind, ('0x' || substr(md5({column}), 1, 3))::BIGINT AS bucket, "
+            f"max(CASE WHEN {rest} = 0 THEN 53 ELSE 53 - length(bin({rest})) END)::BIGINT AS v FROM {source} WHERE {column} IS NOT NULL GROUP BY ALL"
+        )
+
+    def grid(by: str, source: str) -> str:
+        shift = "greatest(length(bin(len::BIGINT)) - 6, 0)"
+        return f"SELECT {by}, 'length' AS col, 'quantile' AS kind, ({shift} * 64 + (len::BIGINT >> {shift}))::BIGINT AS bucket, count(*) AS v FROM {source} WHERE len IS NOT NULL GROUP BY ALL"
+
+    def estimate(by: str, source: str) -> str:
+        raw = f"{0.7213 / (1 + 1.079 / 4096) * 4096 * 4096!r}::DOUBLE / (4096 - count(*) + sum(2.0::DOUBLE ** -v))"
+        few = f"count(*) < 4096 AND {raw} <= 10240"
+        return f"SELECT {by}, col, CASE WHEN {few} THEN 4096 * ln(4096::DOUBLE / greatest(4096 - count(*), 1)) ELSE {raw} END AS n FROM ({source}) GROUP BY ALL"
+
+    # Quantiles from the sorted lengths themselves: the one of the rank, put on the grid.
+    step = "greatest(length(bin(x::BIGINT)) - 6, 0)"
+    middle = f"((x::BIGINT >> {step}) << {step}) + ((1::BIGINT << {step}) >> 1)"
+    dated = "dated AS (SELECT log.*, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y') AS year, length(sql) AS len FROM log JOIN orders ON o_orderkey = id)"
+    out["corpus_sketch"] = (
+        f"{ctes(LOG, dated)} SELECT month, col AS column, kind, bucket, v AS value FROM ({registers('month', 'sql', 'dated')} UNION ALL {registers('month', 'question', 'dated')} UNION ALL {grid('month', 'dated')})"
+    )
+    out["corpus_sketch_merged"] = (
+        f"{ctes(LOG, dated)}, counts AS ({estimate('year', registers('year', 'sql', 'dated') + ' UNION ALL ' + registers('year', 'question', 'dated'))}), "
+        "sorted AS (SELECT year, list_sort(list(len)) AS xs FROM dated GROUP BY year), "
+        "picked AS (SELECT year, p, xs[greatest(ceil(p::DOUBLE * len(xs)), 1)::INT] AS x FROM sorted, (VALUES ('0.0'), ('0.5'), ('0.9'), ('0.99'), ('1.0')) t(p)) "
+        f"SELECT year, col || '_distinct' AS what, round(n, 3) AS value FROM counts UNION ALL SELECT year, 'length_' || p, ({middle})::DOUBLE FROM picked"
+    )
+    out["doc_sketch"] = (
+        f"WITH d AS (SELECT source, text, length(text) AS len FROM documents), counts AS ({estimate('source', registers('source', 'text', 'd'))}), "
+        "sorted AS (SELECT source, list_sort(list(len)) AS xs FROM d WHERE len IS NOT NULL GROUP BY source), "
+        "picked AS (SELECT source, p, xs[greatest(ceil(p::DOUBLE * len(xs)), 1)::INT] AS x FROM sorted, (VALUES ('0.5'), ('0.9')) t(p)), "
+        f"shown AS (SELECT source, p, {middle} AS m FROM picked) "
+        "SELECT source, round(n, 3) AS texts, (SELECT m FROM shown a WHERE a.source IS NOT DISTINCT FROM c.source AND p = '0.5') AS middle, "
+        "(SELECT m FROM shown a WHERE a.source IS NOT DISTINCT FROM c.source AND p = '0.9') AS long FROM counts c"
+    )
     # The same digests; the weight is the number of borders of the Poisson distribution that a group of four digits reaches.
     shares = [sum(2.718281828459045**-1 / math.factorial(j) for j in range(k)) for k in range(1, 9)]
     weight = " + ".join(f"(x >= {math.floor(65536 * share)})::INT" for share in shares if math.floor(65536 * share) < 65536)

@@ -19,6 +19,7 @@ from ..operators.keyword import keyword_explain, keyword_hits, keyword_scan
 from ..operators.nearest import nearest_gold
 from ..operators.policy import FAMILIES, check_boundaries, enforce_policy, policy_report
 from ..operators.ruletable import indexed_hits, rule_index
+from ..operators.sketches import distinct_counts, merge, quantile_values, sketch, store, stored
 from ..operators.verdict import EVALUATION, batch_score, evaluation_rows, score, verdict_explain, with_detectors
 from ..sources.corpus import normalise_corpus
 from ..sources.sinks import csv_rows, slim_rows
@@ -655,6 +656,47 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     return _guarded(spark, twice, once_by=["event_id"], event_time="ts", delay="2 hours")
 
 
+# ---- statistics that merge ---------------------------------------------------------------------
+
+
+def _log_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries, questions and the length of a query, by month."""
+    log = query_log(spark, sf, ["o_orderdate"]).withColumns({"month": F.date_format("o_orderdate", "yyyy-MM"), "length": F.length("sql")})
+    return sketch(log, ["month"], distinct=["sql", "question"], quantiles=["length"])
+
+
+@query
+def corpus_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return _log_sketch(spark, sf)
+
+
+@query
+def corpus_sketch_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The months stored, some of them a second time, read back and merged by year."""
+    path = shared_dir(spark, "sketch")
+    months = checkpointed(_log_sketch(spark, sf))
+    store(months, path, ["month"])
+    store(months.where("month < '1997'"), path, ["month"])
+    years = merge(stored(spark, path).withColumn("year", F.substring(F.col("month").cast("string"), 1, 4)), ["year"])
+    counts = distinct_counts(years, ["year"]).select("year", F.concat("column", F.lit("_distinct")).alias("what"), F.round("distinct", 3).alias("value"))
+    lengths = quantile_values(years, [0.0, 0.5, 0.9, 0.99, 1.0], ["year"])
+    shown = F.concat("column", F.lit("_"), F.col("share").cast("string"))
+    kept = checkpointed(counts.unionByName(lengths.select("year", shown.alias("what"), F.col("value").cast("double").alias("value"))))
+    delete(spark, path)
+    return kept
+
+
+@query
+def doc_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct texts and the middle and long lengths of every source."""
+    docs = texts(spark, sf, "documents").select("source", "text", F.length("text").alias("length"))
+    held = checkpointed(sketch(docs, ["source"], distinct=["text"], quantiles=["length"]))
+    lengths = quantile_values(held, [0.5, 0.9], ["source"]).groupBy("source").pivot("share", [0.5, 0.9]).agg(F.first("value"))
+    lengths = lengths.select("source", F.col("`0.5`").alias("middle"), F.col("`0.9`").alias("long"))
+    counts = distinct_counts(held, ["source"]).select("source", F.round("distinct", 3).alias("texts"))
+    return counts.join(lengths, counts["source"].eqNullSafe(lengths["source"])).select(counts["source"], "texts", "middle", "long")
+
+
 # ---- further signals ---------------------------------------------------------------------------
 
 

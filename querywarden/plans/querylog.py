@@ -5,6 +5,8 @@ Every order becomes one query: a template chosen by its key, filled with its cus
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,11 +97,11 @@ def _fill(template: str = "template", customer: str = "o_custkey", key: str = "o
     return F.replace(text, F.lit("{k}"), F.col(key).cast("string"))
 
 
-def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, tid, db_id, question, toxic, attack, sql: one query per order."""
+def query_log(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataFrame:
+    """id, tid, db_id, question, toxic, attack, sql: one query per order; and more columns of the order."""
     rows = [(i, t, toxic, attack) for i, (t, toxic, attack) in enumerate(TEMPLATES)]
     templates = F.broadcast(spark.createDataFrame(rows, "tid INT, template STRING, toxic INT, attack STRING"))
-    orders = texts(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders = texts(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", *extra)
     joined = orders.join(templates, F.col("o_orderkey") % len(TEMPLATES) == F.col("tid"))
     return joined.select(
         F.col("o_orderkey").alias("id"),
@@ -109,6 +111,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "toxic",
         "attack",
         _fill().alias("sql"),
+        *extra,
     )
 
 
