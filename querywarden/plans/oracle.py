@@ -669,6 +669,12 @@ def oracle() -> dict[str, str]:
         )
         + " FROM o",
     }
+    # Every query against all rows.
+    out["nearest_vector"] = (
+        "WITH p AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s "
+        "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) "
+        "SELECT vec_id, other AS nearest_id, round(s, 6) AS nearest_cosine FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) = 1"
+    )
     popular = "Which orders are open?"
     out["gold_join_hot"] = (
         f"{ctes(LOG, GOLD)}, asked AS (SELECT id, db_id, CASE WHEN id % 3 = 0 THEN {lit(popular)} ELSE question END AS question FROM log), "

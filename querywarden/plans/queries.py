@@ -20,6 +20,7 @@ from ..operators.nearest import nearest_gold
 from ..operators.policy import FAMILIES, check_boundaries, enforce_policy, policy_report
 from ..operators.ruletable import indexed_hits, rule_index
 from ..operators.sketches import distinct_counts, merge, quantile_values, sketch, store, stored
+from ..operators.vectors import nearest_vector as find_nearest_vector
 from ..operators.verdict import EVALUATION, batch_score, evaluation_rows, score, verdict_explain, with_detectors
 from ..sources.corpus import normalise_corpus
 from ..sources.sinks import csv_rows, slim_rows
@@ -760,6 +761,26 @@ def cosine_alignment(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _nearest_vectors(spark: SparkSession, sf: str, **how) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select("vec_id", "embedding")
+    found = find_nearest_vector(asked, e.select("vec_id", "embedding"), size=64, same_table=True, **how)
+    return found.select("vec_id", "nearest_id", r6("nearest_cosine").alias("nearest_cosine"))
+
+
+@query
+def nearest_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """For each vector whose id is divisible by 20 the nearest of all others, exactly."""
+    return _nearest_vectors(spark, sf, exact=True)
+
+
+@query
+def nearest_vector_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by hyperplane bands. Neighbours in this table are far apart, some at a cosine of 0.32; the chance to
+    find one is set at 0.99, since the share found of a few queries scatters around it."""
+    return _nearest_vectors(spark, sf, similarity=0.3, recall=0.99)
+
+
 @query
 def overall_score(spark: SparkSession, sf: str) -> DataFrame:
     """The weighted score from alignment, word overlap, policy risk and the share of character triggers."""

@@ -14,8 +14,8 @@ def con(sf):
     return connect(sf)
 
 
-def test_every_query_has_sql():
-    assert set(oracle()) == set(REGISTRY)
+def test_every_exact_query_has_sql():
+    assert set(REGISTRY) - set(oracle()) == {"nearest_vector_bands"}  # its recall is measured in test_vectors
     assert set(ORACLE) <= set(entry.queries())
 
 
