@@ -584,3 +584,25 @@ def test_pipeline_against_plain_python(spark, sf, docs, texts):
     assert all(r.text == left[d] for d, r in got.items() if not secrets.scanner(secrets.RULES).spans(left[d]))
     pieces = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {p.doc_id for p in pieces} == set(left) and all(p.n == p.m for p in pieces)
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, sf, docs, texts, tmp_path):
+    """Null ids and texts, repeats, ties, a very long text and columns of clashing names; then an empty table."""
+    frame = odd_docs(spark, texts)
+    for name, rows in (("odd", frame), ("none", frame.limit(0))):
+        folder = tmp_path / name
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        stage = rows
+        for label, function in corpus_pipeline.STAGES[:-1]:
+            stage = function(spark, stage, str(folder))
+            assert stage.columns == frame.columns, label
+        left = stage.select("doc_id", "text").collect()
+        pieces = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len({t for _, t in left}) == len(left) and {d for d, _ in left} == {p.doc_id for p in pieces}
+        whole = Counter()
+        for p in pieces:
+            whole[p.doc_id] += p.length
+        assert all(p.doc_tokens == whole[p.doc_id] for p in pieces)
+        # Of a text that stands twice one row stays; no row without words does.
+        assert (name == "none") == (not left) and not {20, 21, 22, 23} & {d for d, _ in left}
