@@ -3,7 +3,8 @@
 Every match of a rule contains certain literals.  The rule table holds, for each alternative of a rule, one
 three-letter piece of its literals: the piece that the fewest rules share.  A text meets, by an equi-join on its
 own pieces, the rules whose piece it contains, and only those are tried as regular expressions.  The plan is the
-same for ten rules and for ten thousand; Spark broadcasts the table or shuffles by piece according to its size.
+same for ten rules and for ten thousand.  The table is broadcast, since it is as long as a list the driver wrote: a text
+stays where it is, and only the keys and numbers of its hits are shuffled.
 Rules without a literal of three letters meet every text.
 """
 
@@ -22,7 +23,7 @@ from ..functions.catalogue import Rule
 from ..functions.dialect import java_regex, squeeze
 
 PIECE = 3
-RULE_INDEX = "rule_no INT, name STRING, attack_type STRING, severity STRING, description STRING, weight DOUBLE, regex STRING, piece STRING"
+RULE_INDEX = "rule_no INT, name STRING, attack_type STRING, severity STRING, description STRING, weight DOUBLE, regex STRING, piece STRING, literal STRING"
 
 
 def required_literal(pattern: str, flags: str = "") -> str:
@@ -66,26 +67,22 @@ def _pieces_of(words: Iterable[str]) -> set[str]:
     return {w[i : i + PIECE] for w in words for i in range(len(w) - PIECE + 1)}
 
 
-def _alternatives(rule: Rule) -> list[set[str]]:
-    """The pieces of each alternative of the literals; an empty set where one has none."""
+def _alternatives(rule: Rule) -> list[list[str]]:
+    """The literals of each alternative; a match of it contains them all."""
     if not rule.needles:
-        return [_pieces_of([required_literal(rule.pattern, rule.flags)])]
-    out = []
-    for alternative in rule.needles.split(" | "):
-        words = alternative.removeprefix("=").split(" ")
-        out.append(_pieces_of("".join(w.lower().split()) for w in words))
-    return out
+        return [[required_literal(rule.pattern, rule.flags)]]
+    return [["".join(w.lower().split()) for w in a.removeprefix("=").split(" ")] for a in rule.needles.split(" | ")]
 
 
 def rule_index(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    """One row for each rule and piece by which it is found ('' for every text)."""
-    listed = [_alternatives(r) for r in rules]
-    common = Counter(p for alternatives in listed for p in set().union(*alternatives))
+    """One row for each rule, piece by which it is found ('' for every text), and literal that the text must hold then."""
+    listed = [[(_pieces_of(words), max(words, key=len)) for words in _alternatives(r)] for r in rules]
+    common = Counter(p for alternatives in listed for p in set().union(*(pieces for pieces, _ in alternatives)))
     rows = []
     for i, (r, alternatives) in enumerate(zip(rules, listed, strict=True)):
-        chosen = {min(a, key=lambda p: (common[p], p)) if a else "" for a in alternatives}
+        chosen = {(min(pieces, key=lambda p: (common[p], p)) if pieces else "", literal) for pieces, literal in alternatives}
         fields = (i, r.name, r.attack_type, r.severity, r.description, float(r.weight), java_regex(r.pattern, r.flags))
-        rows += [(*fields, piece) for piece in ({""} if "" in chosen else chosen)]
+        rows += [(*fields, *found) for found in ({("", "")} if ("", "") in chosen else sorted(chosen))]
     return spark.createDataFrame(rows, RULE_INDEX)
 
 
@@ -94,15 +91,19 @@ def indexed_hits(df: DataFrame, index: DataFrame, keys: Sequence[str], sql_col:
 
     ``keys`` name a text.  NULL and blank text matches nothing.
     """
-    text, letters, piece = "_rt_text", "_rt_letters", "piece"
+    text, squeezed, letters, piece = "_rt_text", "_rt_squeezed", "_rt_letters", "piece"
     texts = df.select(*keys, F.col(sql_col).alias(text)).where(F.expr(f"{text} RLIKE r'[^{_space()}]'"))
-    texts = texts.withColumn(letters, F.split(F.expr(squeeze(text)), ""))
-    pieces = F.expr(f"transform(sequence(0, size({letters}) - {PIECE}), i -> concat({', '.join(f'{letters}[i + {k}]' for k in range(PIECE))}))")
-    own = F.when(F.size(letters) >= PIECE, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
-    met = texts.select(*keys, text, F.explode(F.array_append(own, F.lit(""))).alias(piece)).join(index, piece)
-    found = met.where(F.expr(f"{text} RLIKE regex")).select(*keys, "rule_no", "name", "attack_type", "severity", "weight")
+    texts = texts.withColumn(squeezed, F.expr(squeeze(text))).withColumn(letters, F.split(squeezed, ""))
+    # A text of fewer letters has one piece, NULL, which meets nothing.
+    cut = ", ".join(f"get({letters}, i + {k})" for k in range(PIECE))
+    own = F.array_distinct(F.expr(f"transform(sequence(0, greatest(size({letters}) - {PIECE}, 0)), i -> concat({cut}))"))
+    tried = F.broadcast(index.select("rule_no", "regex", piece, "literal"))
+    met = texts.select(*keys, text, squeezed, F.explode(F.array_append(own, F.lit(""))).alias(piece)).join(tried, piece)
+    met = met.where(F.contains(squeezed, "literal"))
     # A rule with several alternatives may be met by more than one of them.
-    return found.dropDuplicates([*keys, "rule_no"])
+    found = met.where(F.expr(f"{text} RLIKE regex")).select(*keys, "rule_no").distinct()
+    rules = index.select("rule_no", "name", "attack_type", "severity", "weight").distinct()
+    return found.join(F.broadcast(rules), "rule_no").select(*keys, "rule_no", "name", "attack_type", "severity", "weight")
 
 
 def _space() -> str:

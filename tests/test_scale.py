@@ -177,6 +177,18 @@ def test_a_thousand_rules_by_the_index_are_the_rules_one_by_one(spark, sf):
 # ---- evaluation --------------------------------------------------------------------------------
 
 
+def test_a_text_is_not_shuffled_with_its_pieces(spark, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    index = rule_index(spark, (*BUILTIN_RULES, *(Rule(f"n{n}", rf"\bk\s*=\s*{n}\b", "w", "LOW", "") for n in range(300))))
+    rows = [(1, "select 1 where k = 17 or k = 299"), (1, "k=17"), (None, "k = 4"), (2, "k"), (3, ""), (4, None), (5, "K=29900")]
+    hits = indexed_hits(spark.createDataFrame(rows, "id INT, sql STRING"), index, ["id"])
+    assert {(r.id, r.name) for r in hits.where("name LIKE 'n%'").collect()} == {(1, "n17"), (1, "n299"), (None, "n4")}
+    assert hits.count() == hits.distinct().count()
+    shown = plan(hits)
+    assert "SortMergeJoin" not in shown
+    assert all("_rt_text" not in line for line in shown.splitlines() if "Exchange hashpartitioning" in line)
+
+
 def test_sweep_at_every_score(spark, settings):
     settings(shuffle__partitions="5")
     rng = random.Random(2)
