@@ -2,14 +2,16 @@
 
 Vectors of one direction form a class; of a class only its two smallest ids travel, however many copies it has.
 
+The query classes go in blocks of bounded size to all gold classes, which are read once for each block and never
+shuffled; a maximum keeps the best of all tasks, and each block's answers are stored before the next one starts.
+
 *Bands* (`nearest_vector`): random hyperplanes cut space into buckets.  A gold class has one bucket key for each band;
-a query asks for its own bucket and those across one plane.  Both meet in an equi-join on (band, key), each
-candidate's cosine is computed in full, and a maximum that is combined before the shuffle keeps the best.
+a query asks for its own bucket and those across one plane.  A task sorts both by key, band by band, and takes the
+cosines of a bucket's candidates in full, as one matrix product.
 Keys get one bit more with every doubling of the gold classes, so that a bucket does not grow with the data, and the
 number of bands is what finds a pair of the stated cosine with the stated chance.
 
-*Exact* (`exact=True`): the query classes go in blocks of bounded size against all gold classes, which are read once
-for each block and never shuffled.  Each block's answers are stored before the next one starts.
+*Exact* (`exact=True`): each query class against each gold class.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.storage import checkpointed
@@ -32,6 +33,9 @@ BUCKET = 64
 MAX_BITS = 30
 #: Bytes of the query vectors of one block.
 BLOCK_BYTES = 8 << 20
+#: Gold classes that a task sorts into buckets at a time, and cosines of one matrix product, about.
+CHUNK_ROWS = 1 << 16
+PRODUCT = 4 << 20
 #: Cosines are compared as whole numbers of this many parts.
 _PARTS = 10**9
 #: No id, where none is needed.
@@ -85,19 +89,9 @@ def _classes(units: DataFrame) -> DataFrame:
     return two.groupBy("unit").agg(F.min("id").alias("lo"), F.max(F.when(F.col("place") == 2, F.col("id"))).alias("second"))
 
 
-def _keys(size: int, bits: int, bands: int, seed: int) -> Column:
-    """The bucket key of a unit vector in every band."""
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def keys(units: pa.Array) -> pa.Array:
-        planes = np.random.default_rng(seed).standard_normal((bands, size, bits))
-        rows = np.asarray(units.flatten()).reshape(-1, size)
-        out = np.empty((len(rows), bands), np.int64)
-        for band in range(bands):
-            out[:, band] = (rows @ planes[band] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, bands, dtype=np.int32), out.ravel())
-
-    return keys.asNondeterministic()("unit")
+def _bucket_keys(units: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The bucket key of each unit vector in one band."""
+    return (units @ planes > 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64))
 
 
 #: 2^63 and 2^64 as decimals.
@@ -114,18 +108,67 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select("h", "lo", (F.col("high") - (_PARTS + 1)).alias("c"), rest.alias("found"))
 
 
-def _by_bands(asked: DataFrame, index: DataFrame, size: int, similarity: float, recall: float, seed: int) -> DataFrame:
-    bits, bands = band_plan(index.count(), similarity, recall)
-    keys = _keys(size, bits, bands, seed)
-    places = index.select(F.col("lo").alias("id"), F.col("unit").alias("other"), F.posexplode(keys).alias("band", "key"))
-    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(bits)))])
-    probes = asked.select("h", "lo", "own", "unit", F.posexplode(keys).alias("band", "at"))
-    probes = probes.select("h", "lo", "own", "unit", "band", F.explode(F.transform(masks, lambda m: F.col("at").bitwiseXOR(m))).alias("key"))
-    met = spread_join(places, probes, ["band", "key"], "inner").where("own IS NULL OR own <> id")
-    cosine = F.lit(0.0)
-    for i in range(size):
-        cosine = cosine + F.get("unit", F.lit(i)) * F.get("other", F.lit(i))
-    return _best(met.select("h", "lo", F.round(cosine * _PARTS).cast("long").alias("c"), "id"))
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and units of about ``CHUNK_ROWS`` gold classes, by id."""
+
+    def whole(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate([np.asarray(b.column(0)) for b in held])
+        order = np.argsort(ids, kind="stable")
+        return ids[order], np.concatenate([np.asarray(b.column(1).flatten()).reshape(-1, size) for b in held])[order]
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= CHUNK_ROWS:
+            yield whole(held)
+            held, n = [], 0
+    if held:
+        yield whole(held)
+
+
+def _answers(h: np.ndarray, lo: np.ndarray, top: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    met = top > np.iinfo(np.int64).min
+    for a in range(0, int(met.sum()), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[met][a : a + 20_000]) for x in (h, lo, top, held)], names=["h", "lo", "c", "id"])
+
+
+def _within_bands(shared, size: int, bits: int, bands: int, seed: int):
+    """The best gold class of a part for each query of the block, of those it meets in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, lo, own, units = shared.value
+        none = np.iinfo(np.int64).min
+        top, held = np.full(len(h), none), np.zeros(len(h), np.int64)
+        planes = np.random.default_rng(seed).standard_normal((bands, size, bits))
+        masks = np.array([0, *(1 << b for b in range(bits))], np.int64)
+        for ids, rows in _chunks(batches, size):
+            for band in range(bands):
+                keys = _bucket_keys(rows, planes[band])
+                by_key = np.argsort(keys, kind="stable")
+                places, gold = ids[by_key], rows[by_key]
+                found, begin = np.unique(keys[by_key], return_index=True)
+                end = np.append(begin[1:], len(keys))
+                probes = (_bucket_keys(units, planes[band])[:, None] ^ masks).ravel()
+                asking = np.argsort(probes, kind="stable")
+                probes = probes[asking]
+                asking //= len(masks)
+                first, last = np.searchsorted(probes, found, "left"), np.searchsorted(probes, found, "right")
+                for g in np.flatnonzero(last > first).tolist():
+                    other, there = gold[begin[g] : end[g]].T, places[begin[g] : end[g]]
+                    step = max(PRODUCT // len(there), 1)
+                    for a in range(first[g], last[g], step):
+                        q = asking[a : min(a + step, last[g])]
+                        c = np.rint(units[q] @ other * _PARTS).astype(np.int64)
+                        c[own[q][:, None] == there] = none  # its own class is no answer
+                        at = c.argmax(axis=1)  # the smallest id of the best
+                        c, met = c[np.arange(len(q)), at], there[at]
+                        better = (c > top[q]) | (c == top[q]) & (c > none) & (met < held[q])
+                        top[q[better]], held[q[better]] = c[better], met[better]
+        yield from _answers(h, lo, top, held)
+
+    return run
 
 
 def _against(shared, size: int):
@@ -153,14 +196,12 @@ def _against(shared, size: int):
                 better = (c > top[a : a + step]) | (c == top[a : a + step]) & (found < held[a : a + step])
                 top[a : a + step] = np.where(better, c, top[a : a + step])
                 held[a : a + step] = np.where(better, found, held[a : a + step])
-        met = top > np.iinfo(np.int64).min
-        for a in range(0, int(met.sum()), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[met][a : a + 20_000]) for x in (h, lo, top, held)], names=["h", "lo", "c", "id"])
+        yield from _answers(h, lo, top, held)
 
     return run
 
 
-def _by_blocks(asked: DataFrame, index: DataFrame, size: int, block_bytes: int) -> DataFrame:
+def _by_blocks(asked: DataFrame, index: DataFrame, size: int, block_bytes: int, search) -> DataFrame:
     spark = asked.sparkSession
     blocks = max(-(-asked.count() * size * 8 // block_bytes), 1)
     out = None
@@ -170,7 +211,7 @@ def _by_blocks(asked: DataFrame, index: DataFrame, size: int, block_bytes: int)
             continue
         units = np.asarray(rows["unit"].combine_chunks().flatten()).reshape(-1, size)
         shared = spark.sparkContext.broadcast((*[rows[n].to_numpy() for n in ("h", "lo", "own")], units))
-        found = index.select("lo", "unit").mapInArrow(_against(shared, size), _FOUND)
+        found = index.select("lo", "unit").mapInArrow(search(shared), _FOUND)
         found = checkpointed(_best(found))
         shared.destroy()
         out = found if out is None else out.unionByName(found)
@@ -204,7 +245,11 @@ def nearest_vector(
     classes = _units(queries, id_col, vector_col, size).groupBy("unit").agg(F.min("id").alias("lo"))
     own = index.select("unit", F.col("lo").alias("own"), "second")
     asked = checkpointed(classes.withColumn("h", F.xxhash64("unit")).join(own, "unit", "left"))
-    best = _by_blocks(asked, index, size, block_bytes) if exact else _by_bands(asked, index, size, similarity, recall, seed)
+    if exact:
+        best = _by_blocks(asked, index, size, block_bytes, lambda shared: _against(shared, size))
+    else:
+        bits, bands = band_plan(index.count(), similarity, recall)
+        best = _by_blocks(asked, index, size, block_bytes, lambda shared: _within_bands(shared, size, bits, bands, seed))
     answers = asked.join(best, ["h", "lo"], "left").select(F.col("unit").alias("_unit"), *[F.col(n).alias(f"_{n}") for n in ("own", "second", "c", "found")])
 
     # Rows without a direction share one stand-in that no direction equals.

@@ -1,10 +1,13 @@
 """The nearest vector: the exact way and the bands against all pairs."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from querywarden.operators import vectors as search
 from querywarden.operators.vectors import band_plan, nearest_vector
 
 SIZE = 16
@@ -124,3 +127,27 @@ def test_empty_tables_and_bounds(spark):
         assert nearest_vector(one, one, SIZE, exact=exact, same_table=True).first()["nearest_id"] is None
     with pytest.raises(ValueError):
         nearest_vector(one, one, SIZE, recall=1.0)
+
+
+def test_a_part_finds_the_best_of_its_buckets(monkeypatch):
+    monkeypatch.setattr(search, "CHUNK_ROWS", 70)
+    monkeypatch.setattr(search, "PRODUCT", 16)
+    size, bits, bands, seed = 8, 5, 4, 3
+    units = np.random.default_rng(1).standard_normal((300, size))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    ids = np.random.default_rng(2).permutation(300).astype(np.int64)
+    asked = np.arange(0, 300, 6)
+    own = np.where(asked % 4 == 0, ids[asked], -1)
+    shared = SimpleNamespace(value=(asked, asked * 10, own, units[asked]))
+    parts = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 50]), pa.array(units[a : a + 50].tolist())], names=["lo", "unit"]) for a in range(0, 300, 50)]
+    got = {}
+    for batch in search._within_bands(shared, size, bits, bands, seed)(iter(parts)):
+        got |= {h: (c, found) for h, _, c, found in zip(*(x.to_pylist() for x in batch.columns), strict=True)}
+    planes = np.random.default_rng(seed).standard_normal((bands, size, bits))
+    sides = np.stack([units @ planes[b] > 0 for b in range(bands)])
+    for q, held in zip(asked.tolist(), own.tolist(), strict=True):
+        met = [g for g in range(300) if ids[g] != held and any((sides[b, q] != sides[b, g]).sum() <= 1 for b in range(bands))]
+        best = max(((round(float(units[q] @ units[g]) * 10**9), -int(ids[g])) for g in met), default=None)
+        assert (best is None) == (q not in got)
+        if best is not None:
+            assert abs(got[q][0] - best[0]) <= 1 and got[q][1] == -best[1]
