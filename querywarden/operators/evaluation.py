@@ -204,16 +204,28 @@ def bootstrap_intervals(
     """For each group of ``by`` and metric the estimate and the bounds of its bootstrap interval (the order
     statistics of the replicates).
 
-    One pass: the rows are combined per (by, label, prediction) into one sum of weights for each replicate,
-    so what is shuffled does not grow with the rows.  Ids must be unique and not NULL.
+    One pass: a row is taken once for each digest, whose eight weights are summed per (by, label, prediction,
+    digest), so what is shuffled does not grow with the rows.  The weights are those of ``bootstrap_weights``.
+    Ids must be unique and not NULL.
     """
-    held = "_weights"
-    # Exploding a one-element array makes the weights once for a row, not once for each sum.
-    drawn = rows.select(*by, label_col, (F.col(pred_col) == 1).alias("_pred"), F.explode(F.array(bootstrap_weights(id_col, replicates, seed))).alias(held))
-    sums = [F.sum(F.get(held, F.lit(i))).alias(f"_w{i}") for i in range(replicates)]
-    cells = drawn.groupBy(*by, F.col(label_col).alias("_label"), "_pred").agg(F.count(F.lit(1)).alias("_all"), *sums)
+    digest, block = "_digest", "_block"
+    taken = rows.select(*by, F.col(label_col).alias("_label"), (F.col(pred_col) == 1).alias("_pred"), F.col(id_col).cast("string").alias("_id"))
+    taken = taken.withColumn(block, F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))))
+    drawn = taken.withColumn(digest, F.expr(f"md5(encode(concat('{seed}:', _id, ':', CAST({block} AS STRING)), 'UTF-8'))"))
+    borders = _poisson_borders()
+
+    def weight(j: int) -> str:
+        part = f"substring({digest}, {4 * j + 1}, 4)"
+        steps = " ".join(f"WHEN {part} < '{b}' THEN {k}" for k, b in enumerate(borders))
+        return f"CASE WHEN {digest} IS NULL THEN NULL {steps} ELSE {len(borders)} END"
+
+    sums = [F.sum(F.expr(weight(j))).alias(f"_w{j}") for j in range(8)]
+    cells = drawn.groupBy(*by, "_label", "_pred", block).agg(F.count(F.lit(1)).alias("_all"), *sums)
     # Replicate 0 is the sample itself.
-    counted = cells.select(*by, "_label", "_pred", F.posexplode(F.array("_all", *[f"_w{i}" for i in range(replicates)])).alias("_replicate", "_n"))
+    weights = [F.struct((8 * F.col(block) + j + 1).alias("r"), F.col(f"_w{j}").alias("n")) for j in range(8)]
+    whole = F.struct(F.when(F.col(block) == 0, 0).otherwise(replicates + 1).alias("r"), F.col("_all").alias("n"))
+    counted = cells.select(*by, "_label", "_pred", F.explode(F.array(whole, *weights)).alias("_cell"))
+    counted = counted.select(*by, "_label", "_pred", F.col("_cell.r").alias("_replicate"), F.col("_cell.n").alias("_n")).where(F.col("_replicate") <= replicates)
     counts = confusion(F.col("_label"), F.col("_pred"), F.col("_n"))
     each = with_metrics(counted.groupBy(*by, "_replicate").agg(*[c.alias(n) for n, c in counts.items()]))
     low = max(1, (100 - CONFIDENCE) * replicates // 200)
