@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .skew import spread_join
 
 TOKEN = "[a-z0-9_]+"
+#: Characters of text whose tokens are one task's, about.
+TASK_CHARS = 8 << 20
 
 
 def _tokens(text_col: str):
@@ -38,13 +40,22 @@ def merge_models(*models: DataFrame) -> DataFrame:
     return first.groupBy("token").agg(F.sum("count").alias("count"))
 
 
+def _parts(df: DataFrame, text_col: str) -> int:
+    """Tasks for the tokens of all texts: more with more text, so that a task's memory does not grow."""
+    chars = df.agg(F.sum(F.length(text_col)).alias("n")).first().n or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+
+
 def corpus_divergence(df: DataFrame, model: DataFrame, keys: Sequence[str], text_col: str = "sql", spread: bool | None = None) -> DataFrame:
     """The keys of each text (unique, any type that can be grouped) with ``divergence`` and ``unknown``, the share of
     its tokens that the corpus lacks.  Both are NULL for a text without tokens."""
     keys = list(keys)
-    held = df.select(*keys, F.explode_outer(_tokens(text_col)).alias("token")).groupBy(*keys, "token").agg(F.count("token").alias("_n"))
+    parts = _parts(df, text_col)
+    # Texts are dealt by key before they are taken apart: a task counts the tokens of its own texts, which are few.
+    dealt = df.select(*keys, F.col(text_col).alias("_text")).repartition(parts, *keys)
+    held = dealt.select(*keys, F.explode_outer(_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count("token").alias("_n"))
     held = held.withColumn("token", F.coalesce("token", F.lit("")))
-    found = spread_join(held, model.withColumnRenamed("count", "_seen"), ["token"], spread=spread)
+    found = spread_join(held, model.withColumnRenamed("count", "_seen"), ["token"], spread=spread, parts=parts)
     known = model.agg((F.sum("count") + F.count(F.lit(1)) + 1).alias("size")).scalar()
     n, seen = F.col("_n"), F.coalesce("_seen", F.lit(0))
     # With N tokens in the text: sum n/N log2(n/N / q) = (sum n log2(n / q)) / N - log2(N).

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from querywarden.functions.catalogue import BUILTIN_RULES, Rule
 from querywarden.functions.structure import TREE_FEATURES, with_structure
+from querywarden.operators import divergence
 from querywarden.operators import evaluation as ev
 from querywarden.operators.alignment import join_gold
 from querywarden.operators.divergence import corpus_divergence, merge_models, token_model
@@ -174,6 +175,14 @@ def test_a_thousand_rules_by_the_index_are_the_rules_one_by_one(spark, sf):
     assert nodes(rules) == nodes(rules[:30])
 
 
+def test_queries_are_not_shuffled_to_their_nearest_tree(spark, sf, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    log = query_log(spark, sf)
+    found = nearest_gold(log.where("toxic = 1"), log.where("toxic = 0").select("db_id", F.col("sql").alias("gold_sql")))
+    assert "SortMergeJoin" not in plan(found)
+    assert found.where("nearest_sql IS NOT NULL").count() > 0
+
+
 # ---- evaluation --------------------------------------------------------------------------------
 
 
@@ -251,6 +260,30 @@ def test_intervals_do_not_depend_on_the_partitions(spark):
     assert "SinglePartition" not in plan(ev.bootstrap_intervals(df, by=["attack"]))
 
 
+def test_intervals_sum_eight_weights_of_a_digest(spark):
+    rows = [(i, i % 2, int(i % 3 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label int, pred_hard int")
+    found = ev.bootstrap_intervals(df, replicates=20)
+    assert plan(found).count("partial_sum") < 20
+    drawn = {r.id: r.w for r in df.select("id", ev.bootstrap_weights("id", 20, ev.SEED).alias("w")).collect()}
+    shares = sorted(sum(drawn[i][k] for i, y, p in rows if y == p) / sum(w[k] for w in drawn.values()) for k in range(20))
+    got = next(r for r in found.collect() if r.metric == "accuracy")
+    assert got.estimate == sum(y == p for _, y, p in rows) / 200
+    assert (got.low, got.high) == (pytest.approx(shares[0]), pytest.approx(shares[19]))
+
+
+def test_more_text_takes_more_tasks_for_its_tokens(spark, monkeypatch):
+    own = spark.createDataFrame([(i % 50, f"select a{i} from t") for i in range(100)] + [(None, "a b"), (None, "b")], "id int, sql string")
+    model = token_model(own.where("id < 10"))
+
+    def found():
+        return {(r.id, r.divergence, r.unknown) for r in corpus_divergence(own, model, ["id"], spread=True).select("id", F.round("divergence", 9).alias("divergence"), "unknown").collect()}
+
+    few = found()
+    monkeypatch.setattr(divergence, "TASK_CHARS", 100)
+    assert divergence._parts(own, "sql") > 8 and found() == few and len(few) == 51
+
+
 def test_divergence_from_a_corpus(spark):
     clean = ["select a from t", "select b from t where a = 1", None, ""]
     own = [(1, "select a from t"), (2, "DROP table x"), (3, None), (4, " -- "), (5, "a a a zzz")]
@@ -274,6 +307,16 @@ def test_divergence_from_a_corpus(spark):
 # ---- stream ------------------------------------------------------------------------------------
 
 
+def test_a_stream_writes_its_actions_side_by_side(spark, settings, tmp_path):
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    settings(maxConcurrentOutputFileWriters="0")
+    spark.createDataFrame([(1, "select 1"), (2, "drop table x; -- y"), (3, None)], "id long, sql string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, sql string").parquet(str(tmp_path / "in"))
+    start_guard(stream, str(tmp_path / "out"), str(tmp_path / "kept"), available_now=True).awaitTermination()
+    assert int(spark.conf.get(setting)) > 3  # the sink looks at each batch
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_a_source_that_repeats_itself_and_restarts(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     def batch(ids):
