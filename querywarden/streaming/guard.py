@@ -9,6 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.verdict import DEFAULT, VerdictConfig, score
 
+#: Files that a task writes at the same time: more than there are actions.
+WRITERS = 8
+
 
 def guard(stream: DataFrame, sql_col: str = "sql", config: VerdictConfig = DEFAULT) -> DataFrame:
     """Score a stream; stateless, so it runs in append mode with no watermark."""
@@ -42,6 +45,9 @@ def start_guard(
 
     With ``once_by``, rows that a source repeats within ``delay`` are dropped before they are scored (``once``).
 
+    A task keeps a file open for each action (``WRITERS`` at most), so that scored rows are not sorted by action in
+    memory before they are written; the session's ``spark.sql.maxConcurrentOutputFileWriters`` is raised for it.
+
     The file sink's log makes each batch count once even when it is written again after a failure.
     """
     if once_by:
@@ -58,4 +64,7 @@ def start_guard(
         writer = writer.trigger(availableNow=True)
     elif interval:
         writer = writer.trigger(processingTime=interval)
+    # The file sink reads the setting of its session at each batch, so it has to stay.
+    spark, setting = stream.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    spark.conf.set(setting, max(int(spark.conf.get(setting)), WRITERS))
     return writer.start()
