@@ -13,6 +13,9 @@ from ..functions.structure import tree_similarity, with_structure
 from .skew import spread_join
 
 PATTERN_PENALTY = 0.15
+EXPECTED = "expected_"
+#: What ``join_gold`` adds when it is asked for the structure of the gold texts.
+EXPECTED_COLUMNS = tuple(f"{EXPECTED}{c}" for c in ("well_formed", "tree", "skeleton"))
 
 
 def join_gold(
@@ -22,9 +25,13 @@ def join_gold(
     gold_col: str = "gold_sql",
     out: str = "expected_sql",
     spread: bool | None = None,
+    structure: bool = False,
 ) -> DataFrame:
     """Left join every generated query with its gold query; rows without one get NULL.
 
+    With ``structure`` the structure of the gold text is joined too, as ``EXPECTED_COLUMNS``: it is taken once
+    for each key, before the join, however many queries hold that key.
+
     A key may hold a large part of the generated rows: unless the gold side is small enough to be broadcast,
     the rows of such a key are dealt over several tasks (``spread_join``).  Different gold texts for one
     key are an error, since a query would be held against only one of them; equal ones count once.
@@ -38,14 +45,29 @@ def join_gold(
     lowest, highest = F.min(out), F.max(out)
     conflict = F.raise_error(F.concat(F.lit("several gold texts for "), F.concat_ws(", ", *on)))
     right = right.groupBy(*on).agg(F.when(lowest < highest, conflict.cast("string")).otherwise(lowest).alias(out))
-    return spread_join(left, right, on, spread=spread).drop(*on)
+    if structure:
+        right = with_structure(right, out, EXPECTED)
+    # Spark would merge these tasks by their bytes; the work that follows is in the texts.
+    parts = int(generated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread_join(left, right, on, spread=spread, parts=parts).drop(*on)
+
+
+def expected_similarity(df: DataFrame, expected_col: str, structured: bool = False) -> tuple[DataFrame, Column]:
+    """The frame with ``EXPECTED_COLUMNS``, unless ``structured`` says that it has them, and the similarity of
+    ``tree`` to the expected one; missing, blank or malformed expected text compares as equal."""
+    if not structured:
+        df = with_structure(df, expected_col, EXPECTED)
+    similarity = tree_similarity(F.col("tree"), F.col(f"{EXPECTED}tree"))
+    # Blank text is not well formed.
+    return df, F.when(F.col(f"{EXPECTED}well_formed"), similarity).otherwise(F.lit(1.0))
 
 
-def with_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None = None) -> DataFrame:
+def with_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None = None, structured: bool = False) -> DataFrame:
     """Add ``well_formed``, ``skeleton``, ``tree``, the pattern flags, ``tree_similarity``,
     ``expected_skeleton``, ``alignment_score``, ``anomaly_indicators`` and ``consistency``.
 
-    Missing, blank or malformed expected text compares as equal.
+    Missing, blank or malformed expected text compares as equal.  ``structured``: the frame comes from
+    ``join_gold`` with the structure of the expected text.
     """
     df = with_structure(df, sql_col)
     df = with_suspicious_patterns(df, sql_col)
@@ -53,9 +75,7 @@ def with_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None
         nothing = F.lit(None).cast(df.schema["skeleton"].dataType)
         df = df.withColumns({"tree_similarity": _if_formed(F.lit(1.0)), "expected_skeleton": nothing})
     else:
-        df = with_structure(df, expected_col, "expected_")
-        usable = F.col("expected_well_formed") & (F.col(expected_col) != "")
-        similarity = F.when(usable, tree_similarity(F.col("tree"), F.col("expected_tree"))).otherwise(F.lit(1.0))
+        df, similarity = expected_similarity(df, expected_col, structured)
         df = df.withColumn("tree_similarity", _if_formed(similarity))
         df = df.withColumn("expected_skeleton", F.when(F.col("well_formed"), F.col("expected_skeleton")))
         df = df.drop("expected_tree", "expected_well_formed")
@@ -68,10 +88,10 @@ def with_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None
     return df.withColumn("consistency", skeleton_consistency(F.col("skeleton"), F.col("expected_skeleton")))
 
 
-def check_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None = None) -> DataFrame:
+def check_alignment(df: DataFrame, sql_col: str = "sql", expected_col: str | None = None, structured: bool = False) -> DataFrame:
     """The alignment result as one struct column ``alignment``; empty parts are NULL for malformed text."""
-    kept = df.columns
-    full = with_alignment(df, sql_col, expected_col)
+    kept = [c for c in df.columns if not (structured and c in EXPECTED_COLUMNS)]
+    full = with_alignment(df, sql_col, expected_col, structured)
     formed = F.col("well_formed")
     flags = F.struct(*[F.col(f) for f in PATTERN_LABELS], F.col("patterns_found"))
     return full.select(
