@@ -17,7 +17,8 @@ from ..functions.catalogue import (
 )
 from ..functions.numbers import fixed, python_list
 from ..functions.patterns import with_suspicious_patterns
-from ..functions.structure import tree_similarity, with_structure
+from ..functions.structure import with_structure
+from .alignment import EXPECTED_COLUMNS, expected_similarity
 from .keyword import keyword_scan
 
 # How the two signals are weighed.
@@ -45,23 +46,23 @@ def score(
     expected_col: str | None = None,
     config: VerdictConfig = DEFAULT,
     extra_rules: Sequence[Rule] = (),
+    structured: bool = False,
 ) -> DataFrame:
-    """Add the verdict columns to any frame of query text; map-only, no shuffle.
+    """Add the verdict columns to any frame of query text; map-only, no shuffle.  ``structured``: the frame comes
+    from ``join_gold`` with the structure of the expected text.
 
     Added: ``action``, ``is_toxic``, ``overall_risk_score``, ``keyword_*`` (5), ``ast_parsed``,
     ``ast_risk_score``, ``ast_alignment_score``, ``ast_suspicious_patterns``, ``ast_skeleton`` and
     ``reasons``.  A NULL text is an error row: risk 1.0 and REJECT, with nothing matched.
     """
-    kept = df.columns
+    kept = [c for c in df.columns if not (structured and c in EXPECTED_COLUMNS)]
     df = keyword_scan(df, sql_col, extra_rules, strict=False, prefix="_k_")
     df = with_suspicious_patterns(df, sql_col)
     df = with_structure(df, sql_col)
     if expected_col is None:
         similarity = F.lit(1.0)
     else:
-        df = with_structure(df, expected_col, "expected_")
-        usable = F.col("expected_well_formed") & (F.col(expected_col) != "")
-        similarity = F.when(usable, tree_similarity(F.col("tree"), F.col("expected_tree"))).otherwise(F.lit(1.0))
+        df, similarity = expected_similarity(df, expected_col, structured)
 
     parsed = F.col("well_formed")
     n_patterns = F.size("patterns_found")

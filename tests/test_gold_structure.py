@@ -10,6 +10,7 @@ from querywarden.functions import structure
 from querywarden.functions.dialect import regex_literal
 from querywarden.functions.structure import with_structure
 from querywarden.operators.alignment import EXPECTED_COLUMNS, check_alignment, join_gold, with_alignment
+from querywarden.operators.verdict import score
 
 GOLD = [("d", "q1", "SELECT a, b FROM t WHERE x = 1"), ("d", "q1", "SELECT a, b FROM t WHERE x = 1"), ("d", None, "SELECT '"), ("e", "q1", ""), ("e", "q2", None), ("e", "q3", " ")]
 ROWS = [
@@ -30,14 +31,14 @@ def test_joined_structure_gives_the_results_of_a_row(spark, spread):
     generated, gold = frames(spark)
     plain, structured = join_gold(generated, gold, spread=spread), join_gold(generated, gold, spread=spread, structure=True)
     assert structured.columns == [*plain.columns, *EXPECTED_COLUMNS]
-    for how in (with_alignment, check_alignment):
+    for how in (with_alignment, check_alignment, score):
         want, got = how(plain, expected_col="expected_sql"), how(structured, expected_col="expected_sql", structured=True)
         assert sorted(got.columns) == sorted(want.columns)
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())), how
         assert got.count() == len(ROWS) * 2
 
 
-@pytest.mark.parametrize("name", ["alignment_check", "tree_similarity", "skeleton_consistency"])
+@pytest.mark.parametrize("name", ["alignment_check", "tree_similarity", "skeleton_consistency", "fused_with_gold"])
 def test_gold_texts_are_taken_apart_below_the_join(spark, sf, name):
     plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_expected_mask") and plan.index("Join LeftOuter") < plan.index("_expected_mask")
