@@ -112,6 +112,62 @@ def test_repeated_runs_of_a_host_go(spark):
     assert html_extraction.extract(frame).count() == len(rows) and html_extraction.extract(frame.limit(0)).count() == 0
 
 
+def test_all_pages_of_a_host_speak_for_an_unmarked_one(spark):
+    """Plain text that recurs beside the articles of other pages goes; what an article of the host holds stays."""
+    note = "<p>This host tells its readers the same on every page</p>"
+    story = " ".join(f"s{k}" for k in range(20))
+    own = {i: " ".join(f"w{i}x{k}" for k in range(20)) for i in range(6)}
+    rows = [(i, "http://h.example/", f"<article><p>{own[i]}</p></article>{note}") for i in range(2)]
+    rows += [(2, "http://h.example/", f"<div>{own[2]}</div>{note}"), (3, "http://z.example/", f"<div>{own[3]}</div>{note}")]
+    rows += [(i, "http://h.example/", f"<div>{story}</div><div>{own[i]}</div>") for i in (4, 5)] + [(6, "http://h.example/", f"<article>{story}</article>")]
+    got = dict(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    told = "This host tells its readers the same on every page"
+    assert got == {0: own[0], 1: own[1], 2: own[2], 3: f"{own[3]}\n\n{told}", 4: f"{story}\n\n{own[4]}", 5: f"{story}\n\n{own[5]}", 6: story}
+
+
+def brute_main_text(rows, run):
+    """The registered query in plain Python: windows as tuples, one pass over the pages of each host."""
+    pages, kinds, seen, named = [], Counter(), {}, set()
+    for page, host, html in rows:
+        found = blocks(html)
+        main = found.main()
+        streams = [([t for b in part for t in [*b.split(" "), "\n"]], flag) for part, flag in ((main, True), (found.rest, False))]
+        windows = [([tuple(s[i : i + run]) for i in range(len(s) - run + 1)], flag) for s, flag in streams]
+        for ws, flag in windows:
+            for w in ws:
+                seen.setdefault((host, w), set()).add((tuple(main), tuple(found.rest)))
+                if flag:
+                    named.add((host, w))
+        pages.append((page, host, main, streams[1][0], windows[1][0]))
+        kinds["marked" if main else "open"] += 1
+    out = []
+    for page, host, main, stream, windows in pages:
+        gone = {i + k for i, w in enumerate(windows) if len(seen[host, w]) > 1 and (host, w) not in named for k in range(run)}
+        left = " ".join("\n" if t == "\n" else t for i, t in enumerate(stream) if t == "\n" or i not in gone)
+        out.append((page, "\n\n".join(main or [b for b in map(str.strip, left.split("\n")) if b])))
+    return sorted(out), kinds
+
+
+@pytest.mark.parametrize("chunk", [html_extraction.CHUNK_TOKENS, 200])
+def test_main_text_is_what_brute_force_keeps(spark, tmp_path, monkeypatch, chunk):
+    draw = random.Random(7)
+    lines = [" ".join(draw.choice("abcdefgh") + draw.choice("xyz") for _ in range(draw.randint(1, 14))) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        picked = [draw.choice(lines) if draw.random() < 0.7 else " ".join(draw.choices("abcdefgh", k=9)) for _ in range(draw.randint(0, 6))]
+        cut = draw.randint(0, len(picked)) if draw.random() < 0.6 else 0
+        html = "<article>" * (cut > 0) + "".join(f"<p>{p}</p>" for p in picked[:cut]) + "</article>" * (cut > 0) + "".join(f"<div>{p}</div>" for p in picked[cut:])
+        rows.append((i, f"h{draw.randint(0, 3)}.example", html))
+    rows += [(300 + k, rows[k][1], rows[k][2]) for k in range(30)] + [(400, "h0.example", None), (401, "h0.example", "")]
+    frame = spark.createDataFrame([(i, f"https://{host}/{i}", html) for i, host, html in rows], "page_id long, url string, html string")
+    frame.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    expected, kinds = brute_main_text(rows, html_extraction.RUN)
+    assert min(kinds.values()) > 100
+    if chunk != html_extraction.CHUNK_TOKENS:
+        monkeypatch.setattr(html_extraction.repeated_windows, "__defaults__", (html_extraction.RUN, chunk))
+    assert sorted(map(tuple, QUERIES["op1_html_text"](spark, str(tmp_path)).select("page_id", "text").collect())) == expected
+
+
 def test_suffix_array_groups_equal_windows():
     ids = np.random.default_rng(1).integers(0, 3, 300)
     order, rank = html_extraction.suffix_array(ids, 5)
